@@ -124,7 +124,7 @@ def table_info(df: DataFrame) -> DataFrame:
         F.lit(len(numeric_cols(df))).alias("numeric_columns"),
         F.lit(len(text_cols(df))).alias("text_columns"),
     )
-    return facts.withColumn("duplicate_rows", F.lit(duplicate_rows(df).first()["duplicate_rows"]))
+    return facts.withColumn("duplicate_rows", F.lit(duplicate_rows(df).first()["duplicate_rows"]).cast("bigint"))
 
 
 def missing_report(df: DataFrame, cols=None) -> DataFrame:

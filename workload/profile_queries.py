@@ -218,15 +218,16 @@ def _(t):
     "strong_pairs",
     "SELECT * FROM ("
     + union_all(
-        f"SELECT '{a}' AS column_1, '{b}' AS column_2, corr({a}, {b}) AS correlation FROM lineitem"
-        for i, a in enumerate(LINE_NUM)
-        for b in LINE_NUM[i + 1 :]
+        f"SELECT '{a}' AS column_1, '{b}' AS column_2, corr({a}, {b}) AS correlation FROM (SELECT *, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem)"
+        for i, a in enumerate(LINE_NUM + ["revenue"])
+        for b in (LINE_NUM + ["revenue"])[i + 1 :]
     )
     + ") WHERE abs(correlation) > 0.7",
     rnd={6: "correlation"},
 )
 def _(t):
-    return P.strong_pairs(t.lineitem, LINE_NUM, 0.7)
+    df = t.lineitem.withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+    return P.strong_pairs(df, LINE_NUM + ["revenue"], 0.7)
 
 
 @query(
