@@ -12,9 +12,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def strip(col) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(_c(col), F.lit(" \t\n\r\x0b\x0c"))
+
+
 def normalize_text(col) -> Column:
     """Lower case, trimmed, without punctuation."""
-    return F.regexp_replace(F.trim(F.lower(_c(col))), r"[^\p{L}\p{N}_\s]", "")
+    return F.regexp_replace(strip(F.lower(_c(col))), r"[^\p{L}\p{N}_\s]", "")
 
 
 def digits_only(col) -> Column:
@@ -22,7 +27,7 @@ def digits_only(col) -> Column:
 
 
 def lower_email(col) -> Column:
-    return F.lower(F.trim(_c(col)))
+    return F.lower(strip(col))
 
 
 def title_case(col) -> Column:

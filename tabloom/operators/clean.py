@@ -52,7 +52,7 @@ def impute_with_confidence(df: DataFrame, cols, numeric: str = "median", text: s
 def clean_table(df: DataFrame, cols) -> DataFrame:
     """Impute, trim and lower-case text, drop repeated rows."""
     filled = impute(df, cols)
-    tidy = filled.withColumns({c: F.lower(F.trim(F.col(c))) for c in text_cols(df, cols)})
+    tidy = filled.withColumns({c: F.lower(X.strip(c)) for c in text_cols(df, cols)})
     return tidy.distinct()
 
 
@@ -67,13 +67,13 @@ def clean_standardize(df: DataFrame, cols, order_by) -> DataFrame:
         elif "phone" in name:
             made[f"{c}_cleaned"] = X.digits_only(c)
         else:
-            made[f"{c}_cleaned"] = X.title_case(F.trim(F.col(c)))
+            made[f"{c}_cleaned"] = X.title_case(X.strip(c))
     return dedupe_first(filled.withColumns(made), cols, order_by)
 
 
 def text_quality(col: str):
     """1.0 halved for short values, times 0.3 for suspicious marks, times 0.7 for long values; 0 for null."""
-    v = F.trim(F.col(col))
+    v = X.strip(col)
     short = F.when(F.length(v) < 2, 0.5).otherwise(1.0)
     # fixed values: marks of doubtful content
     marks = F.when(v.rlike(r"\?|#|NULL|null|N/A|n/a"), 0.3).otherwise(1.0)
@@ -85,7 +85,7 @@ def validate_text(df: DataFrame, cols) -> DataFrame:
     made = {}
     for c in text_cols(df, cols):
         made[f"{c}_data_quality"] = text_quality(c)
-        made[f"{c}_standardized"] = X.title_case(F.trim(F.col(c)))
+        made[f"{c}_standardized"] = X.title_case(X.strip(c))
     return df.withColumns(made)
 
 

@@ -161,6 +161,7 @@ def _(t):
     return C.clean_table(part_with_nulls(t).select("p_brand", "p_type", "p_size"), ["p_brand", "p_type"])
 
 
+STRIPPED = "trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 TITLE = "list_aggregate(list_transform(regexp_extract_all({c}, '(\\p{{L}}+|\\P{{L}}+)'), lambda r: CASE WHEN r[1:1] = 'ß' THEN 'Ss' ELSE upper(r[1:1]) END || lower(r[2:])), 'string_agg', '')"
 
 
@@ -179,8 +180,8 @@ def _(t):
 
 @query(
     "validate_text",
-    f"SELECT doc_id, text AS t, (CASE WHEN length(trim(text)) < 2 THEN 0.5::DOUBLE ELSE 1 END) * (CASE WHEN regexp_matches(trim(text), '\\?|#|NULL|null|N/A|n/a') THEN 0.3::DOUBLE ELSE 1 END) * (CASE WHEN length(trim(text)) > 200 THEN 0.7::DOUBLE ELSE 1 END) AS t_data_quality, "
-    f"{TITLE.format(c='trim(text)')} AS t_standardized FROM documents",
+    f"SELECT doc_id, text AS t, (CASE WHEN length({STRIPPED}) < 2 THEN 0.5::DOUBLE ELSE 1 END) * (CASE WHEN regexp_matches({STRIPPED}, '\\?|#|NULL|null|N/A|n/a') THEN 0.3::DOUBLE ELSE 1 END) * (CASE WHEN length({STRIPPED}) > 200 THEN 0.7::DOUBLE ELSE 1 END) AS t_data_quality, "
+    f"{TITLE.format(c=STRIPPED)} AS t_standardized FROM documents",
     rnd={6: "t_data_quality"},
 )
 def _(t):
@@ -373,7 +374,7 @@ def _(t):
 
 @query(
     "normalize_text",
-    "SELECT doc_id, regexp_replace(trim(lower(text)), '[^\\p{L}\\p{N}_\\s]', '', 'g') AS clean FROM documents",
+    f"SELECT doc_id, regexp_replace(lower({STRIPPED}), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') AS clean FROM documents",
 )
 def _(t):
     return t.documents.select("doc_id", X.normalize_text("text").alias("clean"))
