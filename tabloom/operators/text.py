@@ -183,7 +183,11 @@ def language_columns(text: str, default=("en", 0.8)) -> dict[str, Column]:
     """Function words vote; the share of the winner is the confidence.  No vote gives ``default``."""
     w = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+")
     codes = list(P.LANGUAGE_WORDS)
-    votes = [F.size(F.filter(w, lambda x, c=c: x.isin(P.LANGUAGE_WORDS[c]))) for c in codes]
+
+    def count_of(known):
+        return F.size(F.filter(w, lambda x: x.isin(known)))
+
+    votes = [count_of(P.LANGUAGE_WORDS[c]) for c in codes]
     best = _best(codes, votes, default[0], F.lit(default[1]))["category"]
     top, cast = F.greatest(*votes), total(votes)
     names = F.create_map(*[F.lit(x) for kv in P.LANGUAGE_NAMES.items() for x in kv])
