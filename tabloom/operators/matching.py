@@ -4,7 +4,8 @@ Equal texts are collapsed to one representative with a copy count before anythin
 text repeated in a third of the table costs one vector.  Pairs come from an exact prefix filter: with
 unit vectors and terms in a fixed order (rarest first), two vectors above the threshold must share a
 term in the part of each vector that precedes a tail of norm <= threshold.  Only those terms are
-joined, long posting lists in salted blocks, and every candidate is then scored exactly.
+joined, long posting lists in salted blocks; pairs whose bound stays below the threshold are dropped
+and every other candidate is scored exactly.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from tabloom.session import cut_lineage
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 POSTING_BLOCK = 2_000
+TAIL = 0.9
 
 
 def english_stop_words() -> list[str]:
@@ -76,28 +78,40 @@ class TextGroups:
 
 
 def _candidates(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of representatives that share a prefix term; every pair above the threshold is among them."""
-    tail = Window.partitionBy("rep").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    prefix = vectors.withColumn("_tail", F.sum(F.col("weight") * F.col("weight")).over(tail)).where(
-        F.col("_tail") > threshold * threshold - 1e-9
-    ).select("rep", "term")
+    """Pairs of representatives that may exceed the threshold; every pair that does is among them.
+
+    A vector's terms run from rare to frequent.  Terms whose tail norm is at most ``TAIL * threshold``
+    are not joined.  After the last joined term of a pair the rest of the product is at most the
+    product of the two tail norms, so pairs whose partial product plus that bound stays below the
+    threshold are dropped before they are scored.
+    """
+    w = F.col("weight")
+    upto = Window.partitionBy("rep").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    prefix = (
+        vectors.withColumn("_tail", F.sum(w * w).over(upto))
+        .where(F.col("_tail") > (TAIL * threshold) ** 2 - 1e-9)
+        .select("rep", "term", "weight", F.sqrt(F.greatest(F.col("_tail") - w * w, F.lit(0.0))).alias("after"))
+    )
     lengths = prefix.groupBy("term").agg(F.count(F.lit(1)).alias("_len")).where(F.col("_len") > 1)
     blocks = F.ceil(F.col("_len") / POSTING_BLOCK).cast("int")
     # a long posting list is cut into blocks; each pair of blocks becomes its own join key
     posted = prefix.join(lengths, "term").withColumn("_b", blocks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_b")).cast("int"))
-    left = posted.select(F.col("rep").alias("id_1"), "term", "_own", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_other"))
-    right = posted.select(F.col("rep").alias("id_2"), "term", F.col("_own").alias("_other"), F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_own"))
-    return left.join(right, ["term", "_own", "_other"]).where(F.col("id_1") < F.col("id_2")).select("id_1", "id_2").distinct()
+    others = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
+    left = posted.select(F.col("rep").alias("id_1"), "term", "_own", others.alias("_other"), F.col("weight").alias("w1"), F.col("after").alias("a1"))
+    right = posted.select(F.col("rep").alias("id_2"), "term", F.col("_own").alias("_other"), others.alias("_own"), F.col("weight").alias("w2"), F.col("after").alias("a2"))
+    shared = left.join(right, ["term", "_own", "_other"]).where(F.col("id_1") < F.col("id_2"))
+    bounds = shared.groupBy("id_1", "id_2").agg(
+        F.sum(F.col("w1") * F.col("w2")).alias("_part"), F.min(F.col("a1") * F.col("a2")).alias("_rest")
+    )
+    return bounds.where(F.col("_part") + F.col("_rest") > threshold - 1e-9).select("id_1", "id_2")
 
 
 def _scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Exact cosine of each pair: both sparse vectors travel with the pair."""
-    packed = vectors.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("vec"))
-    a = packed.select(F.col("rep").alias("id_1"), F.col("vec").alias("va"))
-    b = packed.select(F.col("rep").alias("id_2"), F.col("vec").alias("vb"))
-    both = pairs.join(a, "id_1").join(b, "id_2")
-    products = F.map_values(F.map_zip_with("va", "vb", lambda k, x, y: F.coalesce(x * y, F.lit(0.0))))
-    return both.select("id_1", "id_2", F.aggregate(products, F.lit(0.0), lambda s, v: s + v).alias("similarity"))
+    """Exact cosine of each pair from the terms both vectors hold."""
+    a = vectors.select(F.col("rep").alias("id_1"), "term", F.col("weight").alias("w1"))
+    b = vectors.select(F.col("rep").alias("id_2"), "term", F.col("weight").alias("w2"))
+    both = pairs.join(a, "id_1").join(b, ["id_2", "term"])
+    return both.groupBy("id_1", "id_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("similarity"))
 
 
 def group_pairs(groups: TextGroups, threshold: float) -> DataFrame:
