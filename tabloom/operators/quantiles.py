@@ -10,6 +10,7 @@ from tabloom.operators.ordered import running_total
 
 STATE_LIMIT = 200_000
 _ACCURACY = 10_000
+_MARGIN = 2.0 / _ACCURACY
 _ROUNDS = 4
 
 
@@ -23,8 +24,12 @@ def exact_quantiles(df: DataFrame, cols, probs, limit: int = STATE_LIMIT) -> dic
     cols, probs = as_list(cols), list(probs)
     if not cols:
         return {}
-    sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    counts = {c: sizes[f"n{i}"] for i, c in enumerate(cols)}
+    around = [x for p in probs for x in (max(0.0, p - _MARGIN), min(1.0, p + _MARGIN + 1.0 / limit))]
+    first = df.agg(
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(F.col(c).cast("double"), around, _ACCURACY).alias(f"b{i}") for i, c in enumerate(cols)],
+    ).first()
+    counts = {c: first[f"n{i}"] for i, c in enumerate(cols)}
     out = {c: [None] * len(probs) for c in cols if counts[c] == 0}
     small = [c for c in cols if 0 < counts[c] <= limit]
     if small:
@@ -32,7 +37,10 @@ def exact_quantiles(df: DataFrame, cols, probs, limit: int = STATE_LIMIT) -> dic
         out.update({c: list(row[f"q{i}"]) for i, c in enumerate(small)})
     big = [c for c in cols if counts[c] > limit]
     if big:
-        out.update(_narrow(df, big, probs, counts, limit))
+        targets = [_Target(c, p, counts[c]) for c in big for p in probs]
+        sketches = {c: first[f"b{i}"] for i, c in enumerate(cols)}
+        found = {t: tuple(sketches[t.col][2 * (i % len(probs)) :][:2]) for i, t in enumerate(targets)}
+        out.update(_narrow(df, targets, found, counts, limit))
     return out
 
 
@@ -46,6 +54,13 @@ class _Target:
         self.low = self.high = None
         self.below, self.within = 0, n
 
+    def fractions(self):
+        """Where to look, as shares of the values inside the bracket."""
+        return max(0.0, (self.first - self.below) / self.within - _MARGIN), min(1.0, (self.last - self.below + 1) / self.within + _MARGIN)
+
+    def settled(self):
+        return self.low is not None and self.low == self.high
+
     def value(self):
         return F.col(self.col).cast("double")
 
@@ -54,41 +69,51 @@ class _Target:
         return v.isNotNull() if low is None else (v >= F.lit(low)) & (v <= F.lit(high))
 
 
-def _narrow(df, cols, probs, counts, limit):
-    targets = [_Target(c, p, counts[c]) for c in cols for p in probs]
-    margin = 2.0 / _ACCURACY
+def _sketch(df, targets) -> dict:
+    """Approximate brackets; targets that share a column and a bracket share one sketch."""
+    shared: dict = {}
+    for t in targets:
+        shared.setdefault((t.col, t.low, t.high), []).append(t)
+    groups = list(shared.values())
+    asks = [
+        F.percentile_approx(F.when(g[0].inside(g[0].low, g[0].high), g[0].value()), [x for t in g for x in t.fractions()], _ACCURACY).alias(f"b{i}")
+        for i, g in enumerate(groups)
+    ]
+    row = df.agg(*asks).first()
+    return {t: tuple(row[f"b{i}"][2 * j : 2 * j + 2]) for i, g in enumerate(groups) for j, t in enumerate(g)}
+
+
+def _prove(df, found) -> None:
+    """Count what lies below and inside each bracket; keep the bracket only if it holds the wanted ranks."""
+    counts = []
+    for i, (t, (low, high)) in enumerate(found.items()):
+        counts += [F.count_if(t.value() < F.lit(low)).alias(f"l{i}"), F.count_if(t.inside(low, high)).alias(f"w{i}")]
+    row = df.agg(*counts).first()
+    for i, (t, bracket) in enumerate(found.items()):
+        below, within = row[f"l{i}"], row[f"w{i}"]
+        if below <= t.first and t.last < below + within:
+            (t.low, t.high), t.below, t.within = bracket, below, within
+
+
+def _narrow(df, targets, found, counts, limit) -> dict:
     for _ in range(_ROUNDS):
+        _prove(df, found)
         todo = [t for t in targets if t.within > limit and (t.low is None or t.low < t.high)]
         if not todo:
             break
-        asks = []
-        for i, t in enumerate(todo):
-            at = [max(0.0, (t.first - t.below) / t.within - margin), min(1.0, (t.last - t.below + 1) / t.within + margin)]
-            asks.append(F.percentile_approx(F.when(t.inside(t.low, t.high), t.value()), at, _ACCURACY).alias(f"b{i}"))
-        found = df.agg(*asks).first()
-        proofs = []
-        for i, t in enumerate(todo):
-            low, high = found[f"b{i}"]
-            proofs += [
-                F.count_if(t.value() < F.lit(low)).alias(f"l{i}"),
-                F.count_if(t.inside(low, high)).alias(f"w{i}"),
-            ]
-        proof = df.agg(*proofs).first()
-        for i, t in enumerate(todo):
-            below, within = proof[f"l{i}"], proof[f"w{i}"]
-            if below <= t.first and t.last < below + within:
-                (t.low, t.high), t.below, t.within = found[f"b{i}"], below, within
-    values = _ordered_picks(df, [t for t in targets if t.within <= limit and not (t.low is not None and t.low == t.high)])
-    out = {c: [] for c in cols}
+        found = _sketch(df, todo)
+    values = _ordered_picks(df, [t for t in targets if t.within <= limit and not t.settled()])
+    out: dict = {}
     for t in targets:
-        if t.low is not None and t.low == t.high:
+        if t.settled():
             pair = (t.low, t.low)
         elif t in values:
             pair = values[t]
         else:
-            row = quantiles_by(df, [], t.col, [t.first / (counts[t.col] - 1), t.last / (counts[t.col] - 1)]).first()
+            n = counts[t.col]
+            row = quantiles_by(df, [], t.col, [t.first / (n - 1), t.last / (n - 1)]).first()
             pair = (row["q0"], row["q1"])
-        out[t.col].append(pair[0] + (pair[1] - pair[0]) * t.frac)
+        out.setdefault(t.col, []).append(pair[0] + (pair[1] - pair[0]) * t.frac)
     return out
 
 

@@ -23,6 +23,17 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema=No
     return reader.format(fmt).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a scan that arrives as fewer tasks than there are cores (one small file).
+
+    Scans of many files are left alone.  Filters and column pruning still reach the scan.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists", partition_by=()) -> None:
     """Write in parallel, one file per partition; CSV files carry a header."""
     writer = df.write.mode(mode)

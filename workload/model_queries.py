@@ -157,7 +157,7 @@ LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extended
 def _register_training(name, algorithm, task):
     @query(name)
     def _(t):
-        df, target, feats = (quality_docs(t), "quality", DOC_FEATS) if task == "classification" else (t.lineitem, "l_extendedprice", PRICE_FEATS)
+        df, target, feats = (quality_docs(t), "quality", DOC_FEATS) if task == "classification" else (t.wide("lineitem"), "l_extendedprice", PRICE_FEATS)
         return ML.score(df, ML.train(df, feats, target, algorithm, task)).select(target, *["prediction_value"])
 
 
@@ -168,7 +168,7 @@ for _task in ("classification", "regression"):
 
 @query("train_three_classes")
 def _(t):
-    df = t.lineitem.select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_returnflag")
+    df = t.wide("lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_linestatus", "l_returnflag")
     return ML.score(df, ML.train(df, ["l_quantity", "l_discount", "l_tax", "l_linestatus"], "l_returnflag", "Gradient Boosting"))
 
 

@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.sources.tables import read_table, spread
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
 class Tables:
-    """``t.orders`` reads the parquet table of that name."""
+    """``t.orders`` reads the parquet table of that name.
+
+    The texts are heavy to process, so a scan of few tasks is spread over the cores; ``wide`` does the
+    same for other tables.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self._dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self._dir}/{name}.parquet")
+        df = read_table(self.spark, f"{self._dir}/{name}.parquet")
+        return spread(df) if name == "documents" else df
+
+    def wide(self, name: str) -> DataFrame:
+        return spread(getattr(self, name))
 
 
 def _names(rnd):
