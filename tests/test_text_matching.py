@@ -1,0 +1,142 @@
+import json
+import math
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tabloom.operators import matching as M
+from tabloom.operators import text as T
+from tabloom.operators.graph import connected_components
+
+
+def one(df):
+    return df.first().asDict()
+
+
+@pytest.fixture(scope="module")
+def reviews(spark):
+    return spark.createDataFrame(
+        [(1, "I love this great product"), (2, "Terrible and AWFUL"), (3, "good but bad"), (4, "Plain words"), (5, None)], "id int, text string"
+    )
+
+
+def test_sentiment_rules(reviews):
+    got = {r["id"]: (r["sentiment"], round(r["confidence"], 2)) for r in T.sentiment(reviews, "text").collect()}
+    assert got == {1: ("positive", 0.8), 2: ("negative", 0.8), 3: ("neutral", 0.5), 4: ("neutral", 0.5), 5: ("neutral", 0.5)}
+
+
+def test_topics_without_hit_are_other(spark):
+    df = spark.createDataFrame([("the company market",), ("zzz",), ("a movie about software",)], "text string")
+    assert [(r["category"], round(r["confidence"], 1)) for r in T.classify_topics(df, "text").collect()] == [("business", 0.7), ("other", 0.5), ("technology", 0.6)]
+    assert T.classify_custom(df, "text", "travel, movie").collect()[0]["category"] == "travel"
+
+
+def test_entities_in_order_with_places(spark):
+    text = "On 2020-01-05 Anna Bell paid $1,200.50 to Carl."
+    got = [tuple(e) for e in one(T.extract_entities(spark.createDataFrame([(text,)], "text string"), "text"))["entities"]]
+    assert got == [("On", "PERSON", 0, 2), ("Anna Bell", "PERSON", 14, 23), ("Carl", "PERSON", 42, 46), ("2020-01-05", "DATE", 3, 13), ("$1,200.50", "MONEY", 29, 38)]
+
+
+def test_summaries(spark):
+    df = spark.createDataFrame([("One sentence here. Second one is here. Third.",), ("Short",), ("",)], "text string")
+    a = T.summarize(df, "text").collect()
+    assert a[0]["summary"] == "One sentence here." and a[1]["summary"] == "Short" and a[2]["compression_ratio"] == 1.0
+    assert T.summarize_extractive(df, "text").collect()[1]["summary"] == "Short."
+
+
+def test_keywords_break_ties_by_first_position(spark):
+    df = spark.createDataFrame([(1, "zebra apple zebra apple mango the the")], "id int, text string")
+    got = [(r["kind"], r["rank"], r["term"], r["term_count"]) for r in T.keywords(df, "id", "text").orderBy("kind", "rank").collect()]
+    assert got[:3] == [("keyword", 1, "zebra", 2), ("keyword", 2, "apple", 2), ("keyword", 3, "mango", 1)]
+    assert got[3] == ("phrase", 1, "zebra apple", 2)
+
+
+def test_language_votes(spark):
+    df = spark.createDataFrame([("der hund und die katze",), ("the cat and the dog",), ("12 34",)], "text string")
+    assert [(r["language_code"], r["confidence"]) for r in T.detect_language(df, "text").collect()] == [("de", 1.0), ("en", 1.0), ("en", 0.8)]
+
+
+def test_batch_annotate_falls_back_per_batch(reviews):
+    def fn(texts):
+        if any("Terrible" in t for t in texts):
+            raise RuntimeError
+        return json.dumps([{"sentiment": "checked"}] * len(texts))
+
+    got = T.batch_annotate(reviews.coalesce(1), "text", fn, "sentiment string", 1, T.sentiment_columns("text"))
+    assert {r["id"]: r["sentiment"] for r in got.collect()} == {1: "checked", 2: "negative", 3: "checked", 4: "checked", 5: "checked"}
+
+
+def components(pairs):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("pairs", [[(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 60)], [(1, 2), (3, 4), (4, 5), (9, 2)], [(5, 5)]])
+def test_components_of_chain_hub_and_parts(spark, pairs):
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "id_1 int, id_2 int")).collect()}
+    assert got == components([p for p in pairs if p[0] != p[1]])
+
+
+TEXTS = (
+    ["alpha beta gamma delta"] * 6
+    + ["alpha beta gamma delta epsilon", "alpha beta gamma zeta", "one two three four", "one two three five", "one two three four"]
+    + ["", "", "solo words only", "x"]
+)
+
+
+def brute_pairs(threshold):
+    docs = [Counter(re.findall(r"\w\w+", t)) for t in TEXTS]
+    n, df = len(docs), Counter(w for d in docs for w in d)
+    vecs = []
+    for d in docs:
+        v = {w: c * (math.log((1 + n) / (1 + df[w])) + 1) for w, c in d.items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        vecs.append({w: x / size for w, x in v.items()})
+    sims = {(i, j): sum(x * vecs[j].get(w, 0) for w, x in vecs[i].items()) for i in range(n) for j in range(i + 1, n)}
+    return {p: s for p, s in sims.items() if s > threshold}
+
+
+@pytest.mark.parametrize("threshold, block", [(0.5, 2), (0.8, 2), (0.8, 1000)])
+def test_similarity_tools_equal_brute_force(spark, monkeypatch, threshold, block):
+    monkeypatch.setattr(M, "POSTING_BLOCK", block)
+    want = brute_pairs(threshold)
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "id int, text string")
+    first = {}
+    for i, t in enumerate(TEXTS):
+        first.setdefault(t, i)
+    pairs = M.similar_pairs(df, "id", "text", threshold).collect()
+    reps = set(first.values())
+    assert {(r["id_1"], r["id_2"]): round(r["similarity"], 9) for r in pairs} == {p: round(s, 9) for p, s in want.items() if set(p) <= reps and TEXTS[p[0]] != TEXTS[p[1]]}
+    marked = {r["id"]: r for r in M.detect_duplicates(df, "id", ["text"], threshold, stop=(), max_features=None).collect()}
+    groups = components(want)
+    assert {i for i, r in marked.items() if r["is_duplicate"]} == {j for _, j in want}
+    assert {i: r["duplicate_group"] for i, r in marked.items()} == {i: groups.get(i, -1) for i in range(len(TEXTS))}
+    summary = one(M.duplicate_summary(df.sparkSession.createDataFrame(list(marked.values())), threshold))
+    assert summary["duplicates_found"] == len({j for _, j in want}) and summary["total_records"] == len(TEXTS)
+
+
+def test_entities_have_mean_pair_similarity(spark):
+    df = spark.createDataFrame([(1, "aa bb", 1.0), (2, "aa bb", 3.0), (3, "cc dd", 5.0)], "id int, name string, x double")
+    rows, canon = M.resolve_entities(df, "id", ["name", "x"], 0.8)
+    assert {r["id"]: (r["entity_id"], r["entity_group_size"]) for r in rows.collect()} == {1: (1, 2), 2: (1, 2), 3: (3, 1)}
+    c = one(canon)
+    assert (c["group_size"], c["name"], c["x"], round(c["confidence"], 9)) == (2, "aa bb", 2.0, 1.0)
+
+
+def test_patterns(spark):
+    df = spark.createDataFrame([("a@b.org", 1.0), ("c@d.org", 1.0), ("none here", 2.0)], "t string, x double")
+    got = {(r["column_name"], r["pattern_type"], r["matches"]) for r in M.discover_patterns(df, ["t", "x"]).collect()}
+    assert ("t", "Email", 2) in got and ("t", "Fixed Length", 2) in got and ("x", "Common Value", 2) in got
+    assert M.pattern_columns(df, ["t"]).where("t_email").count() == 2
+    assert df.select(F.length("t")).count() == 3
