@@ -214,26 +214,59 @@ def statistical_features(df: DataFrame, cols, order_by, partition_by=(), block_r
     return percentile_rank(zscore(full, cols), cols, block_rows)
 
 
+def _literal_key(row, schema) -> Column:
+    """The key columns of a collected row as one struct literal, for ordered comparison."""
+    return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def split_by_order(df: DataFrame, order_by, ratio: float = 0.7, name: str = "drift_period") -> DataFrame:
-    """First int(n * ratio) rows in order are 'Reference', the others 'Current'."""
+    """First int(n * ratio) rows in order are 'Reference', the others 'Current'.
+
+    Only the key columns are ordered; the key at the cut (one row) then labels the rows in place, so
+    the table itself is neither shuffled nor copied.  Keys that are null or repeat across the cut take
+    the slower way of numbering whole rows.
+    """
+    keys = as_list(order_by)
     cutoff = int(df.count() * ratio)
-    pos = positioned(df, order_by)
-    return pos.withColumn(name, F.when(F.col(POS) < cutoff, "Reference").otherwise("Current")).drop(POS)
+    pos = positioned(df.select(*keys), keys)
+    cut = pos.where(F.col(POS) == cutoff).first()
+    if cut is None:
+        return df.withColumn(name, F.lit("Reference" if cutoff else "Current"))
+    here, at = F.struct(*keys), _literal_key(cut, pos.drop(POS).schema)
+    straddles = pos.where((F.col(POS) < cutoff) & (here == at)).limit(1).count() > 0
+    if straddles or any(cut[k] is None for k in keys):
+        pos = positioned(df, keys)
+        return pos.withColumn(name, F.when(F.col(POS) < cutoff, "Reference").otherwise("Current")).drop(POS)
+    return df.withColumn(name, F.when(here < at, "Reference").otherwise("Current"))
 
 
 def split_random(df: DataFrame, keys, frac: float = 0.2, seed: int = 42, stratify=(), name: str = "split") -> DataFrame:
-    """Repeatable split: the first ceil(n * frac) rows of each stratum in hash order are 'test'."""
-    stratify = as_list(stratify)
-    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in as_list(keys)], F.lit(str(seed))))
-    hashed = df.withColumn("_h", digest)
-    pos = positioned(hashed, ["_h", *as_list(keys)], stratify)
-    if stratify:
-        span = pos.groupBy(*stratify).agg(F.min(POS).alias("_start"), F.count(F.lit(1)).alias("_n"))
-        pos = join_on(pos, span, stratify, "inner")
+    """Repeatable split: the first ceil(n * frac) rows of each stratum in hash order are 'test'.
+
+    Only strata, hashes and keys are ordered.  The last test key of each stratum is joined back (one row
+    per stratum) and compared in place.
+    """
+    keys, stratify = as_list(keys), as_list(stratify)
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    ids = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    narrow = df.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(stratify)], digest.alias("_h"), *ids)
+    strata = [f"_s{i}" for i in range(len(stratify))]
+    order = ["_h", *[f"_k{i}" for i in range(len(keys))]]
+    pos = positioned(narrow, order, strata)
+    spans = pos.groupBy(*strata).agg(F.min(POS).alias("_start"), F.count(F.lit(1)).alias("_n"))
+    take = F.ceil(F.col("_n") * F.lit(frac))
+    if strata:
+        ends = join_on(pos, spans, strata, "inner").where(F.col(POS) == F.col("_start") + take - 1)
+        ends = ends.select(*[F.col(s).alias(c) for s, c in zip(strata, stratify)], F.struct(*order).alias("_last"))
+        marked = join_on(df, ends, stratify, "left")
     else:
-        pos = pos.withColumns({"_start": F.lit(0), "_n": F.lit(df.count())})
-    is_test = F.col(POS) - F.col("_start") < F.ceil(F.col("_n") * F.lit(frac))
-    return pos.withColumn(name, F.when(is_test, "test").otherwise("train")).drop("_h", "_start", "_n", POS)
+        span = spans.select("_n", take.alias("take")).first()
+        last = pos.where(F.col(POS) == span["take"] - 1).first()
+        if last is None:
+            return df.withColumn(name, F.lit("train"))
+        marked = df.withColumn("_last", _literal_key(last, pos.select(*order).schema))
+    here = F.struct(digest.alias("_h"), *ids)
+    return marked.withColumn(name, F.when(here <= F.col("_last"), "test").otherwise("train")).drop("_last")
 
 
 def dedupe_first(df: DataFrame, subset=None, order_by=None) -> DataFrame:

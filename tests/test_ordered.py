@@ -94,3 +94,10 @@ def test_quantiles_by_group(skewed):
     got = {r["g"]: (r["q0"], r["q1"]) for r in Q.quantiles_by(skewed, "g", "v", [0.25, 0.5]).collect()}
     want = skewed.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5))).alias("q")).collect()
     assert got == {r["g"]: tuple(r["q"]) for r in want}
+
+
+def test_split_with_repeated_keys_keeps_the_exact_share(spark):
+    df = spark.createDataFrame([(i // 4, i) for i in range(10)], "k int, v int")
+    assert O.split_by_order(df, "k", 0.5).where("drift_period = 'Reference'").count() == 5
+    assert O.split_by_order(df, "k", 0.0).where("drift_period = 'Current'").count() == 10
+    assert O.split_by_order(df, ["k", "v"], 1.0).where("drift_period = 'Reference'").count() == 10
