@@ -192,7 +192,7 @@ def scale_standard(df: DataFrame, cols) -> DataFrame:
     return df.withColumns(made)
 
 
-def feature_pipeline(df: DataFrame, cols, kinds, order_by=None) -> DataFrame:
+def build_features(df: DataFrame, cols, kinds, order_by=None) -> DataFrame:
     """Run the chosen feature families over the given columns, in a fixed order."""
     families = {
         "statistical": lambda d: statistical_features(d, numeric_cols(df, cols), order_by),

@@ -139,7 +139,10 @@ def train(df: DataFrame, features, target: str, algorithm: str, task: str = "cla
         weight = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, n / (len(counts) * v))])
         labelled = labelled.withColumn("_weight", weight[F.col("label")])
         est = est.copy({est.weightCol: "_weight"})
-    stages = [*prep.stages, est.fit(labelled)]
+    # iterative fits read their rows many times: keep only what they need
+    rows = labelled.select("features", "label", *(["_weight"] if "_weight" in labelled.columns else [])).persist()
+    stages = [*prep.stages, est.fit(rows)]
+    rows.unpersist()
     if labels:
         stages.append(IndexToString(inputCol="prediction", outputCol="predicted", labels=labels))
     return PipelineModel(stages=stages)

@@ -352,7 +352,7 @@ def _(t):
 
 
 @query(
-    "feature_pipeline",
+    "build_features",
     "SELECT o_orderkey, o_orderdate, o_orderstatus, o_totalprice, "
     + ", ".join(
         f"CAST({e} AS INTEGER) AS o_orderdate_{n}"
@@ -369,7 +369,7 @@ def _(t):
 )
 def _(t):
     df = t.orders.select("o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice")
-    return E.feature_pipeline(df, ["o_orderdate", "o_orderstatus", "o_totalprice"], ["temporal", "categorical", "aggregation"])
+    return E.build_features(df, ["o_orderdate", "o_orderstatus", "o_totalprice"], ["temporal", "categorical", "aggregation"])
 
 
 @query(
