@@ -7,9 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.columns import as_list, kind_of, numeric_cols
+from tabloom.columns import as_list, numeric_cols
 from tabloom.functions.scalars import band
-from tabloom.operators.profile import column_facts, column_quality, cv_risk, pct
+from tabloom.operators.profile import column_facts, cv_risk, pct
 
 # fixed values: name keywords in order of precedence, with type, meaning, category and privacy level
 SEMANTIC_RULES = [
@@ -170,11 +170,3 @@ def governance_score(scores: DataFrame) -> DataFrame:
     wq, wr, wc = GOVERNANCE_WEIGHTS
     overall = F.col("quality_score") * wq + risk * wr + F.col("compliance_score") * wc
     return scores.withColumns({"risk_component": risk, "overall_score": overall, "grade": band(overall, [90, 80, 70], ["A", "B", "C", "D"])})
-
-
-def kinds(df: DataFrame) -> dict[str, str]:
-    return {f.name: kind_of(f.dataType) for f in df.schema.fields}
-
-
-def overall_quality(df: DataFrame, cols) -> float:
-    return column_quality(df, cols).agg(F.avg("overall_score")).first()[0]

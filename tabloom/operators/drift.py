@@ -12,7 +12,7 @@ from tabloom.columns import as_list, join_on, numeric_cols
 from tabloom.functions.stats import chi2_pvalue, ks_pvalue
 from tabloom.operators.joins import align_counts
 from tabloom.operators.ordered import running_total, split_by_order, split_random
-from tabloom.operators.profile import bin_of, numeric_profile, pct
+from tabloom.operators.profile import bin_of, numeric_profile
 
 # fixed values: weight of a column's score by its magnitude
 MAGNITUDE_WEIGHTS = {"High": 1.0, "Medium": 0.6, "Low": 0.3, "Minimal": 0.1}
@@ -171,7 +171,3 @@ def split_periods(df: DataFrame, order_by, ratio: float = 0.7, how: str = "tempo
         return marked.where("drift_period = 'test'").drop("drift_period"), marked.where("drift_period = 'train'").drop("drift_period")
     marked = split_by_order(df, order_by, ratio, "drift_period")
     return marked.where("drift_period = 'Reference'").drop("drift_period"), marked.where("drift_period = 'Current'").drop("drift_period")
-
-
-def missing_share(df: DataFrame, col: str) -> Column:
-    return pct(F.count_if(F.col(col).isNull()), F.count(F.lit(1)))
