@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ SPACES = "\\x20\\x09-\\x0D"
 
 __all__ = ["BATCH_ROWS", "SPACES", "batched", "cut_lineage", "lower_az", "read", "shared_folder", "short_batches"]
 
+_ROOT = str(Path(__file__).resolve().parents[2])
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,6 +28,11 @@ def lower_az(c) -> Column:
 
 
 def short_batches(spark: SparkSession) -> None:
+    """Short Arrow batches, and this package on the workers' path where the job wasn't submitted with it."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(":")
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = ":".join([_ROOT, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
