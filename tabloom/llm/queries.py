@@ -12,6 +12,10 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def _of_kind(kind: int):
+    return lambda span: span["kind"] == kind
+
+
 def _query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -47,3 +51,27 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = components(read(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@_query
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.exact_dedup import exact_duplicates
+
+    return exact_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), keep="largest")
+
+
+ORACLES["op9_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents) d
+WINDOW g AS (PARTITION BY t)
+"""
+
+
+@_query
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.secret_scan import BASE_RULES, scan_secrets, spans_text
+
+    found = scan_secrets(read(spark, sf_dir, "documents", "doc_id", "text"))
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)]
+    base = F.filter("spans", lambda s: s["kind"] < len(BASE_RULES))
+    return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
