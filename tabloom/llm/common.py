@@ -16,7 +16,7 @@ BATCH_ROWS = 1000
 #: What separates words in the contracts: space and the bytes 9 to 13.
 SPACES = "\\x20\\x09-\\x0D"
 
-__all__ = ["BATCH_ROWS", "SPACES", "batched", "cut_lineage", "lower_az", "read", "shared_folder", "short_batches"]
+__all__ = ["BATCH_ROWS", "SPACES", "batched", "cut_lineage", "lower_az", "read", "shared_folder", "short_batches", "written"]
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,3 +50,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors reach, below the one for checkpoints."""
     _ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by a table in the shared folder; readers then read only the columns they need."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -75,3 +75,30 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)]
     base = F.filter("spans", lambda s: s["kind"] < len(BASE_RULES))
     return found.select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.line_dedup import drop_repeated_lines
+
+    out = drop_repeated_lines(read(spark, sf_dir, "documents", "doc_id", "text"), removed="removed", n_lines="n_lines")
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "text")
+
+
+# the shortest runs that reach 10 words ahead of and up to each line, compared as strings
+ORACLES["op10_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d),
+w AS (SELECT doc_id, ls, i, greatest(1, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+'))) AS w FROM l),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto, sum(w) OVER (PARTITION BY doc_id) AS total FROM w),
+m AS (SELECT *, count(*) OVER (PARTITION BY doc_id ORDER BY upto - w RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ahead,
+             count(*) OVER (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 9 PRECEDING AND CURRENT ROW) AS back FROM c),
+r AS (SELECT doc_id, ls, i, ahead AS n FROM m WHERE total - upto + w >= 10
+      UNION SELECT doc_id, ls, i - back + 1, back FROM m WHERE upto >= 10),
+s AS (SELECT doc_id, i, n, min((doc_id, i)) OVER (PARTITION BY array_to_string(ls[i:i + n - 1], chr(10)), n) AS f FROM r),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS i FROM s WHERE (doc_id, i) <> f),
+k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+             coalesce(string_agg(l.ls[l.i], chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, k.text AS text FROM documents LEFT JOIN k USING (doc_id)
+"""
