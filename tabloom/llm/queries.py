@@ -102,3 +102,10 @@ k AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
       FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, k.text AS text FROM documents LEFT JOIN k USING (doc_id)
 """
+
+
+@_query
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
