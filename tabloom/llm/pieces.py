@@ -96,6 +96,14 @@ class PieceEncoder:
         head, *rest = text.split(" ")
         return self._all_ids(head) + b"".join(map(self._pieces.__getitem__, rest))
 
+    def encode_word(self, word: str) -> bytes:
+        """The ids of a space and a word."""
+        return self._pieces[word]
+
+    def encode_words(self, words: list[str]) -> bytes:
+        """The ids of each word with a space before it, in a row."""
+        return b"".join(map(self._pieces.__getitem__, words))
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4")
 

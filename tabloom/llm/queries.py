@@ -109,3 +109,12 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabloom.llm.embedding_dedup import near_duplicates
 
     return near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
+
+
+@_query
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.lm_score import score_documents
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return score_documents(docs, held_out, public_tokenizers.path("byte_bpe_50k.json"), ids=50257, end_id=50256)
