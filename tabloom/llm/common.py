@@ -36,7 +36,7 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def batched(df: DataFrame, fn, schema: str) -> DataFrame:
+def batched(df: DataFrame, fn, schema) -> DataFrame:
     """``mapInArrow`` with short batches."""
     short_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)

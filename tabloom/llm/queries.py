@@ -118,3 +118,19 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     return score_documents(docs, held_out, public_tokenizers.path("byte_bpe_50k.json"), ids=50257, end_id=50256)
+
+
+@_query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.language_id import identify, train
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return identify(docs, train(docs.where(~F.coalesce(held_out, F.lit(False)))), held_out)
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import batched, cut_lineage
+from tabloom.llm.common import batched, written
 from tabloom.operators.graph import connected_components
 
 SHINGLE_WORDS, MAX_DISTANCE, SEED = 4, 4, 42
@@ -66,15 +66,15 @@ def _fingerprinter(words: int):
     def run(batches):
         for batch in batches:
             made = [fingerprint(t or "", words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.int64())], names=["doc_id", "h", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit fingerprint of every row."""
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return batched(narrow, _fingerprinter(shingle_words), "doc_id long, fp long")
+    """(doc_id, h, fp): a hash of the text and its signed 64-bit fingerprint, for every row."""
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    return batched(narrow, _fingerprinter(shingle_words), "doc_id long, h long, fp long")
 
 
 def segments(max_distance: int) -> list[tuple[int, int]]:
@@ -131,14 +131,37 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest document id reachable over links, for every row."""
-    marked = cut_lineage(fingerprints(docs, doc_id, text, shingle_words))
-    smallest = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    smallest = cut_lineage(smallest)
+    """(doc_id, h, fp, group, component_id) for every row.
+
+    ``component_id`` is the smallest document id reachable over links, ``group`` the smallest fingerprint,
+    ``h`` a hash of the text.
+    """
+    marked = written(fingerprints(docs, doc_id, text, shingle_words), "fingerprints")
+    smallest = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     joined = connected_components(links(smallest.select("fp"), max_distance))
     # only fingerprints that link with others stand in ``joined``
     linked = joined.join(smallest, joined["node"] == smallest["fp"]).select("fp", "component", "least")
     roots = linked.groupBy("component").agg(F.min("least").alias("root"))
-    named = linked.select("fp", "component").join(roots, "component").select(F.col("fp").alias("fp_2"), "root")
-    final = smallest.join(named, F.col("fp") == F.col("fp_2"), "left").select(F.col("fp").alias("fp_1"), F.coalesce("root", "least").alias("component_id"))
-    return marked.join(final, F.col("fp") == F.col("fp_1")).select("doc_id", "fp", "component_id")
+    named = linked.select("fp", "component").join(roots, "component").select(F.col("fp").alias("fp_2"), "component", "root")
+    final = smallest.join(named, F.col("fp") == F.col("fp_2"), "left").select(
+        F.col("fp").alias("fp_1"), F.coalesce("component", "fp").alias("group"), F.coalesce("root", "least").alias("component_id")
+    )
+    return marked.join(final, F.col("fp") == F.col("fp_1")).select("doc_id", "h", "fp", "group", "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row of each group, with all columns: the one of the smallest document id (null last).
+
+    Rows of that same id are told apart by a hash of the text, and of rows that repeat both any one stays.
+    """
+    found = components(docs, doc_id, text, **how)
+    keys = found.groupBy("group", "doc_id", "h").agg(F.count("*").alias("rows"))
+    first = keys.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "rows")).alias("k"))
+    prefix = "kept"
+    while any(c.lower().startswith(f"{prefix}_") for c in docs.columns):
+        prefix += "x"
+    first = written(first.select(F.col("k.doc_id").alias(f"{prefix}_id"), F.col("k.h").alias(f"{prefix}_h"), F.col("k.rows").alias(f"{prefix}_rows")), "kept")
+    same = F.col(doc_id).cast("long").eqNullSafe(F.col(f"{prefix}_id")) & (F.xxhash64(text) == F.col(f"{prefix}_h"))
+    alone = docs.join(first.where(F.col(f"{prefix}_rows") == 1), same, "left_semi")
+    again = docs.join(first.where(F.col(f"{prefix}_rows") > 1), same).drop(f"{prefix}_rows").dropDuplicates([f"{prefix}_id", f"{prefix}_h"])
+    return alone.unionByName(again.select(*docs.columns))
