@@ -78,8 +78,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
 
 
 def segments(max_distance: int) -> list[tuple[int, int]]:
-    """(lowest bit, width) of the segments: the fewest for which one differs by at most one bit."""
-    count = max_distance // 2 + 1
+    """(lowest bit, width) of the segments: the fewest, at least two, for which one differs by at most one bit."""
+    count = max(2, max_distance // 2 + 1)
     edges = [FINGERPRINT_BITS * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
