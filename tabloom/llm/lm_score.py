@@ -83,6 +83,19 @@ def vocabulary(training: DataFrame, path: str) -> DataFrame:
     return written(batched(counted, _encode_words(path), "word string, n long, ids binary"), "vocabulary")
 
 
+def frequent_words(vocab: DataFrame, most: int = FREQUENT_WORDS, longest: int = FREQUENT_LENGTH) -> DataFrame:
+    """(word, n) of the words whose count reaches a bound that at most ``most`` words reach."""
+    level = F.floor(F.log2("n") * 8)  # eighths of an octave: a few hundred levels at any size
+    short = vocab.where(F.length("word") <= longest).select("word", "n", level.alias("level"))
+    bound, held = None, 0
+    for row in sorted(short.groupBy("level").agg(F.count("*").alias("words")).collect(), reverse=True):
+        held += row["words"]
+        if held > most:
+            break
+        bound = row["level"]
+    return short.where(F.lit(False) if bound is None else F.col("level") >= bound).select("word", "n")
+
+
 def _word_ids(batch):
     ids = [np.frombuffer(i, dtype="<u4") for i in batch.column(2).to_pylist()]
     return ids, batch.column(1).to_numpy(zero_copy_only=False)
@@ -257,8 +270,7 @@ def score_documents(
     total = vocab.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n, v = total["n"] + n_texts, total["v"] + (n_texts > 0)
     classes, parameters = fit(training, vocab, n_texts, path, ids, end_id, train_tokens)
-    short = vocab.where(F.length("word") <= FREQUENT_LENGTH).select("word", "n")
-    frequent = short.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).toArrow()
+    frequent = frequent_words(vocab).toArrow()
     norm = math.log10(n + v + 1)
     known = {w: math.log10(c + 1) - norm for w, c in zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist())}
     model = Model(classes, parameters, known, math.log10(n_texts + 1) - norm, int(n_texts > 0))
