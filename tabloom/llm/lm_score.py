@@ -208,7 +208,7 @@ class Model:
 
 
 def fit(training: DataFrame, vocab: DataFrame, n_texts: int, path: str, ids: int, end_id: int, train_tokens: int) -> tuple[attention.Classes, dict]:
-    """``training`` has text and pick (a hash, evenly spread); texts below a share of it are the sample."""
+    """``training`` has text and pick, a hash of the row, so that copies are picked one by one; low hashes are the sample."""
     classes = corpus_classes(vocab, n_texts, ids, end_id)
     tokens = (vocab.agg(F.sum(F.col("n") * F.length("ids") / 4)).first()[0] or 0) + n_texts
     share = min(1.0, train_tokens / max(tokens, 1))
@@ -264,7 +264,7 @@ def score_documents(
     byte-level BPE file of ``ids`` ids, ``end_id`` the one that stands for the end.
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    training = narrow.where(~F.col("held_out")).select("text", F.xxhash64("doc_id").alias("pick"))
+    training = narrow.where(~F.col("held_out")).select("text", F.xxhash64(F.monotonically_increasing_id()).alias("pick"))
     n_texts = training.count()
     vocab = vocabulary(training, path)
     total = vocab.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
