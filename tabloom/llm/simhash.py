@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import batched, written
+from tabloom.llm.common import all_columns, batched, skewed_join, written
 from tabloom.operators.graph import connected_components
 
 SHINGLE_WORDS, MAX_DISTANCE, SEED = 4, 4, 42
@@ -137,16 +137,16 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     ``h`` a hash of the text.
     """
     marked = written(fingerprints(docs, doc_id, text, shingle_words), "fingerprints")
-    smallest = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    smallest = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "distinct")
     joined = connected_components(links(smallest.select("fp"), max_distance))
     # only fingerprints that link with others stand in ``joined``
     linked = joined.join(smallest, joined["node"] == smallest["fp"]).select("fp", "component", "least")
     roots = linked.groupBy("component").agg(F.min("least").alias("root"))
     named = linked.select("fp", "component").join(roots, "component").select(F.col("fp").alias("fp_2"), "component", "root")
     final = smallest.join(named, F.col("fp") == F.col("fp_2"), "left").select(
-        F.col("fp").alias("fp_1"), F.coalesce("component", "fp").alias("group"), F.coalesce("root", "least").alias("component_id")
+        F.col("fp").alias("fp_1"), F.coalesce("component", "fp").alias("group"), F.coalesce("root", "least").alias("component_id"), "copies"
     )
-    return marked.join(final, F.col("fp") == F.col("fp_1")).select("doc_id", "h", "fp", "group", "component_id")
+    return skewed_join(marked, written(final, "groups"), {"fp": "fp_1"}, "copies").select("doc_id", "h", "fp", "group", "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -164,4 +164,4 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how)
     same = F.col(doc_id).cast("long").eqNullSafe(F.col(f"{prefix}_id")) & (F.xxhash64(text) == F.col(f"{prefix}_h"))
     alone = docs.join(first.where(F.col(f"{prefix}_rows") == 1), same, "left_semi")
     again = docs.join(first.where(F.col(f"{prefix}_rows") > 1), same).drop(f"{prefix}_rows").dropDuplicates([f"{prefix}_id", f"{prefix}_h"])
-    return alone.unionByName(again.select(*docs.columns))
+    return alone.unionByName(again.select(*all_columns(docs)))
