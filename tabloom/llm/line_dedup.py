@@ -19,8 +19,8 @@ or to the run's start and then forward.  So the deleted lines are exactly those
 all maximal repeated runs of that weight, and doubling may stop at ``min_words`` lines, however long the
 runs are.
 
-A line or run that stands in a third of all documents is one row after the first aggregation; joins back
-to its places are equality joins, whose large partitions Spark splits.
+A line or run that stands in a third of all documents is one row after the first aggregation, and is
+broadcast to its places, as are all runs of more than a thousandth of the places.
 
 Edge cases: a null text stays null; an empty text is one blank line; rows that repeat a document id and
 its text are one document to the sequence and get the same result; rows of equal ids and different texts
@@ -32,10 +32,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import SPACES, written
+from tabloom.llm.common import SPACES, all_columns, skewed_join, written
 
 MIN_WORDS = 10
 
@@ -85,10 +85,9 @@ def _sequence(docs: DataFrame, min_words: int) -> DataFrame:
 def _ranked(places: DataFrame, keys: list[str]) -> DataFrame:
     """(pos, past, rank) of the places whose keys occur more than once; ranks follow the order of the keys."""
     repeated = places.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-    ranks = repeated.orderBy(*keys).select(*[F.col(k).alias(f"{k}_of") for k in keys], F.monotonically_increasing_id().alias("rank"))
-    ranks = written(ranks, "ranks")  # numbered once: both readers must see the same ranks
-    same = reduce(Column.__and__, [F.col(k) == F.col(f"{k}_of") for k in keys])
-    return written(places.join(ranks, same).select("pos", "past", "rank"), "ranked")
+    ranks = repeated.orderBy(*keys).select(*[F.col(k).alias(f"{k}_of") for k in keys], F.monotonically_increasing_id().alias("rank"), "n")
+    ranks = written(ranks, "ranks")  # numbered once: all readers must see the same ranks
+    return written(skewed_join(places, ranks, {k: f"{k}_of" for k in keys}, "n").select("pos", "past", "rank"), "ranked")
 
 
 def suffix_ranks(lines: DataFrame, steps: int) -> list[DataFrame]:
@@ -110,9 +109,9 @@ def _later_copies(runs: DataFrame, ranks: DataFrame, size: int) -> DataFrame:
     covered = runs.join(first, "pos").withColumn("tail", F.col("pos") + F.col("n") - size)
     covered = written(covered.join(second, F.col("tail") == F.col("at")).select("pos", "n", "rank1", "rank2"), "runs")
     interval = covered.groupBy("n", "rank1", "rank2").agg(F.min("pos").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    interval = interval.select(F.col("n").alias("n_of"), F.col("rank1").alias("rank1_of"), F.col("rank2").alias("rank2_of"), "first")
-    same = (F.col("n") == F.col("n_of")) & (F.col("rank1") == F.col("rank1_of")) & (F.col("rank2") == F.col("rank2_of"))
-    return covered.join(interval, same & (F.col("pos") > F.col("first"))).select("pos", "n")
+    interval = interval.select(F.col("n").alias("n_of"), F.col("rank1").alias("rank1_of"), F.col("rank2").alias("rank2_of"), "first", "copies")
+    joined = skewed_join(covered, written(interval, "intervals"), {"n": "n_of", "rank1": "rank1_of", "rank2": "rank2_of"}, "copies")
+    return joined.where(F.col("pos") > F.col("first")).select("pos", "n")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -165,4 +164,4 @@ def drop_repeated_lines(
         more[removed] = F.coalesce(F.array_sort(gone), F.array().cast("array<int>"))
     if n_lines:
         more[n_lines] = F.when(lines.isNull(), F.lit(0)).otherwise(F.size(lines))
-    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in docs.columns], *[v.alias(k) for k, v in more.items()])
+    return joined.select(*[clean.alias(n) if n == text else c for n, c in zip(docs.columns, all_columns(docs))], *[v.alias(k) for k, v in more.items()])
