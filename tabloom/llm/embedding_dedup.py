@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import batched, written
+from tabloom.llm.common import batched, skewed_join, written
 from tabloom.operators.graph import connected_components
 
 MIN_COSINE = 0.98
@@ -166,8 +166,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", label: str = "la
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     told = nodes.join(rooted, "node", "left").join(counts, "node", "left").select(
         F.col("label").alias("label_of"), F.col("vector").alias("vector_of"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "least").alias("root"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "least").alias("root"), "copies",
     )
-    out = rows.withColumn("usable", usable).join(told, F.col("usable") & (F.col("label") == F.col("label_of")) & (F.col("vector") == F.col("vector_of")), "left")
+    out = skewed_join(rows, written(told, "told"), {"label": "label_of", "vector": "vector_of"}, "copies", "left")
     component = F.when(F.col("label_of").isNull(), F.col("vec_id")).otherwise(F.col("root"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

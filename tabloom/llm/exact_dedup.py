@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import batched, cut_lineage
+from tabloom.llm.common import batched, cut_lineage, skewed_join
 
 FAN_IN = 8
 RUN_ENTRIES = 100_000
@@ -155,8 +155,9 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     digests = cut_lineage(batched(narrow, _digests, DIGESTS))
     groups = cut_lineage(merged_runs(digests, keep, fan_in)).where("size > 1")  # all others stand alone
-    groups = groups.select(F.struct("digest", "n_bytes", "check").alias("of"), "size", "keep_id", "keep_row")
-    joined = digests.join(groups, F.struct("digest", "n_bytes", "check") == F.col("of"), "left")
+    key = ["digest", "n_bytes", "check"]
+    groups = groups.select(*[F.col(k).alias(f"{k}_of") for k in key], "size", "keep_id", "keep_row")
+    joined = skewed_join(digests, groups, {k: f"{k}_of" for k in key}, "size", "left")
     alone = F.col("size").isNull()
     return joined.select(
         "doc_id",
