@@ -29,7 +29,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import cut_lineage, lower_az
+from tabloom.llm.common import all_columns, cut_lineage, lower_az
 
 #: Candidates are broadcast up to this many documents (about 40 bytes each), else joined by a shuffle.
 BROADCAST_CANDIDATES = 200_000
@@ -244,4 +244,4 @@ def redact_secrets(docs: DataFrame, rules=RULES, doc_id: str = "doc_id", text: s
 
     done = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
     clean = F.when(F.size(spans) > 0, done).otherwise(F.col(text))
-    return marked.withColumn(text, clean).select(*docs.columns)
+    return marked.withColumn(text, clean).select(*all_columns(docs))

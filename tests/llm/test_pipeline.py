@@ -4,6 +4,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -72,6 +73,18 @@ def test_whole_run(spark):
     assert length and all(n == tokens for (_, tokens), n in length.items())
 
 
+def test_extra_columns_and_nulls(spark):
+    rows = [(None, None, None, None, None), (1, "kamo tuka", None, None, None), (None, "mole rika sa", "aa", None, 3), (None, "mole rika sa", "aa", None, 3), (2, "schung ver token = abcdefgh", "bb", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("odd.name", "h", "fp", "spans", "score", "pos", "kept_id", "scan_key", "ld_h", "group", "component_id"):
+        docs = docs.withColumn(name, F.lit(1))
+    want = dict(zip([n for n, _ in corpus_pipeline.STAGES], [4, 5, 4, 5]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and out.count() == want[name], name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= 5
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES[:-1]:
