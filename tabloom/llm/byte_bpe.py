@@ -1,14 +1,15 @@
 """Byte-level BPE by merge ranks: encode whole texts, decode ids.
 
-The bytes of a pre-token form a linked list.  Every adjacent pair that has a merge rank lies in the
-bucket of that rank; a hierarchical bitmap over the ranks tells the lowest bucket that holds anything by
-find-first-set, one word per level.  Merging a pair changes its neighbours' pairs: the new ones are
-added, the old entries stay and are skipped when they come up.  A pre-token of n bytes so costs n steps
-times the few levels of the bitmap, however long it is.
+The bytes of many pre-tokens form one linked list, cut between them.  Every adjacent pair that has a
+merge rank lies in the bucket of that rank; a hierarchical bitmap over the ranks, a word on top whose bits
+stand for words below, tells the lowest bucket that holds anything by find-first-set.  Merging a pair
+changes its neighbours' pairs: the new ones are added, the old entries stay and are skipped when they
+come up.  A pre-token of n bytes so costs n steps of constant work, however long it is, and the pre-tokens
+of many texts share the walk over the ranks.
 
-Of equal ranks the leftmost merges first, and a merge that makes a lower rank is followed up at once, so
-the ids are those of repeatedly merging the leftmost lowest pair.  A pre-token that is itself in the
-vocabulary is that one id.
+Of equal ranks the leftmost merges first.  A merge that makes a lower rank is followed up before the rest
+of its pre-token; other pre-tokens need not wait.  So the ids are those of repeatedly merging the leftmost
+lowest pair.  A pre-token that is itself in the vocabulary is that one id.
 
 Edge cases: a null text is an empty one and gives no ids; special tokens' strings are ordinary text;
 unpaired surrogates can't occur in Spark strings; repeated rows and equal ids each give a row; an empty
@@ -20,6 +21,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
+from bisect import bisect_right
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +33,20 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import batched
 from tabloom.llm.pieces import Kept, spaces_stand_alone
 
-WORD_BITS = 256
+#: Texts are encoded together up to so many characters; pre-tokens and pieces kept per worker.
+CHUNK_CHARS = 1 << 20
+MAX_KEPT = 500_000
 
 
 class RankQueue:
-    """Buckets of positions by rank, with a bitmap of several levels over the ranks that hold any."""
+    """Buckets of positions by rank, with a bitmap of two levels over the ranks that hold any."""
 
     def __init__(self, ranks: int):
+        self._shift = (ranks.bit_length() + 1) // 2
+        self._bits = [1 << b for b in range(1 << self._shift)]
+        self._low = [0] * ((ranks >> self._shift) + 1)
+        self._top = 0
         self._buckets: dict[int, list[int]] = {}
-        self._levels: list[list[int]] = []
-        size = ranks
-        while True:
-            size = -(-size // WORD_BITS)
-            self._levels.append([0] * size)
-            if size == 1:
-                break
 
     def push(self, rank: int, position: int) -> None:
         bucket = self._buckets.get(rank)
@@ -52,36 +54,30 @@ class RankQueue:
             bucket.append(position)
             return
         self._buckets[rank] = [position]
-        for level in self._levels:
-            rank, bit = divmod(rank, WORD_BITS)
-            held = level[rank]
-            level[rank] = held | 1 << bit
-            if held:
-                break
+        high = rank >> self._shift
+        self._low[high] |= self._bits[rank & len(self._bits) - 1]
+        self._top |= 1 << high
 
     def take_first(self) -> tuple[int, list[int]] | None:
         """The lowest rank that holds positions, and those in order; they leave the queue."""
-        at = 0
-        for level in reversed(self._levels):
-            word = level[at]
-            if not word:
-                return None
-            at = at * WORD_BITS + (word & -word).bit_length() - 1
-        rank = at
-        for level in self._levels:
-            at, bit = divmod(at, WORD_BITS)
-            level[at] &= ~(1 << bit)
-            if level[at]:
-                break
+        if not self._top:
+            return None
+        high = (self._top & -self._top).bit_length() - 1
+        word = self._low[high]
+        first = word & -word
+        self._low[high] = word ^ first
+        if word == first:
+            self._top ^= 1 << high
+        rank = (high << self._shift) + first.bit_length() - 1
         bucket = self._buckets.pop(rank)
         bucket.sort()
         return rank, bucket
 
 
 class ByteBPE:
-    """Encoder and decoder for one file of ranks; a worker keeps the ids of the pre-tokens it met, up to a limit."""
+    """Encoder and decoder for one file of ranks; a worker keeps what it has encoded, up to a limit."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, limit: int = MAX_KEPT):
         with open(path, "rb") as lines:
             self._ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
         self.tokens = {rank: token for token, rank in self._ranks.items()}
@@ -92,69 +88,109 @@ class ByteBPE:
         self._queue = RankQueue(size)
         self._bytes = [self._ranks.get(bytes([b]), -1) for b in range(256)]
         self._pairs = Kept(self._pair_rank)
-        self._words = Kept(self._word_ids)
-        self._pieces = Kept(self._spaced_ids)
+        self._limit = limit
+        self._words: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
 
     def _pair_rank(self, pair: int) -> int:
         return self._ranks.get(self.tokens[pair >> self._shift] + self.tokens[pair & self._mask], -1)
 
-    def merge(self, word: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        whole = self._ranks.get(word)
-        if whole is not None:
-            return [whole]
-        ids = [self._bytes[b] for b in word]
-        if min(ids) < 0:
-            raise ValueError("the vocabulary lacks a byte")
+    def merge(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each pre-token."""
         shift, pairs, queue = self._shift, self._pairs, self._queue
         push = queue.push
-        after, before = [*range(1, len(ids)), -1], list(range(-1, len(ids) - 1))
-        for at in range(len(ids) - 1):
-            if (rank := pairs[ids[at] << shift | ids[at + 1]]) >= 0:
+        ids, before, after, ends = [], [], [], []
+        for word in words:
+            start, whole = len(ids), self._ranks.get(word)
+            ids += [whole] if whole is not None else [self._bytes[b] for b in word]
+            ends.append(len(ids))
+            before += range(start - 1, len(ids) - 1)
+            after += range(start + 1, len(ids) + 1)
+            if len(ids) > start:
+                before[start] = after[-1] = -1
+        if ids and min(ids) < 0:
+            raise ValueError("the vocabulary lacks a byte")
+        for at, right in enumerate(after):
+            if right >= 0 and (rank := pairs[ids[at] << shift | ids[right]]) >= 0:
                 push(rank, at)
         while (first := queue.take_first()) is not None:
             rank, bucket = first
-            for done, at in enumerate(bucket, 1):
+            waits = -1  # places before this one belong to a pre-token with a lower rank to follow up
+            for at in bucket:
                 left, right = ids[at], after[at]
                 if left < 0 or right < 0 or pairs[left << shift | ids[right]] != rank:
                     continue  # stale: one of the two has merged with another neighbour
+                if at < waits:
+                    push(rank, at)
+                    continue
                 follower, leader = after[right], before[at]
                 ids[at], ids[right], after[at] = rank, -1, follower
-                lowest = rank
                 if follower >= 0:
                     before[follower] = at
                     if (made := pairs[rank << shift | ids[follower]]) >= 0:
                         push(made, at)
-                        lowest = min(lowest, made)
+                        if made < rank:
+                            waits = ends[bisect_right(ends, at)]
                 if leader >= 0 and (made := pairs[ids[leader] << shift | rank]) >= 0:
                     push(made, leader)
-                    lowest = min(lowest, made)
-                if lowest < rank:
-                    for later in bucket[done:]:
-                        push(rank, later)
-                    break
-        return [i for i in ids if i >= 0]
-
-    def _word_ids(self, word: str) -> bytes:
-        return array("I", self.merge(word.encode())).tobytes()
-
-    def _text_ids(self, text: str) -> bytes:
-        return b"".join([self._words[w] for w in self._matches(text)])
-
-    def _spaced_ids(self, piece: str) -> bytes:
-        return self._text_ids(" " + piece)
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; a space alone between two characters opens a match."""
-        if not spaces_stand_alone(text):
-            return self._text_ids(text)
-        head, *rest = text.split(" ")
-        return self._text_ids(head) + b"".join(map(self._pieces.__getitem__, rest))
+                    if made < rank:
+                        waits = ends[bisect_right(ends, at)]
+        return [[i for i in ids[a:b] if i >= 0] for a, b in zip([0, *ends], ends)]
+
+    def _spaced(self, piece: str) -> list[str]:
+        """Pre-tokens of a space and a piece; letters are one match, a full stop or comma after them another."""
+        if piece.isalpha():
+            return [" " + piece]
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+            return [" " + piece[:-1], piece[-1]]
+        return self._matches(" " + piece)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        A space alone between two characters opens a match, so texts are cut there and a piece is matched
+        and merged once.
+        """
+        words, pieces = self._words, self._pieces
+        heads: list[list[str]] = []  # pre-tokens of each text's first piece, or of a text that can't be cut
+        rests: list[list[str]] = []
+        for text in texts:
+            head, *rest = text.split(" ") if spaces_stand_alone(text) else [text]
+            heads.append(self._matches(head))
+            rests.append(rest)
+        matches = {p: self._spaced(p) for p in {p for rest in rests for p in rest if p not in pieces}}
+        wanted = {w for found in (*matches.values(), *heads) for w in found}
+        fresh = [w for w in wanted if w not in words]
+        made = {w: array("I", ids).tobytes() for w, ids in zip(fresh, self.merge([w.encode() for w in fresh]))}
+        known = {w: made[w] if w in made else words[w] for w in wanted}
+        new = {p: b"".join([known[w] for w in found]) for p, found in matches.items()}
+        for kept, found in ((words, made), (pieces, new)):
+            if len(kept) < self._limit:
+                kept.update(islice(found.items(), self._limit - len(kept)))
+        out = []
+        for head, rest in zip(heads, rests):
+            ids = [known[w] for w in head]
+            ids += [new[p] if i is None else i for p, i in zip(rest, map(pieces.get, rest))]
+            out.append(b"".join(ids))
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
+def _chunks(texts: list[str]):
+    """The texts in runs of about CHUNK_CHARS characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= CHUNK_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 _CODERS: dict = {}
 
 
@@ -172,7 +208,7 @@ def _encoder(path: str, pattern: str):
     def run(batches):
         encode = coder(path, pattern).encode
         for batch in batches:
-            ids = [encode(text or "") for text in batch.column(1).to_pylist()]
+            ids = [i for chunk in _chunks([t or "" for t in batch.column(1).to_pylist()]) for i in encode(chunk)]
             lengths = pa.array([len(i) // 4 for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), lengths, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 

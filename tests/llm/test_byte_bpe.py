@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from tabloom.llm.byte_bpe import RankQueue, coder, decode_documents, encode_documents, round_trip_digests
+from tabloom.llm.byte_bpe import ByteBPE, RankQueue, coder, decode_documents, encode_documents, round_trip_digests
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -29,11 +29,20 @@ def texts():
 
 
 def test_ids_equal_the_library(library):
+    for limit in (10, 100_000):
+        own = ByteBPE(RANKS, PATTERN, limit)
+        for _ in range(2):
+            for text, ids in zip(texts(), own.encode(texts())):
+                assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(text), repr(text[:80])
+                assert own.decode(ids) == text.encode()
+
+
+def test_words_merged_together_equal_words_alone(library):
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("aabthine s") for _ in range(rnd.randrange(1, 40))).encode() for _ in range(500)]
     own = coder(RANKS, PATTERN)
-    for text in texts():
-        ids = np.frombuffer(own.encode(text), "<u4").tolist()
-        assert ids == library.encode_ordinary(text), repr(text[:80])
-        assert own.decode(own.encode(text)) == text.encode()
+    together = own.merge(words)
+    assert together == [own.merge([w])[0] for w in words]
 
 
 def test_queue_gives_lowest_rank_first():
