@@ -70,6 +70,10 @@ class PieceEncoder:
     def _all_ids(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _letters(self, word: str) -> bool:
+        """True if the word is letters alone, normalised as well: a normaliser may turn a letter into a letter and a mark."""
+        return word.isalpha() and (self._normalizer is None or word.isascii() or self._normalizer.normalize_str(word).isalpha())
+
     def _word_ids(self, word: str) -> bytes:
         """A word of letters, with the space before it or not, is one match: only normaliser and merges are needed."""
         if self._normalizer is not None:
@@ -80,10 +84,10 @@ class PieceEncoder:
         """Letters, one full stop or comma after them and one line feed after that are separate matches."""
         before, feed, after = piece.partition("\n")
         if feed:
-            return self._piece(before) + self._marks[feed] + self._words[after] if after.isalpha() and before else self._all_ids(self._lead + piece)
-        if piece.isalpha():
+            return self._piece(before) + self._marks[feed] + self._words[after] if self._letters(after) and before else self._all_ids(self._lead + piece)
+        if self._letters(piece):
             return self._words[self._lead + piece]
-        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+        if piece[-1:] in (".", ",") and self._letters(piece[:-1]):
             return self._words[self._lead + piece[:-1]] + self._marks[piece[-1]]
         return self._all_ids(self._lead + piece)
 

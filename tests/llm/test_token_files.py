@@ -60,3 +60,11 @@ def test_empty_table(spark):
     folder = shared_folder(spark, "test-tokens")
     write_tokens(spark.createDataFrame([], "doc_id long, text string"), folder, PATH)
     assert read_digests(spark, folder).count() == 0
+
+
+@pytest.mark.parametrize("path,space_led", [(PATH, True), (WORD_PATH, False)])
+def test_letters_that_normalise_to_several_matches(path, space_led):
+    plain, encoder = Tokenizer.from_file(path), PieceEncoder(path, space_led)
+    for word in ("İstanbul", "क़म", "יִיִ", "xİ"):
+        for text in (word, f"a {word} b", f"in {word}, {word}. {word}", f"a b\n{word}"):
+            assert encoder.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text
