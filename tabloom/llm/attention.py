@@ -219,34 +219,47 @@ def _gradients(p: dict, classes: Classes, inputs: np.ndarray, target: np.ndarray
     return loss / n, g
 
 
-def train(classes: Classes, texts: list[np.ndarray], epochs: int = 2, batch: int = BATCH_WINDOWS, rate: float = 8e-3, seed: int = 0) -> dict[str, np.ndarray]:
-    """Adam over the texts in random windows, with a rate that falls to a tenth; no texts: the start values without effect."""
-    p = new_parameters(seed)
-    if not texts:
-        p["cluster"][:], p["place"][:] = 0, 0
-        return p
-    target = np.concatenate([classes.class_of[t] for t in texts])
-    begins = np.cumsum([0] + [len(t) for t in texts[:-1]])
-    source = np.concatenate([[START], target[:-1]])
-    source[begins] = START
+def without_effect(p: dict) -> dict:
+    """Parameters that leave the log-probabilities of the pairs as they are."""
+    return {name: np.zeros_like(x) if name in ("cluster", "place") else x for name, x in p.items()}
+
+
+def weight_shape(name: str, x: np.ndarray) -> tuple[int, ...]:
+    """Embeddings and places are averaged by what was seen of their class or cluster, all others by the places."""
+    return (len(x) if name in ("embed", "place") else 1, *[1] * (x.ndim - 1))
+
+
+def train(
+    classes: Classes, blocks: list[np.ndarray], p: dict, begin: float = 0.0, end: float = 1.0, batch: int = BATCH_WINDOWS, rate: float = 8e-3, seed: int = 0
+) -> tuple[dict, dict]:
+    """Adam over the blocks in random windows, once, from a copy of ``p``: (parameters, weights for averages).
+
+    A block is the id before it (the number of ids before a text) and its ids.  The rate falls to a tenth
+    over the whole training, of which this is the part from ``begin`` to ``end``.
+    """
+    p = {name: x.copy() for name, x in p.items()}
+    class_of = np.append(classes.class_of, START)
+    target = class_of[np.concatenate([b[1:] for b in blocks])]
+    source = class_of[np.concatenate([b[:-1] for b in blocks])]
     count = len(target) // CONTEXT
     if not count:
         source = np.concatenate([source, np.full(CONTEXT, START)])
         target = np.concatenate([target, np.full(CONTEXT, HEAD)])
         count = 1
+    seen = {"embed": np.bincount(source, minlength=len(p["embed"])), "place": np.bincount(target // PLACES, minlength=CLUSTERS)[:CLUSTERS]}
+    weights = {name: seen.get(name, np.array([len(target)])).reshape(weight_shape(name, x)) for name, x in p.items()}
     rng = np.random.default_rng(seed)
-    steps = epochs * -(-count // batch)
+    steps = -(-count // batch)
     first, second = ({name: np.zeros_like(x) for name, x in p.items()} for _ in range(2))
     step = 0
-    for _ in range(epochs):
-        starts = rng.permutation(count) * CONTEXT + int(rng.integers(0, max(1, len(target) - count * CONTEXT + 1)))
-        for a in range(0, count, batch):
-            where = starts[a : a + batch, None] + np.arange(CONTEXT)
-            _, g = _gradients(p, classes, source[where], target[where])
-            step += 1
-            pace = rate * (1 - 0.9 * step / steps)
-            for name, grad in g.items():
-                first[name] += 0.1 * (grad - first[name])
-                second[name] += 0.01 * (grad * grad - second[name])
-                p[name] -= (pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype("f4")
-    return p
+    starts = rng.permutation(count) * CONTEXT + int(rng.integers(0, max(1, len(target) - count * CONTEXT + 1)))
+    for a in range(0, count, batch):
+        where = starts[a : a + batch, None] + np.arange(CONTEXT)
+        _, g = _gradients(p, classes, source[where], target[where])
+        step += 1
+        pace = rate * (1 - 0.9 * (begin + (end - begin) * step / steps))
+        for name, grad in g.items():
+            first[name] += 0.1 * (grad - first[name])
+            second[name] += 0.01 * (grad * grad - second[name])
+            p[name] -= (pace * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype("f4")
+    return p, weights

@@ -5,12 +5,13 @@ Words are runs of anything but white space, after lower-casing A-Z; each text en
 * Word counts of all training texts are a Spark aggregate.  The most frequent words (a bounded number of
   bounded length) go to the scoring tasks; the counts of the rest are joined by a shuffle on the word.
 * The attention model works on byte-level BPE ids of " word"s and an end id, so its probabilities are
-  those of word sequences.  Counts of ids and of pairs of ids come from the counted vocabulary, each
-  distinct word encoded once and weighted by its count, over all training texts; across words, pairs are
-  taken as independent.  The network itself is fitted to a sample of training texts of about
-  ``train_tokens`` tokens, a documented bound (one text gives at most that many; a smaller sample is
-  repeated up to MAX_EPOCHS times).  Then every text is scored whole in overlapping windows, each token
-  once.
+  those of word sequences.  Adjacent ids are counted over all training texts, across words and from the
+  start to the end id: combined in the tasks, then summed by Spark.  The network is fitted to blocks of ids
+  from all over the training texts, TRAIN_SHARE of them and at least about ``train_tokens`` tokens, so the
+  sample grows with the corpus.  It is dealt to tasks of about SHARD_TOKENS; in each of ROUNDS rounds every
+  task goes on from the same parameters, and their average, weighted by what a task has seen of each id,
+  is summed in tasks.  Only that average, of bounded size, comes to the driver.  Then every text is scored
+  whole in overlapping windows, each token once.
 
 Edge cases: a null text counts as empty and is its end token; without training texts all words have
 probability 1 / 1 in the base score and the model is uniform over its classes; a null document id is a
@@ -21,7 +22,6 @@ not read.
 from __future__ import annotations
 
 import math
-import pickle
 from collections import Counter
 from dataclasses import dataclass
 
@@ -35,8 +35,10 @@ from tabloom.llm import attention
 from tabloom.llm.common import batched, written
 from tabloom.llm.pieces import encoder
 
-TRAIN_TOKENS = 4_000_000
-MAX_EPOCHS = 8
+TRAIN_TOKENS, TRAIN_SHARE = 4_000_000, 1 / 8
+BLOCK, SHARD_TOKENS, ROUNDS = 256, 1_000_000, 2
+COUNTER_PAIRS = 1 << 20
+CHUNK = 1 << 16
 FREQUENT_WORDS, FREQUENT_LENGTH = 150_000, 64
 COUNTER_WORDS = 200_000
 SCORE_TOKENS = 1 << 17
@@ -67,20 +69,10 @@ def _count_words(batches):
         yield frame()
 
 
-def _encode_words(path: str):
-    def run(batches):
-        for batch in batches:
-            encode = encoder(path, space_led=True).encode_word
-            ids = pa.array([encode(w) for w in batch.column(0).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=["word", "n", "ids"])
-
-    return run
-
-
-def vocabulary(training: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids) of all training texts; ``training`` has ``text``."""
+def vocabulary(training: DataFrame) -> DataFrame:
+    """(word, n) of all training texts; ``training`` has ``text``."""
     counted = batched(training.select("text"), _count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return written(batched(counted, _encode_words(path), "word string, n long, ids binary"), "vocabulary")
+    return written(counted, "vocabulary")
 
 
 def frequent_words(vocab: DataFrame, most: int = FREQUENT_WORDS, longest: int = FREQUENT_LENGTH) -> DataFrame:
@@ -96,41 +88,58 @@ def frequent_words(vocab: DataFrame, most: int = FREQUENT_WORDS, longest: int =
     return short.where(F.lit(False) if bound is None else F.col("level") >= bound).select("word", "n")
 
 
-def _word_ids(batch):
-    ids = [np.frombuffer(i, dtype="<u4") for i in batch.column(2).to_pylist()]
-    return ids, batch.column(1).to_numpy(zero_copy_only=False)
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
 
+def _count_pairs(path: str, ids: int, end_id: int):
+    """Adjacent ids of a task's texts as (before * (ids + 1) + id, n); ``ids`` stands before a text."""
 
-def _count_ids(size: int):
     def run(batches):
-        total = np.zeros(size)
+        encode = _ids_of(path, end_id)
+        keys, counts, held, rows = [], [], [], 0
+
+        def frame(found, n):
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
+
+        def combine():
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return _merged([*keys, found], [*counts, n])
+
         for batch in batches:
-            ids, n = _word_ids(batch)
-            if ids:
-                total += np.bincount(np.concatenate(ids), np.repeat(n, [len(i) for i in ids]), size)[:size]
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64), pa.int64())], names=["id", "n"])
+            for text in batch.column(0).to_pylist():
+                found = encode(words_of(text)).astype(np.int64)
+                held.append(np.concatenate([[ids], found[:-1]]) * (ids + 1) + found)
+                rows += len(found)
+                if rows >= COUNTER_PAIRS:
+                    found, n = combine()
+                    keys, counts, held, rows = [found], [n], [], 0
+                    if len(found) >= COUNTER_PAIRS:
+                        yield frame(found, n)
+                        keys, counts = [], []
+        if held:
+            yield frame(*combine())
+        elif keys:
+            yield frame(keys[0], counts[0])
 
     return run
 
 
-def _count_pairs(class_of: np.ndarray):
-    """Pairs of classes inside words; START before a word's first id, START after its last."""
-    side = attention.HEAD + 2
+def adjacent_pairs(training: DataFrame, path: str, ids: int, end_id: int) -> DataFrame:
+    """(pair, n) of all adjacent ids of the training texts, see _count_pairs; ``training`` has ``text``."""
+    counted = batched(training.select("text"), _count_pairs(path, ids, end_id), "pair long, n long")
+    return written(counted.groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+
+
+def _class_pairs(class_of: np.ndarray, ids: int, side: int):
+    """Pairs of classes; ``class_of`` has a last place for what stands before a text."""
 
     def run(batches):
         total = np.zeros(side * side)
         for batch in batches:
-            ids, n = _word_ids(batch)
-            if not ids:
-                continue
-            lengths = np.array([len(i) for i in ids])
-            classes = class_of[np.concatenate(ids)]
-            begins = np.cumsum(lengths) - lengths
-            before = np.concatenate([[attention.START], classes[:-1]])
-            before[begins] = attention.START
-            total += np.bincount(before * side + classes, np.repeat(n, lengths), side * side)
-            total += np.bincount(classes[begins + lengths - 1] * side + attention.START, n, side * side)
+            pair, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            total += np.bincount(class_of[pair // (ids + 1)] * side + class_of[pair % (ids + 1)], n, side * side)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at].astype(np.int64), pa.int64())], names=["id", "n"])
 
@@ -145,24 +154,16 @@ def _gathered(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def corpus_classes(vocab: DataFrame, n_texts: int, ids: int, end_id: int) -> attention.Classes:
-    """The model's classes and the log-probabilities of pairs from the counts of the whole vocabulary."""
-    counts = _gathered(batched(vocab, _count_ids(ids), "id long, n long"), ids)
-    counts[end_id] += n_texts
+def corpus_classes(pairs: DataFrame, ids: int) -> tuple[attention.Classes, float]:
+    """The model's classes and the log-probabilities of pairs from the adjacent ids of the whole corpus; their number."""
+    counts = _gathered(pairs.select((F.col("pair") % (ids + 1)).alias("id"), "n"), ids)
     head = attention.head_ids(counts)
-    place = np.full(ids, attention.HEAD, dtype=np.int64)
+    place = np.full(ids + 1, attention.HEAD, dtype=np.int64)
     place[head] = np.arange(attention.HEAD)
+    place[ids] = attention.START
     side = attention.HEAD + 2
-    pairs = _gathered(batched(vocab, _count_pairs(place), "id long, n long"), side * side).reshape(side, side)
-    first, last = pairs[attention.START].copy(), pairs[:, attention.START].copy()
-    n_words = first.sum()
-    if n_words:
-        # a word's last id is followed by another word's first, or by the end as often as there are texts
-        follow = first.copy()
-        follow[place[end_id]] += n_texts
-        pairs += last[:, None] * (follow / follow.sum())[None, :]
-    pairs[:, attention.START] = 0
-    return attention.arrange(head, counts, pairs)
+    table = _gathered(batched(pairs, _class_pairs(place, ids, side), "id long, n long"), side * side).reshape(side, side)
+    return attention.arrange(head, counts, table), counts.sum()
 
 
 def _ids_of(path: str, end_id: int):
@@ -174,28 +175,80 @@ def _ids_of(path: str, end_id: int):
     return ids
 
 
-def _trainer(classes: attention.Classes, train_tokens: int):
-    """Trains on the ids of all rows; repeats a sample that is smaller than wanted."""
+def sample_share(tokens: float, train_tokens: int) -> float:
+    """The share of the blocks to learn from: all of a small corpus, TRAIN_SHARE of a large one."""
+    return min(1.0, max(TRAIN_SHARE, train_tokens / max(tokens, 1)))
+
+
+def block_hashes(pick: int, blocks: int) -> np.ndarray:
+    """A well-mixed unsigned 64-bit number for each block of a text."""
+    x = np.uint64(pick & (1 << 64) - 1) + np.arange(1, blocks + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def _sample_blocks(path: str, ids: int, end_id: int, share: float):
+    """(pick, the id before and the ids of a block) of a share of the blocks, from all over each text."""
 
     def run(batches):
-        sample = [np.frombuffer(i, dtype="<u4") for batch in batches for i in batch.column(1).to_pylist()]
-        repeats = round(train_tokens / max(1, sum(map(len, sample))))
-        made = attention.train(classes, sample, epochs=min(MAX_EPOCHS, max(1, repeats)))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["parameters"])
+        encode = _ids_of(path, end_id)
+        for batch in batches:
+            picks, made = [], []
+            for text, pick in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = np.concatenate([np.array([ids], dtype="<u4"), encode(words_of(text))])
+                hashes = block_hashes(pick, -(-(len(found) - 1) // BLOCK))
+                for i in np.flatnonzero((hashes >> np.uint64(11)) < share * (1 << 53)):
+                    picks.append(int(hashes[i] >> np.uint64(1)))
+                    made.append(found[i * BLOCK : (i + 1) * BLOCK + 1].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(picks, pa.int64()), pa.array(made, pa.binary())], names=["pick", "ids"])
 
     return run
 
 
-def _sample_ids(path: str, end_id: int, most: int):
+def _trainer(classes: attention.Classes, parameters: dict, part: int):
+    """Goes on from the parameters over a task's blocks; hands on weighted parameters and weights in chunks."""
+
     def run(batches):
-        ids = _ids_of(path, end_id)
-        for batch in batches:
-            made = [ids(words_of(t))[:most].tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.binary())], names=["pick", "ids"])
+        rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+        if not rows:
+            return
+        blocks = [np.frombuffer(i, dtype="<u4") for _, i in sorted(rows)]
+        made, weights = attention.train(classes, blocks, parameters, part / ROUNDS, (part + 1) / ROUNDS, seed=part)
+        flat = np.concatenate([x.ravel() for name in made for x in (made[name] * weights[name], weights[name])]).astype("<f4")
+        chunks = range(0, len(flat), CHUNK)
+        data = [flat[i : i + CHUNK].tobytes() for i in chunks]
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(data, pa.binary())], names=["chunk", "data"])
 
     return run
 
 
+def _summed(batches):
+    """Sums of the chunks of equal number, which are all in this task."""
+    total: dict = {}
+    for batch in batches:
+        for chunk, data in zip(*(c.to_pylist() for c in batch.columns)):
+            numbers = np.frombuffer(data, dtype="<f4")
+            total[chunk] = total[chunk] + numbers if chunk in total else numbers.astype("f8")
+    data = [x.astype("<f4").tobytes() for x in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(data, pa.binary())], names=["chunk", "data"])
+
+
+def _averaged(chunks: DataFrame, old: dict) -> dict:
+    """The weighted average of the tasks' parameters; those without weight stay."""
+    rows = batched(chunks.repartition("chunk"), _summed, "chunk long, data binary").collect()
+    if not rows:
+        return old
+    flat = np.concatenate([np.frombuffer(r["data"], dtype="<f4") for r in sorted(rows)])
+    new, at = {}, 0
+    for name, x in old.items():
+        shape = attention.weight_shape(name, x)
+        total, at = flat[at : at + x.size].reshape(x.shape), at + x.size
+        weight, at = flat[at : at + math.prod(shape)].reshape(shape), at + math.prod(shape)
+        new[name] = np.where(weight > 0, total / np.maximum(weight, 1e-9), x).astype("f4")
+    return new
+
+
 @dataclass
 class Model:
     """What the scoring tasks need; all of bounded size."""
@@ -207,16 +260,19 @@ class Model:
     end_known: int
 
 
-def fit(training: DataFrame, vocab: DataFrame, n_texts: int, path: str, ids: int, end_id: int, train_tokens: int) -> tuple[attention.Classes, dict]:
-    """``training`` has text and pick, a hash of the row, so that copies are picked one by one; low hashes are the sample."""
-    classes = corpus_classes(vocab, n_texts, ids, end_id)
-    tokens = (vocab.agg(F.sum(F.col("n") * F.length("ids") / 4)).first()[0] or 0) + n_texts
-    share = min(1.0, train_tokens / max(tokens, 1))
-    picked = training.where(F.pmod("pick", F.lit(1_000_000)) < math.ceil(share * 1_000_000))
-    sample = batched(picked, _sample_ids(path, end_id, train_tokens), "pick long, ids binary")
-    # the sample is bounded, so one task may hold it; there the numeric libraries use one thread
-    fitted = batched(sample.repartition(1).sortWithinPartitions("pick", "ids"), _trainer(classes, train_tokens), "parameters binary").collect()
-    return classes, pickle.loads(fitted[0]["parameters"]) if fitted else attention.train(classes, [])
+def fit(training: DataFrame, path: str, ids: int, end_id: int, train_tokens: int) -> tuple[attention.Classes, dict]:
+    """``training`` has text and pick, a hash of the row, so that the blocks of copies are picked one by one."""
+    classes, tokens = corpus_classes(adjacent_pairs(training, path, ids, end_id), ids)
+    if not tokens:
+        return classes, attention.without_effect(attention.new_parameters())
+    share = sample_share(tokens, train_tokens)
+    sample = written(batched(training.select("text", "pick"), _sample_blocks(path, ids, end_id, share), "pick long, ids binary"), "sample")
+    shards = max(1, math.ceil(share * tokens / SHARD_TOKENS))
+    parameters = attention.new_parameters()
+    for part in range(ROUNDS):
+        trained = batched(sample.repartition(shards), _trainer(classes, parameters, part), "chunk long, data binary")
+        parameters = _averaged(trained, parameters)
+    return classes, parameters
 
 
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>, rare_n array<long>"
@@ -266,10 +322,10 @@ def score_documents(
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     training = narrow.where(~F.col("held_out")).select("text", F.xxhash64(F.monotonically_increasing_id()).alias("pick"))
     n_texts = training.count()
-    vocab = vocabulary(training, path)
+    vocab = vocabulary(training)
     total = vocab.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n, v = total["n"] + n_texts, total["v"] + (n_texts > 0)
-    classes, parameters = fit(training, vocab, n_texts, path, ids, end_id, train_tokens)
+    classes, parameters = fit(training, path, ids, end_id, train_tokens)
     frequent = frequent_words(vocab).toArrow()
     norm = math.log10(n + v + 1)
     known = {w: math.log10(c + 1) - norm for w, c in zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist())}

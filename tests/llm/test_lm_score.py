@@ -90,3 +90,39 @@ def test_base_score_and_model(spark):
     shuffled = spark.createDataFrame([(1, "ak om ut ir")], "doc_id long, text string")
     assert score_documents(shuffled, F.lit(True), PATH, ids=50257, end_id=50256).first().base_score == 0
     assert score_documents(docs.limit(0), F.lit(True), PATH, ids=50257, end_id=50256).count() == 0
+
+
+def test_pairs_of_all_texts_across_words(spark):
+    from tabloom.llm.lm_score import adjacent_pairs
+    from tabloom.llm.pieces import encoder
+
+    texts = ["the cat sat", "The cat", None, "sat the cat", "unheardof " * 50]
+    got = adjacent_pairs(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), PATH, 50257, 50256)
+    want = Counter()
+    for t in texts:
+        ids = [i for w in (t or "").lower().split() for i in np.frombuffer(encoder(PATH, True).encode_word(w), "<u4").tolist()] + [50256]
+        want.update(zip([50257, *ids], ids))
+    assert {divmod(r.pair, 50258): r.n for r in got.collect()} == want
+
+
+def test_sample_grows_with_the_corpus():
+    from tabloom.llm.lm_score import sample_share
+
+    assert sample_share(10**6, 4 * 10**6) == 1
+    assert sample_share(10**10, 4 * 10**6) * 10**10 > 10**9
+
+
+def test_average_of_several_tasks(spark):
+    from tabloom.llm import lm_score
+
+    rng = np.random.default_rng(4)
+    classes, p = small_classes(rng), attention.new_parameters()
+    blocks = [np.concatenate([[3000], rng.integers(0, 3000, 64)]).astype("<u4") for _ in range(6)]
+    frame = spark.createDataFrame([(i, bytearray(b.tobytes())) for i, b in enumerate(blocks)], "pick long, ids binary").repartition(2)
+    shards = [[np.frombuffer(r.ids, "<u4") for r in sorted(rows)] for rows in frame.rdd.glom().collect()]
+    got = lm_score._averaged(lm_score.batched(frame, lm_score._trainer(classes, p, 0), "chunk long, data binary"), p)
+    made = [attention.train(classes, s, p, 0, 1 / lm_score.ROUNDS) for s in shards if s]
+    for name in p:
+        weight = sum(w[name] for _, w in made)
+        want = np.where(weight > 0, sum(x[name] * w[name] for x, w in made) / np.maximum(weight, 1), p[name])
+        assert np.allclose(got[name], want, atol=1e-4), name
