@@ -39,6 +39,7 @@ TRAIN_TOKENS, TRAIN_SHARE = 4_000_000, 1 / 8
 BLOCK, SHARD_TOKENS, ROUNDS = 256, 1_000_000, 2
 COUNTER_PAIRS = 1 << 20
 CHUNK = 1 << 16
+SIGNS = 16
 FREQUENT_WORDS, FREQUENT_LENGTH = 150_000, 64
 COUNTER_WORDS = 200_000
 SCORE_TOKENS = 1 << 17
@@ -154,6 +155,23 @@ def _gathered(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _signatures(row_of: np.ndarray, ids: int, signs: np.ndarray):
+    """Sums of random signs of the classes before and after each id."""
+
+    def run(batches):
+        total = np.zeros((ids + 1, 2 * signs.shape[1]))
+        for batch in batches:
+            pair, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            before, after = pair // (ids + 1), pair % (ids + 1)
+            np.add.at(total[:, : signs.shape[1]], after, signs[row_of[before]] * n[:, None])
+            np.add.at(total[:, signs.shape[1] :], before, signs[row_of[after]] * n[:, None])
+        at = np.flatnonzero(total[:ids].any(axis=1))
+        data = [x.tobytes() for x in total[at].astype("<f4")]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(data, pa.binary())], names=["chunk", "data"])
+
+    return run
+
+
 def corpus_classes(pairs: DataFrame, ids: int) -> tuple[attention.Classes, float]:
     """The model's classes and the log-probabilities of pairs from the adjacent ids of the whole corpus; their number."""
     counts = _gathered(pairs.select((F.col("pair") % (ids + 1)).alias("id"), "n"), ids)
@@ -161,9 +179,18 @@ def corpus_classes(pairs: DataFrame, ids: int) -> tuple[attention.Classes, float
     place = np.full(ids + 1, attention.HEAD, dtype=np.int64)
     place[head] = np.arange(attention.HEAD)
     place[ids] = attention.START
-    side = attention.HEAD + 2
+    signs = np.random.default_rng(0).choice([-1.0, 1.0], (attention.TAIL_FROM, SIGNS))
+    signatures = np.zeros((ids, 2 * SIGNS))
+    sums = batched(pairs, _signatures(place, ids, signs), "chunk long, data binary")
+    for row in batched(sums.repartition("chunk"), _summed, "chunk long, data binary").collect():
+        signatures[row["chunk"]] = np.frombuffer(row["data"], dtype="<f4")
+    slots = attention.tail_slots(head, counts, signatures)
+    tail_side = attention.tail_side(ids)
+    side = attention.TAIL_FROM + tail_side
+    place[:ids] = np.where(slots >= 0, attention.TAIL_FROM + slots // tail_side, place[:ids])
     table = _gathered(batched(pairs, _class_pairs(place, ids, side), "id long, n long"), side * side).reshape(side, side)
-    return attention.arrange(head, counts, table), counts.sum()
+    table[:, attention.HEAD] = table[:, attention.TAIL_FROM :].sum(axis=1)
+    return attention.arrange(head, counts, table, slots), counts.sum()
 
 
 def _ids_of(path: str, end_id: int):
@@ -264,11 +291,11 @@ def fit(training: DataFrame, path: str, ids: int, end_id: int, train_tokens: int
     """``training`` has text and pick, a hash of the row, so that the blocks of copies are picked one by one."""
     classes, tokens = corpus_classes(adjacent_pairs(training, path, ids, end_id), ids)
     if not tokens:
-        return classes, attention.without_effect(attention.new_parameters())
+        return classes, attention.without_effect(attention.new_parameters(side=attention.tail_side(ids)))
     share = sample_share(tokens, train_tokens)
     sample = written(batched(training.select("text", "pick"), _sample_blocks(path, ids, end_id, share), "pick long, ids binary"), "sample")
     shards = max(1, math.ceil(share * tokens / SHARD_TOKENS))
-    parameters = attention.new_parameters()
+    parameters = attention.new_parameters(side=attention.tail_side(ids))
     for part in range(ROUNDS):
         trained = batched(sample.repartition(shards), _trainer(classes, parameters, part), "chunk long, data binary")
         parameters = _averaged(trained, parameters)

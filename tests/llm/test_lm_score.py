@@ -126,3 +126,37 @@ def test_average_of_several_tasks(spark):
         weight = sum(w[name] for _, w in made)
         want = np.where(weight > 0, sum(x[name] * w[name] for x, w in made) / np.maximum(weight, 1), p[name])
         assert np.allclose(got[name], want, atol=1e-4), name
+
+
+def test_tail_ids_are_told_apart():
+    rng = np.random.default_rng(6)
+    counts = np.append(np.full(attention.HEAD, 100.0), np.full(1500, 5.0))
+    size = len(counts)
+    classes = attention.arrange(attention.head_ids(counts), counts, np.zeros((attention.HEAD + 2,) * 2))
+    assert len(set(classes.class_of.tolist())) == size
+    a, b, c, d = attention.HEAD + np.array([10, 700, 300, 1200])
+    blocks = [np.concatenate([[size], np.tile([a, c] if i % 2 else [b, d], 64)]).astype("<u4") for i in range(200)]
+    p = attention.new_parameters()
+    for _ in range(4):
+        p, _ = attention.train(classes, blocks, p)
+    after_a, after_b = (attention.score_texts(p, classes, [np.array([x, c]), np.array([x, d])]) for x in (a, b))
+    assert after_a[0] - after_a[1] > 2 and after_b[1] - after_b[0] > 2
+    ends = attention.score_texts(p, classes, [np.append([a, b], i) for i in range(size)])
+    assert abs(np.exp(ends - attention.score_texts(p, classes, [np.array([a, b])])[0]).sum() - 1) < 1e-3
+
+
+def test_gradient_of_the_tail_is_the_slope():
+    rng = np.random.default_rng(7)
+    classes = small_classes(rng)
+    p = {k: v.astype("f8") for k, v in attention.new_parameters().items()}
+    inputs, target = (classes.class_of[rng.integers(0, 3000, (2, attention.CONTEXT))] for _ in range(2))
+    _, g = attention._gradients(p, classes, inputs, target)
+    for name in p:
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        losses = []
+        for step in (1e-3, -1e-3):
+            p[name][at] += step
+            losses.append(attention._gradients(p, classes, inputs, target)[0])
+            p[name][at] -= step
+        slope = (losses[0] - losses[1]) / 2e-3
+        assert abs(slope - g[name][at]) < 0.02 * abs(slope) + 1e-5, name
