@@ -7,8 +7,9 @@ Words are runs of anything but white space, after lower-casing A-Z; each text en
 * The attention model works on byte-level BPE ids of " word"s and an end id, so its probabilities are
   those of word sequences.  Adjacent ids are counted over all training texts, across words and from the
   start to the end id: combined in the tasks, then summed by Spark.  The network is fitted to blocks of ids
-  from all over the training texts, TRAIN_SHARE of them and at least about ``train_tokens`` tokens, so the
-  sample grows with the corpus.  It is dealt to tasks of about SHARD_TOKENS; in each of ROUNDS rounds every
+  of all training texts in ROUNDS rounds.  A round takes TRAIN_SHARE of the blocks, and at least about
+  ``train_tokens`` tokens, by ranges of a hash that go once around: a large corpus is learned from once as a
+  whole, a small one up to ROUNDS times.  Blocks are dealt to tasks of about SHARD_TOKENS; in a round every
   task goes on from the same parameters, and their average, weighted by what a task has seen of each id,
   is summed in tasks.  Only that average, of bounded size, comes to the driver.  Then every text is scored
   whole in overlapping windows, each token once.
@@ -35,8 +36,9 @@ from tabloom.llm import attention
 from tabloom.llm.common import batched, written
 from tabloom.llm.pieces import encoder
 
-TRAIN_TOKENS, TRAIN_SHARE = 4_000_000, 1 / 8
-BLOCK, SHARD_TOKENS, ROUNDS = 256, 1_000_000, 2
+ROUNDS = 8
+TRAIN_TOKENS, TRAIN_SHARE = 4_000_000, 1 / ROUNDS
+BLOCK, SHARD_TOKENS = 256, 1_000_000
 COUNTER_PAIRS = 1 << 20
 CHUNK = 1 << 16
 SIGNS = 16
@@ -203,7 +205,7 @@ def _ids_of(path: str, end_id: int):
 
 
 def sample_share(tokens: float, train_tokens: int) -> float:
-    """The share of the blocks to learn from: all of a small corpus, TRAIN_SHARE of a large one."""
+    """The share of the blocks that a round learns from: all of a small corpus, TRAIN_SHARE of a large one."""
     return min(1.0, max(TRAIN_SHARE, train_tokens / max(tokens, 1)))
 
 
@@ -215,8 +217,8 @@ def block_hashes(pick: int, blocks: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _sample_blocks(path: str, ids: int, end_id: int, share: float):
-    """(pick, the id before and the ids of a block) of a share of the blocks, from all over each text."""
+def _blocks(path: str, ids: int, end_id: int):
+    """(pick, the id before and the ids of a block) of all blocks; ``pick`` is a 40-bit hash of the row and the block."""
 
     def run(batches):
         encode = _ids_of(path, end_id)
@@ -224,15 +226,20 @@ def _sample_blocks(path: str, ids: int, end_id: int, share: float):
             picks, made = [], []
             for text, pick in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = np.concatenate([np.array([ids], dtype="<u4"), encode(words_of(text))])
-                hashes = block_hashes(pick, -(-(len(found) - 1) // BLOCK))
-                for i in np.flatnonzero((hashes >> np.uint64(11)) < share * (1 << 53)):
-                    picks.append(int(hashes[i] >> np.uint64(1)))
-                    made.append(found[i * BLOCK : (i + 1) * BLOCK + 1].tobytes())
+                begins = range(0, len(found) - 1, BLOCK)
+                picks.extend((block_hashes(pick, len(begins)) >> np.uint64(24)).tolist())
+                made.extend(found[i : i + BLOCK + 1].tobytes() for i in begins)
             yield pa.RecordBatch.from_arrays([pa.array(picks, pa.int64()), pa.array(made, pa.binary())], names=["pick", "ids"])
 
     return run
 
 
+def of_round(blocks: DataFrame, part: int, share: float) -> DataFrame:
+    """The blocks of a round: a range of hashes that begins where as many rounds as there were would end."""
+    begin = part * (1 << 40) // ROUNDS
+    return blocks.where(F.pmod(F.col("pick") - begin, F.lit(1 << 40)) < math.ceil(share * (1 << 40)))
+
+
 def _trainer(classes: attention.Classes, parameters: dict, part: int):
     """Goes on from the parameters over a task's blocks; hands on weighted parameters and weights in chunks."""
 
@@ -293,11 +300,11 @@ def fit(training: DataFrame, path: str, ids: int, end_id: int, train_tokens: int
     if not tokens:
         return classes, attention.without_effect(attention.new_parameters(side=attention.tail_side(ids)))
     share = sample_share(tokens, train_tokens)
-    sample = written(batched(training.select("text", "pick"), _sample_blocks(path, ids, end_id, share), "pick long, ids binary"), "sample")
+    blocks = written(batched(training.select("text", "pick"), _blocks(path, ids, end_id), "pick long, ids binary"), "blocks")
     shards = max(1, math.ceil(share * tokens / SHARD_TOKENS))
     parameters = attention.new_parameters(side=attention.tail_side(ids))
     for part in range(ROUNDS):
-        trained = batched(sample.repartition(shards), _trainer(classes, parameters, part), "chunk long, data binary")
+        trained = batched(of_round(blocks, part, share).repartition(shards), _trainer(classes, parameters, part), "chunk long, data binary")
         parameters = _averaged(trained, parameters)
     return classes, parameters
 

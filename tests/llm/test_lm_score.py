@@ -160,3 +160,16 @@ def test_gradient_of_the_tail_is_the_slope():
             p[name][at] -= step
         slope = (losses[0] - losses[1]) / 2e-3
         assert abs(slope - g[name][at]) < 0.02 * abs(slope) + 1e-5, name
+
+
+def test_rounds_cover_all_blocks_of_all_texts(spark):
+    from tabloom.llm import lm_score
+
+    texts = [("word%d " % i * 3000, i * 7919) for i in range(4)] + [(None, 5)]
+    frame = spark.createDataFrame(texts, "text string, pick long")
+    blocks = lm_score.batched(frame, lm_score._blocks(PATH, 50257, 50256), "pick long, ids binary").collect()
+    assert sum(len(b.ids) // 4 - 1 for b in blocks) == sum(len(lm_score._ids_of(PATH, 50256)(lm_score.words_of(t))) for t, _ in texts)
+    table = spark.createDataFrame([(b.pick,) for b in blocks], "pick long")
+    large = [r.pick for part in range(lm_score.ROUNDS) for r in lm_score.of_round(table, part, lm_score.TRAIN_SHARE).collect()]
+    assert sorted(large) == sorted(b.pick for b in blocks)
+    assert all(lm_score.of_round(table, part, 1.0).count() == len(blocks) for part in (0, 3))
