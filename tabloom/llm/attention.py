@@ -136,7 +136,7 @@ def new_parameters(seed: int = 0, side: int = TAIL) -> dict[str, np.ndarray]:
         "cluster": draw(WIDTH, CLUSTERS + 1, scale=0.02),
         "place": draw(CLUSTERS, WIDTH, PLACES, scale=0.02),
         "tail": draw(WIDTH, side, scale=0.02),
-        "tail_place": draw(side, WIDTH, side, scale=0.002),
+        "tail_place": np.zeros((side, WIDTH, side), dtype="f4"),
     }
 
 

@@ -23,12 +23,14 @@ not read.
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -174,8 +176,8 @@ def _signatures(row_of: np.ndarray, ids: int, signs: np.ndarray):
     return run
 
 
-def corpus_classes(pairs: DataFrame, ids: int) -> tuple[attention.Classes, float]:
-    """The model's classes and the log-probabilities of pairs from the adjacent ids of the whole corpus; their number."""
+def corpus_classes(pairs: DataFrame, ids: int) -> tuple[attention.Classes, np.ndarray]:
+    """The model's classes and the log-probabilities of pairs from the adjacent ids of the whole corpus; the ids' counts."""
     counts = _gathered(pairs.select((F.col("pair") % (ids + 1)).alias("id"), "n"), ids)
     head = attention.head_ids(counts)
     place = np.full(ids + 1, attention.HEAD, dtype=np.int64)
@@ -192,7 +194,7 @@ def corpus_classes(pairs: DataFrame, ids: int) -> tuple[attention.Classes, float
     place[:ids] = np.where(slots >= 0, attention.TAIL_FROM + slots // tail_side, place[:ids])
     table = _gathered(batched(pairs, _class_pairs(place, ids, side), "id long, n long"), side * side).reshape(side, side)
     table[:, attention.HEAD] = table[:, attention.TAIL_FROM :].sum(axis=1)
-    return attention.arrange(head, counts, table, slots), counts.sum()
+    return attention.arrange(head, counts, table, slots), counts
 
 
 def _ids_of(path: str, end_id: int):
@@ -204,6 +206,15 @@ def _ids_of(path: str, end_id: int):
     return ids
 
 
+def _small(x) -> bytes:
+    """For the way to the tasks, which leaves a file with each of them; what no text has reached is zero."""
+    return zlib.compress(pickle.dumps(x), 1)
+
+
+def _whole(x: bytes):
+    return pickle.loads(zlib.decompress(x))
+
+
 def sample_share(tokens: float, train_tokens: int) -> float:
     """The share of the blocks that a round learns from: all of a small corpus, TRAIN_SHARE of a large one."""
     return min(1.0, max(TRAIN_SHARE, train_tokens / max(tokens, 1)))
@@ -240,15 +251,16 @@ def of_round(blocks: DataFrame, part: int, share: float) -> DataFrame:
     return blocks.where(F.pmod(F.col("pick") - begin, F.lit(1 << 40)) < math.ceil(share * (1 << 40)))
 
 
-def _trainer(classes: attention.Classes, parameters: dict, part: int):
+def _trainer(classes: Broadcast, parameters: dict, part: int):
     """Goes on from the parameters over a task's blocks; hands on weighted parameters and weights in chunks."""
+    small = _small(parameters)
 
     def run(batches):
         rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
         if not rows:
             return
         blocks = [np.frombuffer(i, dtype="<u4") for _, i in sorted(rows)]
-        made, weights = attention.train(classes, blocks, parameters, part / ROUNDS, (part + 1) / ROUNDS, seed=part)
+        made, weights = attention.train(_whole(classes.value), blocks, _whole(small), part / ROUNDS, (part + 1) / ROUNDS, seed=part)
         flat = np.concatenate([x.ravel() for name in made for x in (made[name] * weights[name], weights[name])]).astype("<f4")
         chunks = range(0, len(flat), CHUNK)
         data = [flat[i : i + CHUNK].tobytes() for i in chunks]
@@ -296,15 +308,18 @@ class Model:
 
 def fit(training: DataFrame, path: str, ids: int, end_id: int, train_tokens: int) -> tuple[attention.Classes, dict]:
     """``training`` has text and pick, a hash of the row, so that the blocks of copies are picked one by one."""
-    classes, tokens = corpus_classes(adjacent_pairs(training, path, ids, end_id), ids)
+    classes, counts = corpus_classes(adjacent_pairs(training, path, ids, end_id), ids)
+    tokens = counts.sum()
     if not tokens:
         return classes, attention.without_effect(attention.new_parameters(side=attention.tail_side(ids)))
     share = sample_share(tokens, train_tokens)
     blocks = written(batched(training.select("text", "pick"), _blocks(path, ids, end_id), "pick long, ids binary"), "blocks")
     shards = max(1, math.ceil(share * tokens / SHARD_TOKENS))
     parameters = attention.new_parameters(side=attention.tail_side(ids))
+    parameters["embed"][classes.class_of[counts == 0]] = 0  # never trained
+    shared = training.sparkSession.sparkContext.broadcast(_small(classes))
     for part in range(ROUNDS):
-        trained = batched(of_round(blocks, part, share).repartition(shards), _trainer(classes, parameters, part), "chunk long, data binary")
+        trained = batched(of_round(blocks, part, share).repartition(shards), _trainer(shared, parameters, part), "chunk long, data binary")
         parameters = _averaged(trained, parameters)
     return classes, parameters
 
@@ -316,7 +331,10 @@ _SCORED_ARROW = pa.schema(
 
 
 def _scorer(model: Model, path: str, end_id: int):
+    small = _small(model)
+
     def run(batches):
+        model = _whole(small)
         at = TaskContext.get().partitionId() << 40
         ids, frequent = _ids_of(path, end_id), model.frequent
         held, tokens = [], 0

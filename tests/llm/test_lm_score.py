@@ -120,7 +120,7 @@ def test_average_of_several_tasks(spark):
     blocks = [np.concatenate([[3000], rng.integers(0, 3000, 64)]).astype("<u4") for _ in range(6)]
     frame = spark.createDataFrame([(i, bytearray(b.tobytes())) for i, b in enumerate(blocks)], "pick long, ids binary").repartition(2)
     shards = [[np.frombuffer(r.ids, "<u4") for r in sorted(rows)] for rows in frame.rdd.glom().collect()]
-    got = lm_score._averaged(lm_score.batched(frame, lm_score._trainer(classes, p, 0), "chunk long, data binary"), p)
+    got = lm_score._averaged(lm_score.batched(frame, lm_score._trainer(spark.sparkContext.broadcast(lm_score._small(classes)), p, 0), "chunk long, data binary"), p)
     made = [attention.train(classes, s, p, 0, 1 / lm_score.ROUNDS) for s in shards if s]
     for name in p:
         weight = sum(w[name] for _, w in made)
