@@ -13,6 +13,7 @@ table gives an empty result.  Predictions read the text only.  ``keep_identified
 
 from __future__ import annotations
 
+import math
 import pickle
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from tabloom.llm.common import batched
 FEATURE_BITS = 15
 FEATURES = 1 << FEATURE_BITS
 STEP = 1 << 20
+PICKS = 1 << 40
 SAMPLE_TEXTS = 6000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-3, 1e-3
@@ -172,7 +174,7 @@ def _trainer(languages: list[str], idf: np.ndarray, epochs: int):
             for label, pick, found, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 found, counts = np.frombuffer(found, dtype="<i4"), np.frombuffer(counts, dtype="<i4")
                 if len(found):
-                    part = test if pick >> 20 & 3 == 0 else train
+                    part = test if pick & 3 == 0 else train
                     part.append((pick, found, model.vector(found, counts), languages.index(label)))
         train.sort(key=lambda r: r[0])
         train = train or test
@@ -185,6 +187,11 @@ def _trainer(languages: list[str], idf: np.ndarray, epochs: int):
     return run
 
 
+def sample_limit(share: float, n: int) -> int:
+    """The picks below it, out of PICKS, are about ``share`` of ``n`` rows; never none."""
+    return math.ceil(min(1.0, share / n) * PICKS)
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_texts: int = SAMPLE_TEXTS, epochs: int = EPOCHS) -> LanguageModel:
     """Learn from the rows with a text and a label; the sample holds about ``sample_texts`` of them."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("label")).where("text is not null and label is not null")
@@ -199,10 +206,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_te
     if not languages:
         return LanguageModel([], idf, np.zeros((FEATURES, 0), "f4"), np.zeros(0, "f4"), 1.0)
     share = sample_texts / len(languages)
-    million = 1_000_000
-    limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(min(1.0, share / n) * million))])
-    picked = rows.withColumn("pick", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 40)))  # by row: copies are picked one by one
-    sample = picked.where(F.pmod("pick", F.lit(million)) < F.element_at(limits, F.col("label")))
+    limits = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, sample_limit(share, n))])
+    picked = rows.withColumn("pick", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(PICKS)))  # by row: copies are picked one by one
+    sample = picked.where(F.col("pick") < F.element_at(limits, F.col("label")))
     made = batched(sample.select("text", "label", "pick"), _sample_features, "label string, pick long, found binary, counts binary")
     # the sample is bounded, so one task may hold it
     model = batched(made.repartition(1), _trainer(languages, idf, epochs), "model binary").collect()

@@ -57,3 +57,10 @@ def test_training_parts():
     p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
     labels = np.array([rng.choice(3, p=x) for x in p])
     assert 2.5 < fitted_temperature(logits * 3, labels) < 3.6
+
+
+def test_large_languages_are_learned_from():
+    from tabloom.llm.language_id import PICKS, sample_limit
+
+    for n in (10, 40_000_000, 10**12):
+        assert 0 < sample_limit(30, n) <= PICKS and abs(sample_limit(30, n) / PICKS * n - min(30, n)) < 1
