@@ -129,6 +129,25 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs.where(~F.coalesce(held_out, F.lit(False)))), held_out)
 
 
+@_query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabloom.llm.substring_dedup import remove_repeated
+
+    return remove_repeated(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+ORACLES["op11_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS i, unnest(list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i:i + 19], ' '))) AS t FROM d),
+f AS (SELECT doc_id, i, min((doc_id, i)) OVER (PARTITION BY t) AS f FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM f WHERE (doc_id, i) <> f),
+w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS t FROM d),
+k AS (SELECT w.doc_id, count(g.i) AS gone, string_agg(w.t, ' ' ORDER BY w.i) FILTER (WHERE g.i IS NULL) AS kept
+      FROM w LEFT JOIN g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
