@@ -6,10 +6,18 @@ unit vectors and terms in a fixed order (rarest first), two vectors above the th
 term in the part of each vector that precedes a tail of norm <= threshold.  Only those terms are
 joined, long posting lists in salted blocks; pairs whose bound stays below the threshold are dropped
 and every other candidate is scored exactly.
+
+Duplicates, matches and entities need the components and whether an earlier text is similar, not the
+pairs.  Each text is first compared with the first holders of its rarest shared terms, which ties a group
+of near copies together by one link a text.  Then blocks of posting lists are compared inside tasks, and
+a pair leaves its task only if it can still join two groups or mark a text that no earlier one has
+marked.  So the rows that are written grow with the texts, not with the square of a group.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +32,8 @@ from tabloom.session import cut_lineage
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 POSTING_BLOCK = 2_000
 TAIL = 0.9
+#: How many first holders of rare terms a text is compared with before the join.
+LEADERS = 3
 
 
 def english_stop_words() -> list[str]:
@@ -77,33 +87,116 @@ class TextGroups:
         self.vectors = cut_lineage(_weighted(tf, "rep", self.n, max_features))
 
 
-def _candidates(vectors: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of representatives that may exceed the threshold; every pair that does is among them.
+def _prefix(vectors: DataFrame, threshold: float) -> DataFrame:
+    """The terms that are joined: (rep, term, weight, before, after), and in ``_len`` how many texts join by the term.
 
-    A vector's terms run from rare to frequent.  Terms whose tail norm is at most ``TAIL * threshold``
-    are not joined.  After the last joined term of a pair the rest of the product is at most the
-    product of the two tail norms, so pairs whose partial product plus that bound stays below the
-    threshold are dropped before they are scored.
+    A vector's terms run from rare to frequent; terms whose tail norm is at most ``TAIL * threshold`` are
+    left out.  ``before`` and ``after`` are the norms of the terms on either side.
     """
     w = F.col("weight")
     upto = Window.partitionBy("rep").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
     prefix = (
         vectors.withColumn("_tail", F.sum(w * w).over(upto))
         .where(F.col("_tail") > (TAIL * threshold) ** 2 - 1e-9)
-        .select("rep", "term", "weight", F.sqrt(F.greatest(F.col("_tail") - w * w, F.lit(0.0))).alias("after"))
+        .select(
+            "rep", "term", "weight",
+            F.sqrt(F.greatest(1 - F.col("_tail"), F.lit(0.0))).alias("before"),
+            F.sqrt(F.greatest(F.col("_tail") - w * w, F.lit(0.0))).alias("after"),
+        )
     )
-    lengths = prefix.groupBy("term").agg(F.count(F.lit(1)).alias("_len")).where(F.col("_len") > 1)
-    blocks = F.ceil(F.col("_len") / POSTING_BLOCK).cast("int")
-    # a long posting list is cut into blocks; each pair of blocks becomes its own join key
-    posted = prefix.join(lengths, "term").withColumn("_b", blocks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_b")).cast("int"))
+    lengths = prefix.groupBy("term").agg(F.count(F.lit(1)).alias("_len"), F.min("rep").alias("_first")).where(F.col("_len") > 1)
+    return prefix.join(lengths, "term")
+
+
+def _in_blocks(prefix: DataFrame) -> DataFrame:
+    """A long posting list is cut into blocks; ``_own`` is a row's block, ``_b`` the number of blocks."""
+    return prefix.withColumn("_b", F.ceil(F.col("_len") / POSTING_BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_b")).cast("int"))
+
+
+def _bounded(shared: DataFrame, threshold: float) -> DataFrame:
+    """After the last joined term of a pair the rest of the product is at most the product of the two tail
+    norms, so pairs whose partial product plus that bound stays below the threshold are dropped."""
+    bounds = shared.groupBy("id_1", "id_2").agg(F.sum("part").alias("_part"), F.min("rest").alias("_rest"))
+    return bounds.where(F.col("_part") + F.col("_rest") > threshold - 1e-9).select("id_1", "id_2")
+
+
+def _candidates(vectors: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of representatives that may exceed the threshold; every pair that does is among them."""
+    posted = _in_blocks(_prefix(vectors, threshold))
+    # each pair of blocks is its own join key
     others = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
     left = posted.select(F.col("rep").alias("id_1"), "term", "_own", others.alias("_other"), F.col("weight").alias("w1"), F.col("after").alias("a1"))
     right = posted.select(F.col("rep").alias("id_2"), "term", F.col("_own").alias("_other"), others.alias("_own"), F.col("weight").alias("w2"), F.col("after").alias("a2"))
     shared = left.join(right, ["term", "_own", "_other"]).where(F.col("id_1") < F.col("id_2"))
-    bounds = shared.groupBy("id_1", "id_2").agg(
-        F.sum(F.col("w1") * F.col("w2")).alias("_part"), F.min(F.col("a1") * F.col("a2")).alias("_rest")
+    return _bounded(shared.select("id_1", "id_2", (F.col("w1") * F.col("w2")).alias("part"), (F.col("a1") * F.col("a2")).alias("rest")), threshold)
+
+
+def _leader_links(prefix: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id_1, id_2): links of texts with the first holder of one of their ``LEADERS`` rarest shared terms."""
+    held = prefix.where(F.col("_first") != F.col("rep")).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("_len", "term", "_first"))).alias("l"))
+    pairs = held.select(F.explode(F.array_distinct(F.slice("l._first", 1, LEADERS))).alias("id_1"), F.col("rep").alias("id_2"))
+    return _scored(pairs, vectors).where(F.col("similarity") > threshold).select("id_1", "id_2")
+
+
+_SHARED = pa.schema([("id_1", pa.int64()), ("id_2", pa.int64()), ("part", pa.float64()), ("rest", pa.float64())])
+
+
+def _telling_pairs(threshold: float):
+    """Rows in the order of (term, low, high): pairs of two blocks that can still tell something."""
+
+    def compare(low: int, high: int, columns) -> pa.RecordBatch:
+        own, rep, group, marked, weight, before, after = columns
+        i, j = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        later = np.where(rep[i][:, None] < rep[j][None, :], marked[j][None, :], marked[i][:, None])
+        telling = (group[i][:, None] != group[j][None, :]) | ~later
+        bound = np.outer(before[i], before[j]) + np.outer(weight[i], weight[j]) + np.outer(after[i], after[j])
+        telling &= bound > threshold - 1e-9
+        a, b = np.nonzero(np.triu(telling, 1) if low == high else telling)
+        a, b = i[a], j[b]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b])), pa.array(weight[a] * weight[b]), pa.array(after[a] * after[b])], schema=_SHARED
+        )
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            terms = batch.column(0).to_pylist()
+            low, high, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+            same = np.array([a == b for a, b in zip(terms[1:], terms)], bool)
+            starts = np.flatnonzero(np.append(True, ~same | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+            for start, end in zip(starts, np.append(starts[1:], len(terms))):
+                key = (terms[start], low[start], high[start])
+                if key != at:
+                    if held:
+                        yield compare(at[1], at[2], [np.concatenate(c) for c in zip(*held)])
+                    at, held = key, []
+                held.append([c[start:end] for c in columns])
+        if held:
+            yield compare(at[1], at[2], [np.concatenate(c) for c in zip(*held)])
+
+    return run
+
+
+def group_links(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(id_1 < id_2): links between texts numbered by ``rep`` (long), enough to tell their components and
+    which texts have a similar one before them."""
+    prefix = cut_lineage(_prefix(vectors, threshold))
+    led = cut_lineage(_leader_links(prefix, vectors, threshold))
+    first = led.groupBy(F.col("id_2").alias("rep")).agg(F.min("id_1").alias("leader"))
+    further = first.select(F.col("rep").alias("leader"), F.col("leader").alias("further"))
+    known = first.join(further, "leader", "left").select("rep", F.coalesce("further", "leader").alias("group"))
+    posted = _in_blocks(prefix).join(known, "rep", "left").withColumn("marked", F.col("group").isNotNull())
+    other = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
+    keys = ["term", "low", "high"]
+    dealt = posted.withColumn("_other", other).select(
+        "term", F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high"),
+        "_own", "rep", F.coalesce("group", "rep").alias("group"), "marked", "weight", "before", "after",
     )
-    return bounds.where(F.col("_part") + F.col("_rest") > threshold - 1e-9).select("id_1", "id_2")
+    shared = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_telling_pairs(threshold), "id_1 long, id_2 long, part double, rest double")
+    links = _scored(_bounded(shared, threshold), vectors).where(F.col("similarity") > threshold)
+    return led.union(links.select("id_1", "id_2")).distinct()
 
 
 def _scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -132,15 +225,21 @@ def similar_pairs(df: DataFrame, key: str, text, threshold: float = 0.8, ngram=(
 
 
 class _Matched:
-    """Shared result of the three tools below: rows with their representative, pairs and components."""
+    """Shared result of the three tools below: rows with their representative and component."""
 
     def __init__(self, df, key, text, threshold, ngram, stop, max_features):
         self.groups = TextGroups(df, key, text, ngram, stop, max_features)
-        self.pairs = cut_lineage(group_pairs(self.groups, threshold))
-        parts = connected_components(self.pairs)
-        filled = self.groups.vectors.select("rep").distinct().withColumn("_filled", F.lit(True))
-        after = self.pairs.select(F.col("id_2").alias("rep")).distinct().withColumn("_after", F.lit(True))
-        rows = self.groups.members.join(filled, "rep", "left").join(after, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        # texts are numbered in the order of their keys
+        nodes = self.groups.vectors.select("rep").distinct().orderBy("rep").withColumn("node", F.monotonically_increasing_id())
+        nodes = cut_lineage(nodes)
+        vectors = cut_lineage(self.groups.vectors.join(nodes, "rep").drop("rep").withColumnRenamed("node", "rep"))
+        self.links = cut_lineage(group_links(vectors, threshold))
+        parts = connected_components(self.links)
+        after = self.links.select(F.col("id_2").alias("node")).distinct().withColumn("_after", F.lit(True))
+        names = nodes.select(F.col("rep").alias("component"), F.col("node").alias("_c"))
+        found = parts.withColumnRenamed("component", "_c").join(names, "_c").drop("_c")
+        filled = nodes.join(after, "node", "left").join(found, "node", "left").drop("node").withColumn("_filled", F.lit(True))
+        rows = self.groups.members.join(filled, "rep", "left")
         # copies of a text without any known term have similarity 0, as in the pairwise definition
         copied = (F.col("copies") > 1) & F.col("_filled")
         self.rows = cut_lineage(
@@ -161,7 +260,7 @@ def _joined_text(df: DataFrame, cols) -> Column:
 def detect_duplicates(df: DataFrame, key: str, cols, threshold: float = 0.8, stop=None, max_features: int | None = 1000) -> DataFrame:
     """``is_duplicate`` (an earlier row is similar) and ``duplicate_group`` (smallest key of the component, -1 if none)."""
     m = _Matched(df, key, _joined_text(df, as_list(cols)), threshold, (1, 1), english_stop_words() if stop is None else stop, max_features)
-    marks = m.rows.select(F.col("id").alias(key), F.col("later").alias("is_duplicate"), F.coalesce("component", F.lit(-1)).alias("duplicate_group"))
+    marks = m.rows.select(F.col("id").alias(key), F.col("later").alias("is_duplicate"), F.coalesce(F.col("component"), F.lit(-1).cast(df.schema[key].dataType)).alias("duplicate_group"))
     return df.join(marks, key)
 
 

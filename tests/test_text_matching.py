@@ -126,6 +126,21 @@ def test_similarity_tools_equal_brute_force(spark, monkeypatch, threshold, block
     assert summary["duplicates_found"] == len({j for _, j in want}) and summary["total_records"] == len(TEXTS)
 
 
+def test_links_of_near_copies_grow_with_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(M, "POSTING_BLOCK", 40)
+    # two groups of near copies and a chain in which each text resembles only its neighbours
+    base = [" ".join(f"common{g}x{i}" for i in range(120)) for g in range(2)]
+    rows = [(f"k{i:05d}", f"{base[i % 2]} own{i}") for i in range(300)]
+    rows += [(f"z{i:05d}", " ".join(f"step{j}" for j in range(i, i + 12))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id string, text string").repartition(6)
+    m = M._Matched(df, "id", F.col("text"), 0.8, (1, 1), (), None)
+    assert m.links.count() < 4 * len(rows)
+    got = {r["id"]: (r["is_duplicate"], r["duplicate_group"]) for r in M.detect_duplicates(df.withColumn("n", F.lit(1)), "id", ["text"], 0.8, stop=(), max_features=None).collect()}
+    want = {k: (k not in ("k00000", "k00001", "z00000"), "k00000" if int(k[1:]) % 2 == 0 else "k00001") for k, _ in rows if k[0] == "k"}
+    assert {k: v for k, v in got.items() if k[0] == "k"} == want
+    assert {v for k, v in got.items() if k[0] == "z"} == {(False, "z00000"), (True, "z00000")}
+
+
 def test_entities_have_mean_pair_similarity(spark):
     df = spark.createDataFrame([(1, "aa bb", 1.0), (2, "aa bb", 3.0), (3, "cc dd", 5.0)], "id int, name string, x double")
     rows, canon = M.resolve_entities(df, "id", ["name", "x"], 0.8)
