@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.columns import as_list, kind_of, long_rows, numeric_cols, text_cols, total
+from tabloom.operators.moments import correlations
 from tabloom.operators.quantiles import exact_quantiles
 
 _CHUNK = 60
+_cell_hash = F.xxhash64
 
 
 def pct(part: Column, whole: Column) -> Column:
@@ -37,19 +37,42 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def distinct_counts(df: DataFrame, cols) -> dict[str, int]:
+    """Exact number of distinct non-null values of each column, all in one pass.
+
+    Values are counted as (column number, hash), which is combined in the tasks.  A second hash tells
+    whether different values share a first one; such columns are counted again by their values.
+    """
+    cols, found = as_list(cols), {}
+    for chunk in _chunks(cols):
+        if not chunk:
+            continue
+        named = [F.col(f"`{c}`") for c in chunk]
+        cells = [F.struct(F.lit(i).alias("no"), F.when(c.isNotNull(), _cell_hash(c)).alias("h"), F.xxhash64(F.lit(1), c).alias("g")) for i, c in enumerate(named)]
+        values = df.select(F.inline(F.array(*cells))).where(F.col("h").isNotNull())
+        once = values.groupBy("no", "h").agg(F.min("g").alias("low"), F.max("g").alias("high"))
+        counts = once.groupBy("no").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("low") != F.col("high")).alias("shared")).collect()
+        found |= dict.fromkeys(chunk, 0)
+        for r in counts:
+            again = r["shared"] > 0
+            found[chunk[r["no"]]] = df.select(named[r["no"]].alias("v")).where(F.col("v").isNotNull()).distinct().count() if again else r["n"]
+    return found
+
+
 def column_facts(df: DataFrame, cols=None, distinct: bool = True, approx: bool = False) -> DataFrame:
     """One row per column with every cheap fact the reports below need.
 
     Wide tables are cut into chunks of columns so that the generated aggregate stays compilable.
     """
     parts = []
+    known = distinct_counts(df, [f.name for f in _fields(df, cols)]) if distinct and not approx else {}
     for chunk in _chunks(_fields(df, cols)):
         aggs, rows = [F.count(F.lit(1)).alias("n")], []
         for i, f in enumerate(chunk):
             c, kind = F.col(f"`{f.name}`"), kind_of(f.dataType)
             aggs.append(F.count(c).alias(f"c{i}"))
-            if distinct:
-                aggs.append((F.approx_count_distinct(c) if approx else F.count_distinct(c)).alias(f"u{i}"))
+            if distinct and approx:
+                aggs.append(F.approx_count_distinct(c).alias(f"u{i}"))
             if kind == "numeric":
                 aggs += [F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}"), F.avg(c).alias(f"m{i}"), F.stddev_samp(c).alias(f"s{i}")]
             if kind == "text":
@@ -67,7 +90,7 @@ def column_facts(df: DataFrame, cols=None, distinct: bool = True, approx: bool =
                     F.col("n").alias("row_count"),
                     (F.col("n") - F.col(f"c{i}")).alias("missing_count"),
                     F.coalesce(pct(F.col("n") - F.col(f"c{i}"), F.col("n")), F.lit(0.0)).alias("missing_pct"),
-                    (F.col(f"u{i}") if distinct else F.lit(None).cast("bigint")).alias("unique_count"),
+                    (F.col(f"u{i}") if distinct and approx else F.lit(known.get(f.name)).cast("bigint")).alias("unique_count"),
                     pick("lo", "numeric", "double").alias("min_value"),
                     pick("hi", "numeric", "double").alias("max_value"),
                     pick("m", "numeric", "double").alias("mean_value"),
@@ -315,24 +338,19 @@ def five_number(df: DataFrame, cols, by: str | None = None) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols=None) -> DataFrame:
     """Pearson correlation of every pair (both orders and the diagonal), pairwise complete."""
     cols = numeric_cols(df, cols)
-    pairs = list(combinations(cols, 2))
-    diag = [F.when(F.min(c) < F.max(c), F.lit(1.0)).alias(f"d{i}") for i, c in enumerate(cols)]
-    wide = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)], *diag)
+    return _named_pairs(df, cols)
 
-    def row(a, b, value):
-        return F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), value.cast("double").alias("correlation"))
 
-    rows = [row(c, c, F.col(f"d{i}")) for i, c in enumerate(cols)]
-    for i, (a, b) in enumerate(pairs):
-        rows += [row(a, b, F.col(f"r{i}")), row(b, a, F.col(f"r{i}"))]
-    return long_rows(wide, rows)
+def _named_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in cols]) if cols else F.array().cast("array<string>")
+    return correlations(df, cols).select(F.get(names, F.col("i")).alias("column_1"), F.get(names, F.col("j")).alias("column_2"), "correlation")
 
 
 def strong_pairs(df: DataFrame, cols=None, threshold: float = 0.7) -> DataFrame:
-    pairs = list(combinations(numeric_cols(df, cols), 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("column_1"), F.lit(b).alias("column_2"), F.col(f"r{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)]
-    return long_rows(wide, rows).where(F.abs("correlation") > threshold)
+    cols = numeric_cols(df, cols)
+    place = F.array(*[F.lit(c) for c in cols]) if cols else F.array().cast("array<string>")
+    ordered = F.array_position(place, F.col("column_1")) < F.array_position(place, F.col("column_2"))
+    return _named_pairs(df, cols).where(ordered & (F.abs("correlation") > threshold))
 
 
 def variance_rank(df: DataFrame, cols=None) -> DataFrame:
@@ -609,8 +627,8 @@ def modeling_overview(df: DataFrame) -> DataFrame:
     texts = text_cols(df)
     wide = 0
     if texts:
-        row = df.agg(*[F.count_distinct(c).alias(f"u{i}") for i, c in enumerate(texts)]).first()
-        wide = sum(1 for v in row if v > 50)
+        unique = distinct_counts(df, texts)
+        wide = sum(1 for v in unique.values() if v > 50)
     advice = [("data_quality", "overview", "Missing Percentage", missing), ("data_quality", "overview", "Duplicate Percentage", dup)]
     if missing > 10:
         advice.append(("data_quality", "high", "Handle Missing Values", missing))

@@ -1,3 +1,5 @@
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +120,49 @@ def test_json_round_trip(spark, ties):
     assert back.count() == 5 and back.where("n IS NULL").count() == 5
     with pytest.raises(ValueError):
         S.records_from_json(texts, "json", "id int", ["x"])
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_distinct_counts_equal_count_distinct_without_expand(spark, monkeypatch, collide):
+    if collide:
+        monkeypatch.setattr(P, "_cell_hash", lambda c: F.xxhash64(c) % 3)
+    rows = [(i % 7, None if i % 5 == 0 else f"t{i % 11}", [0.0, -0.0, float("nan"), 1.5][i % 4], [i % 3, None], None) for i in range(200)]
+    df = spark.createDataFrame(rows, "a int, `b.c` string, d double, e array<int>, f string").repartition(5)
+    want = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(df.columns)]).first()
+    assert P.distinct_counts(df, df.columns) == dict(zip(df.columns, want))
+    assert P.distinct_counts(df.limit(0), ["a"]) == {"a": 0}
+    facts = P.column_facts(df)
+    assert "Expand" not in facts._jdf.queryExecution().toString()
+    assert {r["column_name"]: r["unique_count"] for r in facts.collect()} == dict(zip(df.columns, want))
+
+
+def test_correlations_of_many_columns_in_one_pass(spark):
+    rng = np.random.default_rng(3)
+    wide = rng.standard_normal((300, 500)) + rng.standard_normal((300, 1)) + 1e7
+    wide[:, 7] = 4.25
+    wide[rng.random(wide.shape) < 0.1] = np.nan
+    wide[:, 11] = np.nan
+    wide[1:, 12] = np.nan
+    names = [f"c.{i}" for i in range(500)]
+    frame = pd.DataFrame(wide, columns=names)
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None).values.tolist(), ", ".join(f"`{c}` double" for c in names)).repartition(6)
+    got = P.correlation_matrix(df)
+    assert got._jdf.queryExecution().toString().count("Scan ExistingRDD") <= 8
+    found = np.full((500, 500), np.nan)
+    place = {c: i for i, c in enumerate(names)}
+    for r in got.collect():
+        if r["correlation"] is not None:
+            found[place[r["column_1"]], place[r["column_2"]]] = r["correlation"]
+    want = frame.corr(min_periods=2).to_numpy().copy()
+    want[7, :], want[:, 7] = np.nan, np.nan
+    assert np.allclose(found, want, atol=1e-7, equal_nan=True)
+    strong = {(r["column_1"], r["column_2"]) for r in P.strong_pairs(df, names[:40], 0.55).collect()}
+    assert strong == {(names[i], names[j]) for i in range(40) for j in range(i + 1, 40) if abs(want[i, j]) > 0.55}
+
+
+def test_correlations_with_values_that_are_no_numbers(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, float("nan"), 3.0), (None, 1.0, 2.0), (4.0, 3.0, None)], "a double, b double, c double").repartition(3)
+    got = {(r["column_1"], r["column_2"]): r["correlation"] for r in P.correlation_matrix(df).collect()}
+    want = {(x, y): df.select(F.corr(x, y)).first()[0] for x in "abc" for y in "abc" if x != y}
+    assert {k: str(v) if v is None or v != v else round(v, 9) for k, v in got.items() if k[0] != k[1]} == {k: str(v) if v is None or v != v else round(v, 9) for k, v in want.items()}
+    assert P.correlation_matrix(df.limit(0)).where("correlation is not null").count() == 0
