@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.columns import as_list, long_rows, total
+from tabloom.columns import as_list, long_rows
 from tabloom.functions.scalars import band
+from tabloom.operators import boxes
 from tabloom.operators.ordered import running_total
-from tabloom.operators.shape import sample_rows
+from tabloom.session import cut_lineage
 
 
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -102,55 +104,94 @@ def select_k_best(df: DataFrame, features, target: str, task: str = "classificat
     return long_rows(wide, rows).orderBy(F.desc_nulls_last("f_value"), "feature").limit(k)
 
 
-def _squared(cols, centre) -> Column:
-    return total([(F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(cols, centre)])
-
-
-def _dist(a, b) -> float:
-    return math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)))
-
-
-def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, features, k: int = 3, pivots: int = 24, salts: int = 8) -> DataFrame:
-    """(key, neighbour, distance, rank): the exact k nearest training rows of each test row.
-
-    Every row belongs to the cell of its nearest pivot (a fixed number of training rows).  From cell
-    summaries - the k smallest distances of training rows to their pivot and the radius of the test
-    rows - follows a distance no test row of the cell can exceed; only training rows within it are
-    sent to that cell.  Test rows of a cell are salted, so a crowded cell is shared by several tasks.
+#: Test rows that one task compares with a leaf, at most about.
+_ASKED = 50_000
+
+
+def _leaf_nearest(d: int, k: int, out: str):
+    """Rows in the order of (leaf, salt, kind): a leaf's training points come before the test points."""
+
+    def told(queries: list, neighbours, near, places) -> pa.RecordBatch:
+        columns = [pa.array(np.repeat(np.array(queries), places.shape[1] if len(queries) else 0)), neighbours, pa.array(near)]
+        return pa.RecordBatch.from_arrays(columns, names=["q", out, "square"])
+
+    def run(batches):
+        at, held, points, keys = None, [], None, None
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            spot = np.stack([columns[c].to_numpy() for c in ("leaf", "salt", "kind")]).T
+            x = np.stack([columns[f"x{i}"].to_numpy() for i in range(d)], axis=1) if len(spot) else np.zeros((0, d))
+            starts = np.flatnonzero(np.append(True, (spot[1:] != spot[:-1]).any(axis=1))) if len(spot) else []
+            for start, end in zip(starts, [*starts[1:], len(spot)]):
+                if tuple(spot[start][:2]) != at:
+                    at, held, points = tuple(spot[start][:2]), [], None
+                if spot[start][2] == 0:
+                    held.append((x[start:end], columns[out].slice(start, end - start)))
+                    continue
+                if points is None and held:
+                    points, keys = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held])
+                    order = pc.sort_indices(keys)  # equal distances go to the smaller key
+                    points, keys = points[order.to_numpy()], keys.take(order)
+                if points is None:
+                    continue
+                square = np.zeros((end - start, len(points)))
+                for i in range(d):
+                    step = x[start:end, i, None] - points[None, :, i]
+                    square += step * step
+                places = np.argsort(square, axis=1, kind="stable")[:, :k]
+                near = np.take_along_axis(square, places, axis=1)
+                yield told(columns["q"].to_numpy()[start:end], keys.take(pa.array(places.ravel())), near.ravel(), places)
+
+    return run
+
+
+def _in_leaves(points: DataFrame, asked: DataFrame, d: int, k: int, key_type: str) -> DataFrame:
+    """(q, neighbour, square): the k nearest points of its leaf for each (q, leaf) of ``asked``."""
+    xs = [f"x{i}" for i in range(d)]
+    busy = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / _ASKED).alias("salts"))
+    rows = points.join(busy, "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    rows = rows.select("leaf", "salt", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("q"), "neighbour", *xs)
+    dealt = asked.join(busy, "leaf").withColumn("salt", F.pmod(F.xxhash64("q"), F.col("salts")))
+    dealt = dealt.select("leaf", "salt", F.lit(1).alias("kind"), "q", F.lit(None).cast(key_type).alias("neighbour"), *xs)
+    together = rows.unionByName(dealt).repartition("leaf", "salt").sortWithinPartitions("leaf", "salt", "kind")
+    return together.mapInArrow(_leaf_nearest(d, k, "neighbour"), f"q long, neighbour {key_type}, square double")
+
+
+def nearest_neighbours(train: DataFrame, test: DataFrame, key: str, features, k: int = 3, leaf: int = boxes.LEAF) -> DataFrame:
+    """(key, neighbour, distance, rank): the exact k nearest training rows of each test row; ties go to the smaller key.
+
+    Training rows lie in the leaves of a box tree whose depth follows their number.  A test row first meets
+    the leaf where it falls itself; the k-th distance there is a radius, and only leaves whose box lies within it are
+    searched, too.  So the pairs that are compared per test row don't grow with the table.  Of training
+    rows at one point only the first k keys are kept, and test rows at one point are asked once.
     """
     features = as_list(features)
-    tr = train.select(F.col(key).alias("_nkey"), *[F.col(c).cast("double").alias(c) for c in features]).na.drop()
-    te = test.select(F.col(key).alias("_qkey"), *[F.col(c).cast("double").alias(c) for c in features]).na.drop()
-    points = [tuple(r[c] for c in features) for r in sample_rows(tr, "_nkey", pivots).select(*features).collect()]
-    k = min(k, tr.count()) if len(points) < k else k
-    if not points:
-        return test.sparkSession.createDataFrame([], f"{key} {dict(test.dtypes)[key]}, neighbour {dict(test.dtypes)[key]}, distance double, rank int")
-    dists = F.array(*[F.sqrt(_squared(features, p)) for p in points])
-
-    def celled(df):
-        d = df.withColumn("_d", dists)
-        return d.withColumn("_own", F.array_min("_d")).withColumn("_cell", F.array_position("_d", F.col("_own")).cast("int") - 1)
-
-    tr, te = celled(tr), celled(te)
-    near = Window.partitionBy("_cell").orderBy("_own")
-    close = [(r["_cell"], r["_own"]) for r in tr.select("_cell", "_own").withColumn("r", F.row_number().over(near)).where(F.col("r") <= k).collect()]
-    radius = {r["_cell"]: r["r"] for r in te.groupBy("_cell").agg(F.max("_own").alias("r")).collect()}
-    reach = []
-    for i, p in enumerate(points):
-        if i not in radius:
-            reach.append(-1.0)
-            continue
-        bounds = sorted(radius[i] + _dist(p, points[j]) + d for j, d in close)
-        reach.append((radius[i] + bounds[min(k, len(bounds)) - 1]) * (1 + 1e-9))
-    limits = F.array(*[F.lit(x) for x in reach])
-    cells = F.filter(F.sequence(F.lit(0), F.lit(len(points) - 1)), lambda i: F.get("_d", i) <= F.get(limits, i))
-    sent = tr.select("_nkey", *[F.col(c).alias(f"_t_{c}") for c in features], F.explode(cells).alias("_cell")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = te.withColumn("_salt", F.pmod(F.xxhash64("_qkey"), F.lit(salts)).cast("int"))
-    gap = F.sqrt(total([(F.col(c) - F.col(f"_t_{c}")) * (F.col(c) - F.col(f"_t_{c}")) for c in features]))
-    pairs = asked.join(sent, ["_cell", "_salt"]).select("_qkey", "_nkey", gap.alias("distance"))
-    order = Window.partitionBy("_qkey").orderBy("distance", "_nkey")
-    best = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select(F.col("_qkey").alias(key), F.col("_nkey").alias("neighbour"), "distance", "rank")
+    d, xs = len(features), [f"x{i}" for i in range(len(features))]
+    key_type = dict(train.dtypes)[key]
+    tr = train.select(F.col(key).alias("neighbour"), *[F.col(c).cast("double").alias(x) for c, x in zip(features, xs)]).na.drop()
+    te = test.select(F.col(key).alias("_k"), *[F.col(c).cast("double").alias(x) for c, x in zip(features, xs)]).na.drop()
+    first = Window.partitionBy(*xs).orderBy("neighbour")
+    tr = tr.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r")
+    points = tr.withColumn("_train", F.lit(1)).unionByName(te.select(*xs).distinct().select(F.lit(None).cast(key_type).alias("neighbour"), *xs, F.lit(0).alias("_train")))
+    placed = running_total(points.withColumn("_z", boxes.curve(points, xs)), ["_z", *xs, "_train", "neighbour"], {"_upto": ("_train", "sum")})
+    placed = cut_lineage(placed.withColumn("q", F.monotonically_increasing_id()))
+    leaf = max(leaf, k)
+    leaves = max((placed.agg(F.max("_upto")).first()[0] or 0) // leaf, 1)
+    home = F.least(F.floor(F.greatest(F.col("_upto") - 1, F.lit(0)) / leaf), F.lit(leaves - 1)).cast("long")
+    placed = placed.withColumn("leaf", home)
+    known, asked = placed.where("_train = 1").select("neighbour", *xs, "leaf"), placed.where("_train = 0").select("q", *xs, "leaf")
+    at_home = cut_lineage(_in_leaves(known, asked, d, k, key_type))
+    # a leaf holds at least k rows unless the table has fewer than two leaves
+    reach = at_home.groupBy("q").agg((F.max("square") * (1 + 1e-9)).alias("reach"), F.count(F.lit(1)).alias("_n"))
+    searching = asked.join(reach, "q").select("q", *xs, F.col("leaf").alias("_home"), F.when(F.col("_n") < k, F.lit(float("inf"))).otherwise(F.col("reach")).alias("reach"))
+    sides = [f(f"x{i}").alias(f"{e}{i}") for i in range(d) for e, f in (("lo", F.min), ("hi", F.max))]
+    tree = boxes.levels(known.groupBy(F.col("leaf").alias("node")).agg(*sides), d)
+    away = cut_lineage(boxes.reached_leaves(tree, searching, d).where(F.col("leaf") != F.col("_home")).select("q", *xs, "leaf"))
+    found = at_home.unionByName(_in_leaves(known, away, d, k, key_type))
+    order = Window.partitionBy("q").orderBy("square", "neighbour")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    named = asked.select("q", *xs).join(best, "q").drop("q")
+    return te.join(named, xs).select(F.col("_k").alias(key), "neighbour", F.sqrt("square").alias("distance"), "rank")
 
 
 def knn_predict(train: DataFrame, test: DataFrame, key: str, features, target: str, k: int = 3, task: str = "classification", **opts) -> DataFrame:

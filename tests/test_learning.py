@@ -52,7 +52,7 @@ def test_neighbours_equal_brute_force(spark):
     df = spark.createDataFrame([(i, float(a), float(b), "xy"[i % 2]) for i, (a, b) in enumerate(pts)], "id int, a double, b double, y string")
     train, test = df.where("id % 4 <> 0"), df.where("id % 4 = 0")
     got = {}
-    for r in V.nearest_neighbours(train, test, "id", ["a", "b"], 3, pivots=6, salts=3).collect():
+    for r in V.nearest_neighbours(train, test, "id", ["a", "b"], 3, leaf=7).collect():
         got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
     tr = [i for i in range(300) if i % 4]
     for q in range(0, 300, 4):
