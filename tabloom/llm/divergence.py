@@ -3,12 +3,14 @@
 Terms are runs of letters (A-Z, a-z and everything beyond ASCII), A-Z lower-cased.  They are counted by
 factors: a term never crosses white space, so documents are first taken apart into white-space chunks.
 
-* A task counts the chunks of each of its documents and numbers the chunks that it meets; at most
-  ``PORTION`` (document, chunk) pairs at a time make a portion.
-* The portions' chunks meet by a shuffle on the chunk (one row a portion, however frequent it is).  Each
-  globally distinct chunk is cut into terms once, and its terms go back to the portions that hold it.
-* There the terms are joined to the counts: occurrences add up, and documents in which several chunks
-  hold the same term count once.  What a portion returns is added up by group and term.
+* A task counts the chunks of each of its documents and numbers the chunks that it meets.  For at most
+  ``PORTION`` (document, chunk) pairs at a time it hands on, for each chunk and language, the occurrences
+  in each source and the first ``min_docs`` distinct documents.
+* The portions' chunks meet by a shuffle on the chunk (one row a portion and language, however frequent
+  it is).  Each globally distinct chunk is cut into terms once, and its terms are joined to the counts.
+* Terms are added up inside the task and then by a shuffle on language and term: occurrences add up, and
+  documents in which several chunks hold the same term count once.  A union of sets that were cut off at
+  ``min_docs`` documents tells exactly whether that many documents hold a term.
 
 A term is kept in a language if at least ``min_docs`` of its documents hold it; V terms are.  A group is a
 language's source, or the whole language.  A group with N occurrences of kept terms gives a term with count
@@ -27,11 +29,11 @@ result.  Other columns are not read.
 from __future__ import annotations
 
 import re
-import uuid
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,154 +42,204 @@ from tabloom.llm.common import batched, skewed_join, written
 MIN_DOCS, TOP = 3, 200
 PORTION = 3_000_000
 SOURCE_BLOCK = 256
-UNIT = 1_000_000_000
 
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 
-_COUNTED = pa.schema([("portion", pa.int64()), ("no", pa.int32()), ("chunk", pa.binary()), ("counts", pa.binary())])
-COUNTED = "portion long, no int, chunk binary, counts binary"
-_CUT = pa.schema([("portion", pa.int64()), ("no", pa.int32()), ("terms", pa.list_(pa.binary()))])
-CUT = "portion long, no int, terms array<binary>"
-_TERMS = pa.schema([("group", pa.int64()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
-TERMS = "group long, term binary, n long, docs long"
+#: ``at`` numbers the sources of a language; ``at`` and ``n`` belong together.
+_COUNTS = [("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64()))]
+_CHUNKS = pa.schema([("chunk", pa.binary()), ("lang", pa.int64()), *_COUNTS])
+CHUNKS = "chunk binary, lang long, at array<int>, n array<long>, docs array<long>"
+_TERMS = pa.schema([("term", pa.binary()), ("lang", pa.int64()), *_COUNTS])
+TERMS = "term binary, lang long, at array<int>, n array<long>, docs array<long>"
+
+
+def _lists(key: np.ndarray, keys: int, *values: np.ndarray) -> list[pa.Array]:
+    """One list for each key from 0 on; ``key`` is sorted."""
+    offsets = pa.array(np.searchsorted(key, np.arange(keys + 1)).astype(np.int32))
+    return [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in values]
+
+
+def _added(keys: int, counts: tuple, docs: tuple, most: int) -> list[pa.Array]:
+    """(at, n, docs) lists of each key: counts (key, at, n) added up, the first ``most`` distinct of (key, doc)."""
+    key, at, n = counts
+    width = int(at.max()) + 1 if len(at) else 1
+    cell = key * width + at
+    order = np.argsort(cell)
+    cell = cell[order]
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, np.int64)
+    total = np.add.reduceat(n[order], first) if len(first) else n[:0]
+    at, n = _lists(cell[first] // width, keys, (cell[first] % width).astype(np.int32), total)
+    key, doc = docs
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
+    key, doc = key[new], doc[new]
+    early = np.arange(len(key)) - np.searchsorted(key, key) < most
+    return [at, n, *_lists(key[early], keys, doc[early])]
 
 
 class _Portion:
     """Chunk counts of some documents; chunks are numbered as they come."""
 
-    def __init__(self):
+    def __init__(self, min_docs: int, first_doc: int):
+        self.min_docs, self.next_doc = min_docs, first_doc
+        self.clear()
+
+    def clear(self) -> None:
         self.numbers: dict[bytes, int] = {}
-        self.groups: list[int] = []
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, groups: list[int], texts: list[str | None]) -> None:
+    def add(self, langs: np.ndarray, sources: np.ndarray, texts: list[str | None]) -> None:
         numbers, split = self.numbers, [(t or "").encode().split() for t in texts]
         for chunk in set(chain.from_iterable(split)).difference(numbers):
             numbers[chunk] = len(numbers)
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         chunk = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
-        doc = np.repeat(np.arange(len(split)), lengths) + len(self.groups)
-        pairs, n = np.unique(chunk << 32 | doc, return_counts=True)
-        self.parts.append(((pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), n.astype(np.int32)))
-        self.groups += groups
+        pairs, n = np.unique(chunk << 32 | np.repeat(np.arange(len(split)), lengths), return_counts=True)
+        doc = pairs & 0xFFFFFFFF
+        self.parts.append(((pairs >> 32).astype(np.int32), langs[doc], sources[doc], n, doc + self.next_doc))
+        self.next_doc += len(split)
         self.size += len(pairs)
 
-    def rows(self):
-        """One row with all counts, number -1, then one for each chunk."""
-        portion = uuid.uuid4().int >> 65
-        chunk, doc, n = (np.concatenate(c) for c in zip(*self.parts))
-        order = np.argsort(chunk, kind="stable")
-        held = [np.array(self.groups, np.int64), np.cumsum(np.bincount(chunk, minlength=len(self.numbers))), doc[order], n[order]]
-        yield pa.RecordBatch.from_arrays([pa.array([portion]), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([_packed(held)], pa.binary())], schema=_COUNTED)
-        size = len(self.numbers)
-        columns = [np.full(size, portion), np.arange(size, dtype=np.int32)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(list(self.numbers), pa.binary()), pa.nulls(size, pa.binary())], schema=_COUNTED)
+    def rows(self) -> pa.RecordBatch:
+        chunk, lang, at, n, doc = (np.concatenate(c) for c in zip(*self.parts))
+        langs, lang = np.unique(lang, return_inverse=True)
+        pairs, key = np.unique(chunk.astype(np.int64) * max(len(langs), 1) + lang, return_inverse=True)
+        counts = _added(len(pairs), (key, at, n), (key, doc), self.min_docs)
+        chunks = pa.array(list(self.numbers), pa.binary()).take(pa.array(pairs // max(len(langs), 1)))
+        self.clear()
+        return pa.RecordBatch.from_arrays([chunks, pa.array(langs[pairs % max(len(langs), 1)], pa.int64()), *counts], schema=_CHUNKS)
+
+
+def _counter(min_docs: int, portion: int):
+    def run(batches):
+        held = _Portion(min_docs, TaskContext.get().partitionId() << 36)
+        for batch in batches:
+            held.add(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist())
+            if held.size >= portion:
+                yield held.rows()
+        if held.parts:
+            yield held.rows()
+
+    return run
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths)."""
+    return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+
 
+def _picked(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the flat values of the lists of some rows, in order, and for each its number in ``rows``."""
+    width = lengths[rows]
+    begins = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(rows)), width)
+    return np.arange(len(owner)) - np.repeat(np.cumsum(width) - width, width) + begins[rows][owner], owner
 
-def _packed(arrays: list[np.ndarray]) -> bytes:
-    """Arrow's own compressed form of a few arrays of different lengths."""
-    sink = pa.BufferOutputStream()
-    table = pa.RecordBatch.from_arrays([pa.array([a]) for a in arrays], names=[str(k) for k in range(len(arrays))])
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(table)
-    return sink.getvalue().to_pybytes()
 
+class _Terms:
+    """Counts of terms, added up."""
 
-def _unpacked(data: bytes) -> list[np.ndarray]:
-    batch = pa.ipc.open_stream(data).read_next_batch()
-    return [c.flatten().to_numpy() for c in batch.columns]
+    def __init__(self, min_docs: int):
+        self.min_docs = min_docs
+        self.clear()
 
+    def clear(self) -> None:
+        self.numbers: dict[tuple[int, bytes], int] = {}
+        self.counts: list[tuple] = []
+        self.docs: list[tuple] = []
+        self.size = 0
+
+    def add(self, keys: list[tuple[int, bytes]], rows: np.ndarray, at: pa.Array, n: pa.Array, docs: pa.Array) -> None:
+        """The counts of row ``rows[i]`` belong to ``keys[i]``."""
+        numbers = self.numbers
+        for k in set(keys).difference(numbers):
+            numbers[k] = len(numbers)
+        key = np.fromiter(map(numbers.__getitem__, keys), np.int64, len(keys))
+        (at, lengths), (n, _), (docs, held) = _flat(at), _flat(n), _flat(docs)
+        places, owner = _picked(rows, lengths)
+        self.counts.append((key[owner], at[places].astype(np.int64), n[places]))
+        self.size += len(owner)
+        places, owner = _picked(rows, held)
+        self.docs.append((key[owner], docs[places]))
+
+    def rows(self) -> pa.RecordBatch:
+        counts, docs = (tuple(np.concatenate(c) for c in zip(*x)) for x in (self.counts, self.docs))
+        lists = _added(len(self.numbers), counts, docs, self.min_docs)
+        out = pa.RecordBatch.from_arrays([pa.array([t for _, t in self.numbers], pa.binary()), pa.array([la for la, _ in self.numbers], pa.int64()), *lists], schema=_TERMS)
+        self.clear()
+        return out
+
+
+def _cutter(min_docs: int, portion: int):
+    """Rows in the order of their chunks: each chunk is cut once."""
 
-def _counter(portion_size: int):
     def run(batches):
-        held = _Portion()
+        held, last, terms = _Terms(min_docs), None, []
         for batch in batches:
-            held.add(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            if held.size >= portion_size:
-                yield from held.rows()
-                held = _Portion()
-        if held.groups:
-            yield from held.rows()
+            keys, rows = [], []
+            for k, (chunk, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if chunk != last:
+                    last, terms = chunk, _TERM.findall(chunk.lower())
+                for t in terms:
+                    keys.append((lang, t))
+                    rows.append(k)
+            if keys:
+                held.add(keys, np.array(rows), *batch.columns[2:])
+            if held.size >= portion:
+                yield held.rows()
+        if held.numbers:
+            yield held.rows()
 
     return run
 
 
-def _cutter(batches):
-    """Rows in the order of their chunks: each chunk is cut once, its terms go to every portion that holds it."""
-    last, terms = None, []
-    for batch in batches:
-        found = []
-        for chunk in batch.column(2).to_pylist():
-            if chunk != last:
-                last, terms = chunk, _TERM.findall(chunk.lower())
-            found.append(terms)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, _CUT.field("terms").type)], schema=_CUT)
-
-
-def _join_terms(counts: bytes, numbers: np.ndarray, terms: list[list[bytes]]) -> pa.RecordBatch:
-    """Occurrences and documents by group and term of one portion."""
-    groups, ends, docs, n = _unpacked(counts)
-    begins = np.concatenate([[0], ends[:-1]])
-    known: dict[bytes, int] = {}
-    for t in set(chain.from_iterable(terms)):
-        known[t] = len(known)
-    sizes = np.fromiter(map(len, terms), np.int64, len(terms))
-    term = np.fromiter(map(known.__getitem__, chain.from_iterable(terms)), np.int64, int(sizes.sum()))
-    chunk = np.repeat(numbers, sizes)
-    # a chunk's counts, once for each of its terms
-    width = (ends - begins)[chunk]
-    at = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) + np.repeat(begins[chunk], width)
-    key = np.repeat(term, width) << 32 | docs[at]
-    order = np.argsort(key)
-    key, times = key[order], n[at][order].astype(np.int64)
-    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    times = np.add.reduceat(times, new) if len(new) else times[:0]
-    term, doc = key[new] >> 32, key[new] & 0xFFFFFFFF
-    names, local = np.unique(groups, return_inverse=True)
-    cell, where, held = np.unique(term * max(len(names), 1) + local[doc], return_inverse=True, return_counts=True)
-    total = np.zeros(len(cell), np.int64)
-    np.add.at(total, where, times)
-    words = pa.array(list(known), pa.binary()).take(pa.array(cell // max(len(names), 1)))
-    return pa.RecordBatch.from_arrays([pa.array(names[cell % max(len(names), 1)], pa.int64()), words, pa.array(total), pa.array(held.astype(np.int64))], schema=_TERMS)
-
-
-def _joiner(batches):
-    """Rows in the order of portions and numbers; one portion is held at a time."""
-    portion, counts, numbers, terms = None, None, [], []
-    for batch in batches:
-        of, no, data, cut = (c.to_pylist() if k > 1 else c.to_numpy() for k, c in enumerate(batch.columns))
-        for a, b in zip(*(lambda s: (s, np.append(s[1:], len(of))))(np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, int))):
-            if of[a] != portion:
-                if counts is not None and terms:
-                    yield _join_terms(counts, np.concatenate(numbers), terms)
-                portion, counts, numbers, terms = of[a], data[a], [], []
-                a += 1
-            numbers.append(no[a:b])
-            terms += cut[a:b]
-    if counts is not None and terms:
-        yield _join_terms(counts, np.concatenate(numbers), terms)
+def _keeper(min_docs: int):
+    """Rows in the order of term and language, added up; terms of too few documents are dropped."""
+
+    def kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(np.diff(batch.column(4).offsets.to_numpy()) >= min_docs))
+
+    def run(batches):
+        held, last = _Terms(min_docs), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()))
+            # all but the last key are complete
+            end = next((k for k in range(len(keys) - 1, -1, -1) if keys[k] != keys[-1]), -1) + 1
+            if end:
+                held.add(keys[:end], np.arange(end), *batch.columns[2:])
+                yield kept(held.rows())
+            elif keys[-1] != last and held.numbers:
+                yield kept(held.rows())
+            held.add(keys[end:], np.arange(end, len(keys)), *batch.columns[2:])
+            last = keys[-1]
+            if held.size >= PORTION:
+                merged = held.rows()
+                held.add([last], np.array([0]), *merged.columns[2:])
+        if held.numbers:
+            yield kept(held.rows())
+
+    return run
 
 
 def _groups(docs: DataFrame) -> DataFrame:
-    """(lang, source, group): every group of documents, numbered."""
-    found = docs.groupBy("lang", "source").agg(F.count("*").alias("documents")).orderBy("lang", "source")
-    return written(found.withColumn("group", F.monotonically_increasing_id()), "groups")
+    """(lang, source, no, at, documents): languages are numbered, and the sources of each."""
+    found = written(docs.groupBy("lang", "source").agg(F.count("*").alias("documents")), "groups")
+    langs = written(found.select("lang").distinct().orderBy("lang").withColumn("no", F.monotonically_increasing_id()), "langs")
+    at = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
+    return written(found.join(langs, "lang").withColumn("at", at), "numbered")
 
 
-def _term_counts(docs: DataFrame, groups: DataFrame, portion: int) -> DataFrame:
-    """(group, term, n, docs): occurrences and distinct documents."""
-    named = groups.select(F.col("lang").alias("lang_of"), F.col("source").alias("source_of"), "group", "documents")
+def _term_counts(docs: DataFrame, groups: DataFrame, min_docs: int, portion: int) -> DataFrame:
+    """(term, lang, at, n): occurrences of the kept terms in the sources of each language, by their numbers."""
+    named = groups.select(F.col("lang").alias("lang_of"), F.col("source").alias("source_of"), "no", "at", "documents")
     keyed = skewed_join(docs, named, {"lang": "lang_of", "source": "source_of"}, "documents")
-    counted = written(batched(keyed.select("group", "text"), _counter(portion), COUNTED), "chunks")
-    chunks = counted.where("no >= 0").select("portion", "no", "chunk").repartition("chunk").sortWithinPartitions("chunk")
-    cut = batched(chunks, _cutter, CUT).where(F.size("terms") > 0)
-    back = cut.withColumn("counts", F.lit(None).cast("binary")).unionByName(
-        counted.where("no < 0").select("portion", "no", "counts", F.lit(None).cast("array<binary>").alias("terms"))
-    )
-    dealt = back.select("portion", "no", "counts", "terms").repartition("portion").sortWithinPartitions("portion", "no")
-    found = batched(dealt, _joiner, TERMS)
-    return found.groupBy("group", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    chunks = batched(keyed.select("no", "at", "text"), _counter(min_docs, portion), CHUNKS)
+    terms = batched(chunks.repartition("chunk").sortWithinPartitions("chunk"), _cutter(min_docs, portion), TERMS)
+    return batched(terms.repartition("term", "lang").sortWithinPartitions("term", "lang"), _keeper(min_docs), TERMS).drop("docs")
 
 
 def share(count: Column, total: Column) -> Column:
@@ -239,17 +291,12 @@ def _sums(batches):
 def divergence(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP, portion: int = PORTION) -> DataFrame:
     """(lang, source, part, item, value, rank) as described above."""
     rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    groups = _groups(rows)
-    found = written(_term_counts(rows, groups, portion), "terms")
-
-    numbered = groups.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
-    weights = found.groupBy("group").agg(F.count("*").alias("rows"))
-    placed = numbered.join(weights.withColumnRenamed("group", "of"), F.col("group") == F.col("of"), "left")
-    placed = written(placed.select("lang", "source", "group", "at", F.coalesce("rows", F.lit(0)).alias("rows")), "sources")
-    of_group = placed.select(F.col("group").alias("group_of"), "lang", "at", "rows")
-    by_term = skewed_join(found, of_group, {"group": "group_of"}, "rows").groupBy("lang", "term")
-    terms = by_term.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("at", "n")).alias("parts"))
-    kept = written(terms.where(F.col("docs") >= min_docs).select("lang", "term", "n", "parts"), "kept")
+    placed = _groups(rows)
+    found = _term_counts(rows, placed, min_docs, portion)
+    found = found.select(F.col("lang").alias("no"), "term", F.aggregate("n", F.lit(0).cast("long"), lambda a, b: a + b).alias("n"), F.arrays_zip("at", "n").alias("parts"))
+    found = written(found, "terms")
+    names = placed.groupBy("no").agg(F.first("lang").alias("lang")).join(found.groupBy("no").agg(F.count("*").alias("v")), "no")
+    kept = skewed_join(found, names.withColumnRenamed("no", "no_of"), {"no": "no_of"}, "v").select("lang", "term", "n", "parts")
 
     each = kept.select("lang", F.explode("parts").alias("p")).groupBy("lang", F.col("p.at").alias("at")).agg(F.sum("p.n").alias("total"), F.count("*").alias("used"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("total"))
