@@ -33,18 +33,44 @@ def brute_dbscan(pts, eps, m):
     return label, core
 
 
-@pytest.mark.parametrize("d", [1, 2, 3])
-def test_dbscan_equals_brute_force(spark, d):
+@pytest.mark.parametrize("d", [1, 2, 3, 6])
+def test_dbscan_equals_brute_force(spark, d, monkeypatch):
+    monkeypatch.setattr(K, "LEAF_CELLS", 4)
+    eps = 0.4 if d <= 3 else 1.0
     rng = np.random.default_rng(d)
     # a crowded cell, two blobs and scattered points; values on a grid give many equal points
     pts = np.vstack([rng.normal(0, 0.05, (120, d)), rng.normal(2, 0.4, (60, d)), np.round(rng.uniform(-4, 6, (80, d)), 1), np.zeros((40, d))])
-    label, core = brute_dbscan(pts, 0.4, 4)
+    label, core = brute_dbscan(pts, eps, 4)
     names = [f"f{i}" for i in range(d)]
     df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "id int, " + ", ".join(f"{n} double" for n in names))
-    got = {r["id"]: (r["cluster"], r["is_core"]) for r in K.dbscan(df, "id", names, 0.4, 4).collect()}
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in K.dbscan(df, "id", names, eps, 4).collect()}
     assert got == {i: (int(label[i]), bool(core[i])) for i in range(len(pts))}
 
 
+def test_density_clusters_of_a_wide_table(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, *map(float, 10 * (i % 3) + 0.1 * rng.standard_normal(4)), "ab"[i % 2]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, e string")
+    got = {r["id"]: r["cluster"] for r in K.cluster_table(df, "id", ["a", "b", "c", "d"], "dbscan", eps=0.5, min_samples=4).collect()}
+    assert got == {i: i % 3 for i in range(90)}
+    runs = K.auto_cluster(df, "id", ["a", "b", "c", "d"], k_values=[3], eps_values=[0.5], min_samples=[4]).collect()
+    assert {r["algorithm"] for r in runs} >= {"kmeans", "dbscan"}
+
+
+def test_neighbours_in_five_columns(spark):
+    rng = np.random.default_rng(8)
+    pts = np.vstack([rng.normal(0, 1, (250, 5)), 1000 * rng.normal(0, 1, (30, 5))])
+    df = spark.createDataFrame([(f"k{i:03d}", *map(float, p)) for i, p in enumerate(pts)], "id string, a double, b double, c double, d double, e double")
+    train, test = df.where("id < 'k200' or id >= 'k260'"), df.where("id >= 'k200' and id < 'k260'")
+    got = {}
+    for r in V.nearest_neighbours(train, test, "id", list("abcde"), 4, leaf=11).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["neighbour"]))
+    names = [r["id"] for r in train.collect()]
+    for q in range(200, 260):
+        best = sorted(names, key=lambda n: (((pts[q] - pts[int(n[1:])]) ** 2).sum(), n))[:4]
+        assert [n for _, n in sorted(got[f"k{q:03d}"])] == best
+
+
 def test_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     # half of the points sit in one spot

@@ -74,6 +74,24 @@ def _(t):
     return K.dbscan(points(t).drop("y"), "c_custkey", ["x"], 0.5, 12).drop("x")
 
 
+_SIX = "(SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(6)) + " FROM embeddings)"
+_SIX_NEAR = " + ".join(f"pow(a.e{i} - b.e{i}, 2)" for i in range(6))
+
+
+@query(
+    "dbscan_six_columns",
+    f"WITH RECURSIVE p AS MATERIALIZED {_SIX}, n AS MATERIALIZED (SELECT a.vec_id AS id, b.vec_id AS nb FROM p a, p b WHERE {_SIX_NEAR} <= 0.2 * 0.2), core AS MATERIALIZED (SELECT id FROM n GROUP BY id HAVING count(*) >= 4), "
+    "e AS MATERIALIZED (SELECT n.id, nb FROM n JOIN core a ON n.id = a.id JOIN core b ON n.nb = b.id), r AS (SELECT id AS node, id AS reached FROM core UNION SELECT r.node, e.nb FROM r JOIN e ON r.reached = e.id), "
+    "k AS (SELECT node, dense_rank() OVER (ORDER BY c) - 1 AS label FROM (SELECT node, min(reached) AS c FROM r GROUP BY 1)), "
+    "b AS (SELECT n.id, min(label) AS label FROM n JOIN k ON n.nb = k.node WHERE n.id NOT IN (SELECT id FROM core) GROUP BY 1) "
+    "SELECT vec_id, CAST(coalesce(k.label, b.label, -1) AS INTEGER) AS cluster, k.label IS NOT NULL AS is_core FROM p LEFT JOIN k ON vec_id = k.node LEFT JOIN b ON vec_id = b.id",
+)
+def _(t):
+    names = [f"e{i}" for i in range(6)]
+    rows = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return K.dbscan(rows, "vec_id", names, 0.2, 4).drop(*names)
+
+
 @query("silhouette")
 def _(t):
     value = K.silhouette(K.kmeans(prepared(t), 4))
