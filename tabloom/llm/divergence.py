@@ -151,12 +151,12 @@ class _Terms:
         self.docs: list[tuple] = []
         self.size = 0
 
-    def add(self, keys: list[tuple[int, bytes]], rows: np.ndarray, at: pa.Array, n: pa.Array, docs: pa.Array) -> None:
-        """The counts of row ``rows[i]`` belong to ``keys[i]``."""
-        numbers = self.numbers
-        for k in set(keys).difference(numbers):
-            numbers[k] = len(numbers)
-        key = np.fromiter(map(numbers.__getitem__, keys), np.int64, len(keys))
+    def number(self, lang: int, term: bytes) -> int:
+        return self.numbers.setdefault((lang, term), len(self.numbers))
+
+    def add(self, numbers: list[int], rows: list[int], at: pa.Array, n: pa.Array, docs: pa.Array) -> None:
+        """The counts of row ``rows[i]`` belong to the term of ``numbers[i]``."""
+        key, rows = np.array(numbers, np.int64), np.array(rows, np.int64)
         (at, lengths), (n, _), (docs, held) = _flat(at), _flat(n), _flat(docs)
         places, owner = _picked(rows, lengths)
         self.counts.append((key[owner], at[places].astype(np.int64), n[places]))
@@ -176,19 +176,22 @@ def _cutter(min_docs: int, portion: int):
     """Rows in the order of their chunks: each chunk is cut once."""
 
     def run(batches):
-        held, last, terms = _Terms(min_docs), None, []
+        held, last, terms, known = _Terms(min_docs), None, [], {}
         for batch in batches:
-            keys, rows = [], []
+            numbers, rows = [], []
             for k, (chunk, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 if chunk != last:
-                    last, terms = chunk, _TERM.findall(chunk.lower())
-                for t in terms:
-                    keys.append((lang, t))
-                    rows.append(k)
-            if keys:
-                held.add(keys, np.array(rows), *batch.columns[2:])
+                    last, terms, known = chunk, _TERM.findall(chunk.lower()), {}
+                found = known.get(lang)
+                if found is None:
+                    found = known[lang] = [held.number(lang, t) for t in terms]
+                numbers += found
+                rows += [k] * len(found)
+            if rows:
+                held.add(numbers, rows, *batch.columns[2:])
             if held.size >= portion:
                 yield held.rows()
+                known = {}
         if held.numbers:
             yield held.rows()
 
@@ -210,15 +213,15 @@ def _keeper(min_docs: int):
             # all but the last key are complete
             end = next((k for k in range(len(keys) - 1, -1, -1) if keys[k] != keys[-1]), -1) + 1
             if end:
-                held.add(keys[:end], np.arange(end), *batch.columns[2:])
+                held.add([held.number(*k) for k in keys[:end]], range(end), *batch.columns[2:])
                 yield kept(held.rows())
             elif keys[-1] != last and held.numbers:
                 yield kept(held.rows())
-            held.add(keys[end:], np.arange(end, len(keys)), *batch.columns[2:])
+            held.add([held.number(*k) for k in keys[end:]], range(end, len(keys)), *batch.columns[2:])
             last = keys[-1]
             if held.size >= PORTION:
                 merged = held.rows()
-                held.add([last], np.array([0]), *merged.columns[2:])
+                held.add([held.number(*last)], [0], *merged.columns[2:])
         if held.numbers:
             yield kept(held.rows())
 
@@ -271,13 +274,22 @@ def _sums(batches):
     schema = pa.schema([("lang", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("value", pa.int64())])
     held: dict[tuple, np.ndarray] = {}
     for batch in batches:
-        for lang, block, totals, at, n in zip(*(c.to_pylist() for c in batch.columns)):
-            totals = np.array(totals, np.int64)
-            counts = np.zeros(len(totals), np.int64)
-            counts[at] = n
+        rows: dict[tuple, list[int]] = {}
+        for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            rows.setdefault(key, []).append(k)
+        (at, lengths), (n, _) = _flat(batch.column(3)), _flat(batch.column(4))
+        for (lang, block), of in rows.items():
+            totals = np.array(batch.column(2)[of[0]].as_py(), np.int64)
+            places, owner = _picked(np.array(of), lengths)
+            counts = np.zeros((len(of), len(totals)), np.int64)
+            counts[owner, at[places]] = n[places]
             q = shares(counts, totals)
-            p = q[block * SOURCE_BLOCK : (block + 1) * SOURCE_BLOCK, None]
-            value = (p - q) ** 2 // q
+            p = q[:, block * SOURCE_BLOCK : (block + 1) * SOURCE_BLOCK]
+            value = np.zeros((p.shape[1], len(totals)), np.int64)
+            few = max(1, 1_000_000 // value.size)  # terms at a time
+            for i in range(0, len(of), few):
+                a, b = p[i : i + few, :, None], q[i : i + few, None, :]
+                value += ((a - b) ** 2 // b).sum(axis=0)
             if (lang, block) in held:
                 held[lang, block] += value
             else:
