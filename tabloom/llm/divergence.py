@@ -33,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,6 +79,14 @@ def _added(keys: int, counts: tuple, docs: tuple, most: int) -> list[pa.Array]:
     return [at, n, *_lists(key[early], keys, doc[early])]
 
 
+class _Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
 class _Portion:
     """Chunk counts of some documents; chunks are numbered as they come."""
 
@@ -86,30 +95,38 @@ class _Portion:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
     def add(self, langs: np.ndarray, sources: np.ndarray, texts: list[str | None]) -> None:
-        numbers, split = self.numbers, [(t or "").encode().split() for t in texts]
-        for chunk in set(chain.from_iterable(split)).difference(numbers):
-            numbers[chunk] = len(numbers)
+        split = [(t or "").encode().split() for t in texts]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
-        chunk = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+        chunk = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
         pairs, n = np.unique(chunk << 32 | np.repeat(np.arange(len(split)), lengths), return_counts=True)
         doc = pairs & 0xFFFFFFFF
-        self.parts.append(((pairs >> 32).astype(np.int32), langs[doc], sources[doc], n, doc + self.next_doc))
+        self.parts.append((pairs >> 32, langs[doc], sources[doc], n, doc + self.next_doc))
         self.next_doc += len(split)
         self.size += len(pairs)
 
     def rows(self) -> pa.RecordBatch:
+        """A pair of chunk and document stands here once, so documents need no comparison."""
         chunk, lang, at, n, doc = (np.concatenate(c) for c in zip(*self.parts))
         langs, lang = np.unique(lang, return_inverse=True)
-        pairs, key = np.unique(chunk.astype(np.int64) * max(len(langs), 1) + lang, return_inverse=True)
-        counts = _added(len(pairs), (key, at, n), (key, doc), self.min_docs)
-        chunks = pa.array(list(self.numbers), pa.binary()).take(pa.array(pairs // max(len(langs), 1)))
+        count, width = max(len(langs), 1), int(at.max()) + 1 if len(at) else 1
+        cell = (chunk * count + lang) * width + at
+        order = np.argsort(cell, kind="stable")
+        cell, doc = cell[order], doc[order]
+        key = cell // width
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        pairs, place = key[start], np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+        total = np.add.reduceat(n[order], first) if len(first) else n
+        early = np.arange(len(key)) - start[place] < self.min_docs
+        counts = [*_lists(place[first], len(start), (cell[first] % width).astype(np.int32), total), *_lists(place[early], len(start), doc[early])]
+        chunks = pa.array(list(self.numbers), pa.binary()).take(pa.array(pairs // count))
         self.clear()
-        return pa.RecordBatch.from_arrays([chunks, pa.array(langs[pairs % max(len(langs), 1)], pa.int64()), *counts], schema=_CHUNKS)
+        return pa.RecordBatch.from_arrays([chunks, pa.array(langs[pairs % count], pa.int64()), *counts], schema=_CHUNKS)
 
 
 def _counter(min_docs: int, portion: int):
@@ -146,17 +163,13 @@ class _Terms:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[tuple[int, bytes], int] = {}
+        self.numbers = _Numbers()
         self.counts: list[tuple] = []
         self.docs: list[tuple] = []
         self.size = 0
 
-    def number(self, lang: int, term: bytes) -> int:
-        return self.numbers.setdefault((lang, term), len(self.numbers))
-
-    def add(self, numbers: list[int], rows: list[int], at: pa.Array, n: pa.Array, docs: pa.Array) -> None:
-        """The counts of row ``rows[i]`` belong to the term of ``numbers[i]``."""
-        key, rows = np.array(numbers, np.int64), np.array(rows, np.int64)
+    def add(self, key: np.ndarray, rows: np.ndarray, at: pa.Array, n: pa.Array, docs: pa.Array) -> None:
+        """The counts of row ``rows[i]`` belong to the term of number ``key[i]``."""
         (at, lengths), (n, _), (docs, held) = _flat(at), _flat(n), _flat(docs)
         places, owner = _picked(rows, lengths)
         self.counts.append((key[owner], at[places].astype(np.int64), n[places]))
@@ -176,22 +189,26 @@ def _cutter(min_docs: int, portion: int):
     """Rows in the order of their chunks: each chunk is cut once."""
 
     def run(batches):
-        held, last, terms, known = _Terms(min_docs), None, [], {}
+        held, last, terms = _Terms(min_docs), None, []
         for batch in batches:
-            numbers, rows = [], []
-            for k, (chunk, lang) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                if chunk != last:
-                    last, terms, known = chunk, _TERM.findall(chunk.lower()), {}
-                found = known.get(lang)
-                if found is None:
-                    found = known[lang] = [held.number(lang, t) for t in terms]
-                numbers += found
-                rows += [k] * len(found)
-            if rows:
-                held.add(numbers, rows, *batch.columns[2:])
+            if not batch.num_rows:
+                continue
+            chunk, lang = batch.column(0), batch.column(1).to_numpy()
+            same = pc.equal(chunk[1:], chunk[:-1]).to_numpy(zero_copy_only=False) & (lang[1:] == lang[:-1])
+            start = np.flatnonzero(np.append(True, ~same))
+            numbers, lengths, numbered = [], [], held.numbers
+            for c, la in zip(chunk.take(pa.array(start)).to_pylist(), lang[start].tolist()):
+                if c != last:
+                    last, terms = c, _TERM.findall(c.lower())
+                numbers += [numbered[la, t] for t in terms]
+                lengths.append(len(terms))
+            # every row has the terms of its run of equal chunks
+            run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(lang))))
+            places, rows = _picked(run, np.array(lengths, np.int64))
+            if len(rows):
+                held.add(np.array(numbers, np.int64)[places], rows, *batch.columns[2:])
             if held.size >= portion:
                 yield held.rows()
-                known = {}
         if held.numbers:
             yield held.rows()
 
@@ -213,15 +230,15 @@ def _keeper(min_docs: int):
             # all but the last key are complete
             end = next((k for k in range(len(keys) - 1, -1, -1) if keys[k] != keys[-1]), -1) + 1
             if end:
-                held.add([held.number(*k) for k in keys[:end]], range(end), *batch.columns[2:])
+                held.add(np.array([held.numbers[k] for k in keys[:end]]), np.arange(end), *batch.columns[2:])
                 yield kept(held.rows())
             elif keys[-1] != last and held.numbers:
                 yield kept(held.rows())
-            held.add([held.number(*k) for k in keys[end:]], range(end, len(keys)), *batch.columns[2:])
+            held.add(np.array([held.numbers[k] for k in keys[end:]]), np.arange(end, len(keys)), *batch.columns[2:])
             last = keys[-1]
             if held.size >= PORTION:
                 merged = held.rows()
-                held.add([held.number(*last)], [0], *merged.columns[2:])
+                held.add(np.array([held.numbers[last]]), np.array([0]), *merged.columns[2:])
         if held.numbers:
             yield kept(held.rows())
 
@@ -241,7 +258,7 @@ def _term_counts(docs: DataFrame, groups: DataFrame, min_docs: int, portion: int
     named = groups.select(F.col("lang").alias("lang_of"), F.col("source").alias("source_of"), "no", "at", "documents")
     keyed = skewed_join(docs, named, {"lang": "lang_of", "source": "source_of"}, "documents")
     chunks = batched(keyed.select("no", "at", "text"), _counter(min_docs, portion), CHUNKS)
-    terms = batched(chunks.repartition("chunk").sortWithinPartitions("chunk"), _cutter(min_docs, portion), TERMS)
+    terms = batched(chunks.repartition("chunk").sortWithinPartitions("chunk", "lang"), _cutter(min_docs, portion), TERMS)
     return batched(terms.repartition("term", "lang").sortWithinPartitions("term", "lang"), _keeper(min_docs), TERMS).drop("docs")
 
 
