@@ -1,19 +1,27 @@
 """Distribution drift between a reference and a current table.
 
-All numeric columns share one ordering of their value counts, all text columns share one count table.
+Numeric columns are cut into brackets by a quantile sketch.  The counts of the brackets give the two
+distributions exactly at every cut, and bound their gap in between; values are ordered only in the brackets
+whose bound exceeds the largest gap at a cut.  All text columns share one count table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections import defaultdict
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.columns import as_list, join_on, numeric_cols
+from tabloom.columns import as_list, numeric_cols
 from tabloom.functions.stats import chi2_pvalue, ks_pvalue
 from tabloom.operators.joins import align_counts
-from tabloom.operators.ordered import running_total, split_by_order, split_random
+from tabloom.operators.ordered import split_by_order, split_random
 from tabloom.operators.profile import bin_of, numeric_profile
 
+#: Brackets of a numeric column.
+BRACKETS = 500
 # fixed values: weight of a column's score by its magnitude
 MAGNITUDE_WEIGHTS = {"High": 1.0, "Medium": 0.6, "Low": 0.3, "Minimal": 0.1}
 
@@ -31,19 +39,62 @@ def _sides(reference: DataFrame, current: DataFrame, cols, cast: str) -> DataFra
     )
 
 
-def ks_distance(counts: DataFrame, by) -> DataFrame:
-    """Largest gap between two cumulative distributions given value counts, per ``by`` group."""
-    by = as_list(by)
-    run = running_total(counts, "value", {"_a": ("reference_count", "sum"), "_b": ("current_count", "sum")}, partition_by=by)
-    totals = run.groupBy(*by).agg(F.max("_a").alias("reference_n"), F.max("_b").alias("current_n"))
-    gap = F.abs(F.try_divide("_a", "reference_n") - F.try_divide("_b", "current_n"))
-    return join_on(run, totals, by, "inner").groupBy(*by, "reference_n", "current_n").agg(F.max(gap).alias("statistic"))
-
-
-def drift_ks(reference: DataFrame, current: DataFrame, cols) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov statistic and p-value per numeric column."""
-    counts = _sides(reference, current, as_list(cols), "double")
-    return ks_distance(counts, "column_name").select(
+def _bracketed(reference: DataFrame, current: DataFrame, cols: list[str], brackets: int) -> DataFrame:
+    """(column_name, bracket, value, _cur) of every non-null value; not-a-number comes last."""
+    names = [f"c{i}" for i in range(len(cols))]
+
+    def side(df, cur):
+        return df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(cols, names)], F.lit(cur).alias("_cur"))
+
+    both = side(reference, 0).unionByName(side(current, 1))
+    probs = [i / brackets for i in range(1, brackets)]
+    sketch = both.agg(*[F.percentile_approx(F.when(~F.isnan(n), F.col(n)), probs, 10 * brackets).alias(n) for n in names]).first()
+    cuts = [sorted({v for v in sketch[n] or [] if math.isfinite(v)}) or [0.0] for n in names]
+    splits = [[-math.inf, *c, math.inf] for c in cuts]
+    placed = Bucketizer(splitsArray=splits, inputCols=names, outputCols=[f"b{n}" for n in names], handleInvalid="keep").transform(both)
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"b{n}").cast("int").alias("bracket"), F.col(n).alias("value")) for c, n in zip(cols, names)])
+    return placed.select("_cur", F.inline(F.filter(cells, lambda x: x["value"].isNotNull())))
+
+
+def _open_brackets(counts) -> tuple[dict, list]:
+    """({column: (largest gap at a cut, reference rows, current rows)}, the brackets that may hold a larger one).
+
+    ``counts`` are (column, bracket, reference rows, current rows): at most one row per column and bracket.
+    """
+    by_column = defaultdict(list)
+    for column, bracket, a, b in counts:
+        by_column[column].append((bracket, a, b))
+    known, still = {}, []
+    for column, rows in by_column.items():
+        rows.sort()
+        n, m = sum(r[1] for r in rows), sum(r[2] for r in rows)
+        if not n or not m:
+            known[column] = (None, n, m)
+            continue
+        best, a, b, spans = 0.0, 0, 0, []
+        for bracket, da, db in rows:
+            spans.append((max((a + da) / n - b / m, (b + db) / m - a / n), bracket, a, b))
+            a, b = a + da, b + db
+            best = max(best, abs(a / n - b / m))
+        known[column] = (best, n, m)
+        still += [(column, bracket, a, b) for most, bracket, a, b in spans if most > best]
+    return known, still
+
+
+def drift_ks(reference: DataFrame, current: DataFrame, cols, brackets: int = BRACKETS) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov statistic and p-value per numeric column; exact."""
+    spark, rows = reference.sparkSession, _bracketed(reference, current, as_list(cols), brackets)
+    counts = rows.groupBy("column_name", "bracket").agg(F.sum(1 - F.col("_cur")).alias("a"), F.sum("_cur").alias("b")).collect()
+    known, still = _open_brackets(counts)
+    told = spark.createDataFrame([(c, *k) for c, k in known.items()], "column_name string, _cut double, reference_n long, current_n long")
+    # at most one row per column and bracket
+    open_ = F.broadcast(spark.createDataFrame(still, "column_name string, bracket int, _a0 long, _b0 long"))
+    inside = rows.join(open_, ["column_name", "bracket"]).groupBy("column_name", "bracket", "_a0", "_b0", "value").agg(F.sum(1 - F.col("_cur")).alias("a"), F.sum("_cur").alias("b"))
+    upto = Window.partitionBy("column_name", "bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    run = inside.withColumns({"a": F.col("_a0") + F.sum("a").over(upto), "b": F.col("_b0") + F.sum("b").over(upto)}).join(F.broadcast(told), "column_name")
+    gaps = run.groupBy("column_name").agg(F.max(F.abs(F.col("a") / F.col("reference_n") - F.col("b") / F.col("current_n"))).alias("_in"))
+    out = told.join(gaps, "column_name", "left").withColumn("statistic", F.greatest("_cut", "_in"))
+    return out.select(
         "column_name", "statistic", ks_pvalue(F.col("statistic"), F.col("reference_n"), F.col("current_n")).alias("p_value"), "reference_n", "current_n"
     )
 

@@ -8,8 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tabloom.columns import as_list, total
 from tabloom.functions.stats import ks_pvalue
-from tabloom.operators.drift import detect_column_drift, ks_distance
+from tabloom.operators.drift import detect_column_drift
+from tabloom.operators.ordered import running_total
 from tabloom.operators.profile import is_outside
+from tabloom.session import cut_lineage
 
 # fixed values: alert thresholds of quality scores and drift p-values
 QUALITY_WARNING, QUALITY_CRITICAL = 75.0, 60.0
@@ -52,24 +54,63 @@ def window_quality(df: DataFrame, ts: str, cols, bounds: dict, window: str = "1
     )
 
 
-def window_drift(df: DataFrame, ts: str, col: str, window: str = "7 days", warning: float = DRIFT_WARNING, critical: float = DRIFT_CRITICAL) -> DataFrame:
-    """Each later window against the first one by the Kolmogorov-Smirnov test."""
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.window(ts, window)["start"].alias("window_start"), F.col(col).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    starts = sorted(r[0] for r in df.select(F.window(ts, window)["start"].alias("s")).distinct().collect())
-    if len(starts) < 2:
-        return df.sparkSession.createDataFrame([], "window_start timestamp_ntz, statistic double, p_value double, row_count bigint, status string")
-    first, later = starts[0], starts[1:]
-    kind = dict(counts.dtypes)["window_start"]
-    every = F.array(*[F.lit(str(s)).cast(kind) for s in later])
-    # the reference counts are repeated once per later window; one row per distinct value
-    ref = counts.where(F.col("window_start") == F.lit(str(first)).cast(kind)).select(F.explode(every).alias("window_start"), "value", F.col("n").alias("reference_count"), F.lit(0).cast("bigint").alias("current_count"))
-    cur = counts.where(F.col("window_start") > F.lit(str(first)).cast(kind)).select("window_start", "value", F.lit(0).cast("bigint").alias("reference_count"), F.col("n").alias("current_count"))
-    both = ref.unionByName(cur).groupBy("window_start", "value").agg(F.sum("reference_count").alias("reference_count"), F.sum("current_count").alias("current_count"))
-    ks = ks_distance(both, "window_start")
+def _value_counts(df: DataFrame, ts: str, col: str, window: str) -> DataFrame:
+    """(window_start, value, n): a window's values, combined before they move."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(F.window(ts, window).alias("w"), F.col(col).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("w.start").alias("window_start"), "value", "n")
+
+
+def counts_drift(counts: DataFrame, reference: DataFrame, warning: float = DRIFT_WARNING, critical: float = DRIFT_CRITICAL) -> DataFrame:
+    """Each window of ``counts`` (window_start, value, n) against the ``reference`` counts (value, n).
+
+    The gap of two step functions is largest at a value of the window, or just below one, so the reference
+    is ordered once for all windows and never repeated.
+    """
+    windows = counts.withColumn("_r", F.lit(0).cast("long"))
+    values = windows.select("value", "_r").unionByName(reference.select("value", F.col("n").alias("_r"))).groupBy("value").agg(F.sum("_r").alias("_r"))
+    known = running_total(values, "value", {"_upto": ("_r", "sum")})
+    total_n = reference.agg(F.sum("n").alias("reference_n"))
+    run = running_total(counts, "value", {"_own": ("n", "sum")}, partition_by="window_start")
+    sizes = counts.groupBy("window_start").agg(F.sum("n").alias("current_n"))
+    both = run.join(known, "value").join(sizes, "window_start").join(F.broadcast(total_n))  # one row
+    at = F.abs(F.col("_own") / F.col("current_n") - F.col("_upto") / F.col("reference_n"))
+    below = F.abs((F.col("_own") - F.col("n")) / F.col("current_n") - (F.col("_upto") - F.col("_r")) / F.col("reference_n"))
+    ks = both.groupBy("window_start", "reference_n", "current_n").agg(F.max(F.greatest(at, below)).alias("statistic"))
     p = ks_pvalue(F.col("statistic"), F.col("reference_n"), F.col("current_n"))
     return ks.withColumn("p_value", p).select("window_start", "statistic", "p_value", F.col("current_n").alias("row_count"), _status(F.col("p_value"), warning, critical).alias("status"))
 
 
+def window_drift(df: DataFrame, ts: str, col: str, window: str = "7 days", warning: float = DRIFT_WARNING, critical: float = DRIFT_CRITICAL) -> DataFrame:
+    """Each later window against the first one by the Kolmogorov-Smirnov test."""
+    counts = cut_lineage(_value_counts(df, ts, col, window))
+    first = df.agg(F.min(F.window(ts, window)["start"]).alias("window_start"))  # one row
+    reference = counts.join(F.broadcast(first), "window_start").select("value", "n")
+    later = counts.join(F.broadcast(first.withColumnRenamed("window_start", "_first"))).where("window_start > _first").drop("_first")
+    return counts_drift(later, reference, warning, critical)
+
+
+def start_window_drift(stream: DataFrame, reference: DataFrame, path: str, ts: str, col: str, window: str = "7 days", watermark: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
+    """Test each window of a stream once it is closed, against the table ``reference``.
+
+    The state is the counts of each open window's values, keyed by both; a closed window leaves it as a whole,
+    so one micro-batch holds all of its counts.  A replayed batch overwrites its own folder.
+    """
+    zoneless = dict(stream.dtypes)[ts] == "timestamp_ntz"
+    if zoneless:
+        # a watermark needs a time-zoned column: keep the wall-clock time as UTC, so windows stay the same
+        stream = stream.withColumn(ts, F.from_utc_timestamp(F.col(ts).cast("timestamp"), F.current_timezone()))
+    known = cut_lineage(reference.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n")))
+
+    def check(batch: DataFrame, batch_id: int) -> None:
+        if zoneless:
+            batch = batch.withColumn("window_start", F.to_utc_timestamp("window_start", F.current_timezone()).cast("timestamp_ntz"))
+        counts_drift(cut_lineage(batch), known).write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+
+    counts = _value_counts(stream.withWatermark(ts, watermark), ts, col, window)
+    writer = counts.writeStream.outputMode("append").foreachBatch(check).option("checkpointLocation", f"{path}/state")
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def start_quality_monitor(stream: DataFrame, path: str, ts: str, cols, bounds: dict, window: str = "1 day", watermark: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
     """Write each closed window once to ``path``/rows; offsets and state live in ``path``/state."""
     report = window_quality(stream, ts, cols, bounds, window, watermark=watermark)

@@ -28,6 +28,32 @@ def test_column_drift_and_neutral_row(spark):
     assert (got["e"]["test_used"], got["e"]["p_value"], got["e"]["drift_magnitude"]) == ("No valid data", 1.0, "None")
 
 
+def brute_ks(a, b):
+    a, b = np.sort(np.array(a)), np.sort(np.array(b))
+    points = np.unique(np.concatenate([a, b]))
+    return np.abs(np.searchsorted(a, points, "right") / len(a) - np.searchsorted(b, points, "right") / len(b)).max()
+
+
+@pytest.mark.parametrize("brackets", [2, 7, D.BRACKETS])
+def test_distances_by_brackets_are_exact(spark, brackets):
+    rng = np.random.default_rng(brackets)
+    a = np.stack([rng.normal(0, 1, 900), rng.integers(0, 3, 900) * 1.0, np.where(rng.random(900) < 0.4, 5.0, rng.normal(0, 9, 900)), np.append(rng.normal(0, 1, 890), [np.inf] * 10)], axis=1)
+    b = np.stack([rng.normal(0.1, 1, 500), rng.integers(0, 4, 500) * 1.0, np.where(rng.random(500) < 0.3, 5.0, rng.normal(0, 9, 500)), np.append(rng.normal(0, 1, 495), [-np.inf] * 5)], axis=1)
+    names = ["normal", "few", "a tie", "ends"]
+    ref, cur = (spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None,) * 4], ", ".join(f"`{n}` double" for n in names)).repartition(4) for x in (a, b))
+    got = {r["column_name"]: r for r in D.drift_ks(ref, cur, names, brackets).collect()}
+    assert {n: got[n]["statistic"] for n in names} == {n: brute_ks(a[:, i], b[:, i]) for i, n in enumerate(names)}
+    assert {(r["reference_n"], r["current_n"]) for r in got.values()} == {(900, 500)}
+    same = D.drift_ks(ref, ref, ["normal"], brackets).first()
+    assert same["statistic"] == 0.0 and same["p_value"] == 1.0
+
+
+def test_few_brackets_stay_open(spark):
+    counts = [("x", b, 10, 5 if b < 50 else 15) for b in range(100)]
+    known, still = D._open_brackets(counts)
+    assert known["x"] == (0.25, 1000, 1000) and 0 < len(still) < 6
+
+
 def test_single_category_has_no_chi_square(spark):
     df = spark.createDataFrame([("a",)] * 5, "c string")
     row = D.drift_chi2(df, df, ["c"]).first()
@@ -86,3 +112,24 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out" / "rows")).collect())
     want = sorted(tuple(r) for r in batch.where(f"window_end <= TIMESTAMP_NTZ '{START + dt.timedelta(days=3)}'").collect())
     assert got == want and len(got) == 3
+
+
+def test_window_drift_equals_brute_force_and_stream(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(START + dt.timedelta(hours=i), float(np.round(rng.normal(i // 200, 2), 1)) if i % 7 else None) for i in range(24 * 40)]
+    spark.createDataFrame(rows, "ts timestamp_ntz, v double").repartition(3).write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    batch = {r["window_start"]: r for r in S.window_drift(df, "ts", "v", "7 days").collect()}
+    weeks = {}
+    for ts, v in rows:
+        if v is not None:
+            weeks.setdefault((ts - dt.datetime(1970, 1, 1)).days // 7, []).append(v)
+    first, *later = sorted(weeks)
+    start = lambda w: dt.datetime(1970, 1, 1) + dt.timedelta(days=7 * w)
+    assert {k: (round(r["statistic"], 12), r["row_count"]) for k, r in batch.items()} == {start(w): (round(brute_ks(weeks[w], weeks[first]), 12), len(weeks[w])) for w in later}
+    reference = df.where(F.col("ts") < F.lit(str(start(first + 1))).cast("timestamp_ntz"))
+    stream = spark.readStream.schema("ts timestamp_ntz, v double").parquet(str(tmp_path / "in"))
+    S.start_window_drift(stream, reference, str(tmp_path / "out"), "ts", "v").awaitTermination()
+    got = {r["window_start"]: r for r in spark.read.parquet(str(tmp_path / "out" / "rows")).drop("batch").collect() if r["window_start"] > start(first)}
+    closed = [w for w in later if start(w + 1) <= rows[-1][0] - dt.timedelta(hours=1)]
+    assert len(closed) > 2 and {k: tuple(r) for k, r in got.items()} == {start(w): tuple(batch[start(w)]) for w in closed}

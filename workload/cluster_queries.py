@@ -1,8 +1,5 @@
 """Clustering and monitoring."""
 
-import tempfile
-import uuid
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from tabloom.operators.profile import iqr_table
 from tabloom.streaming import monitor as S
 from workload.drift_queries import ks_sql
 from workload.profile_queries import iqr_sql
+from tabloom.session import shared_path
 from workload.registry import query, union_all
 
 PARTS = ["p_size", "p_retailprice"]
@@ -154,11 +152,6 @@ def _(t):
     return S.window_quality(df, "ts", ["value", "event_type"], iqr_table(df, ["value"]), "1 day")
 
 
-def shared_folder(t, name):
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabloom-stream-")
-    return f"{base}/{name}_{uuid.uuid4().hex}"
-
-
 def event_stream(t):
     return t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t._dir)
 
@@ -169,7 +162,7 @@ def event_stream(t):
     rnd=_QR,
 )
 def _(t):
-    path = shared_folder(t, "quality")
+    path = shared_path(t.spark, "quality")
     bounds = iqr_table(gaps(t.events), ["value"])
     S.start_quality_monitor(gaps(event_stream(t)), path, "ts", ["value", "event_type"], bounds).awaitTermination()
     return t.spark.read.parquet(f"{path}/rows")
@@ -178,20 +171,36 @@ def _(t):
 _WEEK = "time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01')"
 
 
-@query(
-    "window_drift",
+_WINDOW_DRIFT = (
     f"WITH w AS (SELECT {_WEEK} AS ws, value FROM events), c AS (SELECT ws, value, count(*) AS n FROM w GROUP BY 1, 2), f AS (SELECT min(ws) AS fw FROM w), later AS (SELECT DISTINCT ws FROM w, f WHERE ws > fw), "
     "u AS (SELECT l.ws, value, n AS a, 0 AS b FROM c, f, later l WHERE c.ws = fw UNION ALL SELECT ws, value, 0, n FROM c, f WHERE ws > fw), g AS (SELECT ws, value, sum(a) AS a, sum(b) AS b FROM u GROUP BY 1, 2), "
     "r AS (SELECT ws, sum(a) OVER o / sum(a) OVER p AS fa, sum(b) OVER o / sum(b) OVER p AS fb, sum(a) OVER p AS n1, sum(b) OVER p AS n2 FROM g WINDOW o AS (PARTITION BY ws ORDER BY value), p AS (PARTITION BY ws)), "
     "d AS (SELECT ws, max(abs(fa - fb)) AS statistic, max(n2) AS n2, sqrt(max(n1) * max(n2) / (max(n1) + max(n2))) AS en FROM r GROUP BY 1), "
     "z AS (SELECT ws, statistic, n2, (en + 0.12 + 0.11 / en) * statistic AS lam FROM d), q AS (SELECT *, CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0, least(1, list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END) * exp(-2.0 * k * k * lam * lam))))) END AS p_value FROM z) "
-    "SELECT ws AS window_start, statistic, p_value, CAST(n2 AS BIGINT) AS row_count, CASE WHEN p_value < 0.01 THEN 'critical' WHEN p_value < 0.03 THEN 'warning' ELSE 'ok' END AS status FROM q",
-    rnd={8: "statistic p_value"},
+    "SELECT ws AS window_start, statistic, p_value, CAST(n2 AS BIGINT) AS row_count, CASE WHEN p_value < 0.01 THEN 'critical' WHEN p_value < 0.03 THEN 'warning' ELSE 'ok' END AS status FROM q"
 )
+
+
+@query("window_drift", _WINDOW_DRIFT, rnd={8: "statistic p_value"})
 def _(t):
     return S.window_drift(t.events, "ts", "value", "7 days")
 
 
+@query(
+    "stream_window_drift",
+    f"SELECT * FROM ({_WINDOW_DRIFT}) WHERE window_start + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    rnd={8: "statistic p_value"},
+)
+def _(t):
+    path = shared_path(t.spark, "window_drift")
+    week = F.window("ts", "7 days")["start"]
+    first = t.events.agg(F.min(week).alias("w"))
+    reference = t.events.withColumn("w", week).join(F.broadcast(first), "w").drop("w")
+    S.start_window_drift(event_stream(t), reference, path, "ts", "value").awaitTermination()
+    found = t.spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows").drop("batch")
+    return found.join(F.broadcast(first), found["window_start"] > first["w"]).drop("w")
+
+
 _VS = f"(SELECT value, user_id, is_ref FROM (SELECT value, user_id, true AS is_ref FROM events WHERE {_WEEK} = (SELECT min({_WEEK}) FROM events) UNION ALL SELECT value, user_id, false FROM events))"
 
 
@@ -201,7 +210,7 @@ _VS = f"(SELECT value, user_id, is_ref FROM (SELECT value, user_id, true AS is_r
     rnd={8: "drift_score p_value"},
 )
 def _(t):
-    path = shared_folder(t, "drift")
+    path = shared_path(t.spark, "drift")
     week = F.window("ts", "7 days")["start"]
     first = t.events.agg(F.min(week).alias("w")).first()["w"]
     reference = t.events.where(week == F.lit(str(first)).cast("timestamp_ntz"))

@@ -1,8 +1,5 @@
 """Evaluation with SQL twins; training and scoring as rows-only checks."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tabloom.operators import evaluate as V
@@ -10,6 +7,7 @@ from tabloom.operators import models as ML
 from tabloom.operators import rules as R
 from tabloom.operators.ordered import split_random
 from tabloom.sources.tables import load_model, save_model
+from tabloom.session import shared_path
 from workload.registry import query, union_all
 
 _FLAGS = "(SELECT l_returnflag AS label, CASE WHEN l_quantity > 34 THEN 'N' WHEN l_quantity > 17 THEN 'R' ELSE 'X' END AS prediction FROM lineitem)"
@@ -248,8 +246,7 @@ def _(t):
 @query("save_and_score")
 def _(t):
     df = quality_docs(t)
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabloom-model-")
-    path = f"{base}/model_{uuid.uuid4().hex}"
+    path = shared_path(t.spark, "model")
     save_model(ML.train(df, DOC_FEATS, "quality", "Decision Tree"), path, algorithm="Decision Tree", target="quality")
     model, meta = load_model(t.spark, path)
     return ML.score(df, model).withColumn("algorithm", F.lit(meta["algorithm"]))

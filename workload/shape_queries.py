@@ -1,14 +1,12 @@
 """Sources, projections, joins, sorting and set operations."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tabloom.operators import joins as J
 from tabloom.operators import ordered as O
 from tabloom.operators import shape as S
 from tabloom.sources.tables import read_table, write_table
+from tabloom.session import shared_path
 from workload.registry import query
 
 NULL_TYPE = "CASE WHEN p_size % 10 = 0 THEN NULL ELSE p_type END"
@@ -50,8 +48,7 @@ def _(t):
 @query("write_table", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def _(t):
     # round trip through CSV in the shared folder of the session
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabloom-csv-")
-    path = f"{base}/write_table_{uuid.uuid4().hex}"
+    path = shared_path(t.spark, "write_table")
     write_table(t.customer, path, "csv")
     return read_table(t.spark, path, "csv", schema=t.customer.schema)
 
