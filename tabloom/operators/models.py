@@ -201,9 +201,13 @@ def grid_search(df: DataFrame, features, target: str, algorithm: str, task: str
     for name, values in grid.items():
         builder = builder.addGrid(est.getParam(name), values)
     judge = MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification" else RegressionEvaluator(metricName="r2")
-    search = CrossValidator(estimator=est, estimatorParamMaps=builder.build(), evaluator=judge, numFolds=folds, parallelism=parallelism, seed=SEED).fit(labelled.select("features", "label").persist())
-    rows = [(", ".join(f"{p.name}={v}" for p, v in m.items()), float(s)) for m, s in zip(builder.build(), search.avgMetrics)]
-    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: -r[1]), "params string, mean_score double")
+    search = CrossValidator(estimator=est, estimatorParamMaps=builder.build(), evaluator=judge, numFolds=folds, parallelism=parallelism, seed=SEED)
+    # every fold of every combination reads the same rows
+    rows = labelled.select("features", "label").persist()
+    search = search.fit(rows)
+    rows.unpersist()
+    found = [(", ".join(f"{p.name}={v}" for p, v in m.items()), float(s)) for m, s in zip(builder.build(), search.avgMetrics)]
+    return df.sparkSession.createDataFrame(sorted(found, key=lambda r: -r[1]), "params string, mean_score double")
 
 
 def feature_names(model: PipelineModel, sample: DataFrame) -> list[str]:
