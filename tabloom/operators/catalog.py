@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ SEMANTIC_RULES = [
     (["date", "time", "created", "updated"], "DateTime", "Date or timestamp information", "General", "Public"),
     (["amount", "price", "cost", "value", "salary"], "Amount", "Monetary or numeric value", "Financial", "Public"),
 ]
+#: How much a word counts in each field of a catalogue, and the two constants of BM25.
+FIELD_WEIGHTS = {"column_name": 2, "semantic_type": 3, "business_meaning": 2, "data_category": 1}
+K1, B = 1.2, 0.75
 # fixed values: names that suggest private, demographic or geographic data
 PRIVATE_NAMES = ["email", "phone", "ssn", "id", "name", "address"]
 DEMOGRAPHIC_NAMES = ["age", "gender", "race", "ethnicity", "religion", "nationality"]
@@ -98,6 +102,40 @@ def catalog_search(catalog: DataFrame, query: str, k: int = 10) -> DataFrame:
     return best.select("table_name", "column_name", "semantic_type", "business_meaning", "relevance_score")
 
 
+def search_index(catalog: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """(table_name, column_name, term, tf, length, df, columns, mean_length): an inverted index of a catalogue.
+
+    A column's terms come from its name, type, meaning and category, weighted by ``FIELD_WEIGHTS``, and from
+    ``values`` (table_name, column_name, value), such as its frequent values.
+    """
+
+    def terms(df, field, weight):
+        found = F.regexp_extract_all(F.lower(F.coalesce(F.col(field).cast("string"), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+        return df.select("table_name", "column_name", F.explode(found).alias("term"), F.lit(float(weight)).alias("w"))
+
+    parts = [terms(catalog, f, w) for f, w in FIELD_WEIGHTS.items()]
+    if values is not None:
+        parts.append(terms(values, "value", 1))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    tf = rows.groupBy("table_name", "column_name", "term").agg(F.sum("w").alias("tf"))
+    lengths = tf.groupBy("table_name", "column_name").agg(F.sum("tf").alias("length"))
+    whole = catalog.agg(F.count(F.lit(1)).alias("columns")).join(F.broadcast(lengths.agg(F.sum("length").alias("_all"))))  # one row each
+    whole = whole.select("columns", (F.col("_all") / F.col("columns")).alias("mean_length"))
+    known = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return tf.join(lengths, ["table_name", "column_name"]).join(known, "term").join(F.broadcast(whole))
+
+
+def ranked_search(index: DataFrame, query: str, k: int = 10) -> DataFrame:
+    """The ``k`` columns with the highest BM25 score for the words of ``query``."""
+    words = sorted(set(re.findall("[a-z0-9]+", query.lower())))
+    rarity = F.log(1 + (F.col("columns") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    hits = index.where(F.col("term").isin(words)).groupBy("table_name", "column_name").agg(F.sum(rarity * share).alias("score"), F.count(F.lit(1)).alias("words_found"))
+    return hits.orderBy(F.desc(F.round("score", 9)), "table_name", "column_name").limit(k)
+
+
 def _name_hits(cols, words) -> list[str]:
     return [c for c in cols if any(w in c.lower() for w in words)]
 

@@ -368,6 +368,51 @@ def discover_patterns(df: DataFrame, cols) -> DataFrame:
     return out
 
 
+#: The lattice of value patterns, from the finest level to the coarsest.
+PATTERN_LEVELS = ("characters", "runs", "words", "kinds")
+
+
+def _masked(text: Column) -> Column:
+    """Capitals as A, other letters as a, digits as 9; all else stands for itself."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Lu}", "A"), r"\p{Ll}|\p{Lt}|\p{Lm}|\p{Lo}", "a"), r"\p{N}", "9")
+
+
+def _coarser(mask: Column) -> list[Column]:
+    """The mask itself, then without the lengths of runs, then without the kind of letters, then of letters and digits."""
+
+    def runs(c, *kinds):
+        for kind, name in kinds:
+            c = F.regexp_replace(c, kind, name)
+        return F.regexp_replace(c, " +", " ")
+
+    runs_of = runs(mask, ("A+", "A+"), ("a+", "a+"), ("9+", "9+"))
+    words = runs(mask, ("[Aa]+", "w+"), ("9+", "9+"))
+    return [mask, runs_of, words, runs(mask, ("[Aa9]+", "x+"))]
+
+
+def value_patterns(df: DataFrame, cols, k: int = 3, cover: float = 0.8) -> DataFrame:
+    """The ``k`` most frequent patterns of each text column on each level of a lattice, from exact characters to kinds.
+
+    Values are counted by their mask of character classes, combined in the tasks; the coarser levels are
+    counted from the masks.  ``induced`` marks the first pattern, on the finest level that has one, that
+    covers ``cover`` of the column's non-null values.
+    """
+    texts = text_cols(df, as_list(cols))
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _masked(F.col(f"`{c}`")).alias("mask")) for c in texts])
+    masks = df.select(F.inline(F.filter(cells, lambda x: x["mask"].isNotNull()))).groupBy("column_name", "mask").agg(F.count(F.lit(1)).alias("n"))
+    masks = cut_lineage(masks)
+    levels = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(name).alias("level_name"), c.alias("pattern")) for i, (name, c) in enumerate(zip(PATTERN_LEVELS, _coarser(F.col("mask"))))])
+    found = masks.select("column_name", "n", F.inline(levels)).groupBy("column_name", "level", "level_name", "pattern").agg(F.sum("n").alias("matches"))
+    sizes = masks.groupBy("column_name").agg(F.sum("n").alias("_n"))
+    order = Window.partitionBy("column_name", "level").orderBy(F.desc("matches"), "pattern")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(sizes, "column_name")
+    best = best.withColumn("match_pct", pct(F.col("matches"), F.col("_n")))
+    covers = (F.col("rank") == 1) & (F.col("matches") >= F.col("_n") * cover)
+    finest = F.min(F.when(covers, F.col("level"))).over(Window.partitionBy("column_name"))
+    marked = best.withColumn("induced", F.coalesce(covers & (F.col("level") == finest), F.lit(False)))
+    return marked.select("column_name", F.col("level_name").alias("level"), "rank", "pattern", "matches", "match_pct", "induced")
+
+
 def pattern_columns(df: DataFrame, cols) -> DataFrame:
     """Boolean marks of e-mail, phone and date texts."""
     marks = {"email": P.EMAIL, "phone": P.PHONE, "date": P.DATE}

@@ -155,3 +155,15 @@ def test_patterns(spark):
     assert ("t", "Email", 2) in got and ("t", "Fixed Length", 2) in got and ("x", "Common Value", 2) in got
     assert M.pattern_columns(df, ["t"]).where("t_email").count() == 2
     assert df.select(F.length("t")).count() == 3
+
+
+def test_patterns_on_a_lattice(spark):
+    rows = [(f"{100 + i}-555-{1000 + i}", n) for i, n in enumerate(["Anna Bell", "Bo Li", "Çelik Ö", None] * 5)] + [("none", "x")]
+    df = spark.createDataFrame(rows, "phone string, name string").repartition(3)
+    got = {(r["column_name"], r["level"], r["rank"]): r for r in M.value_patterns(df, ["phone", "name"]).collect()}
+    assert (got["phone", "characters", 1]["pattern"], got["phone", "characters", 1]["matches"], got["phone", "characters", 1]["induced"]) == ("999-999-9999", 20, True)
+    assert got["phone", "runs", 1]["pattern"] == "9+-9+-9+" and not got["phone", "runs", 1]["induced"]
+    assert {got["name", "characters", r]["pattern"] for r in (1, 2, 3)} == {"Aaaa Aaaa", "Aa Aa", "Aaaaa A"}
+    assert (got["name", "runs", 1]["pattern"], got["name", "runs", 1]["matches"]) == ("A+a+ A+a+", 10)
+    assert (got["name", "words", 1]["pattern"], got["name", "words", 1]["induced"]) == ("w+ w+", True)
+    assert round(got["name", "words", 1]["match_pct"], 6) == 93.75 and got["name", "kinds", 2]["pattern"] == "x+"

@@ -172,6 +172,26 @@ def _(t):
     return G.catalog_search(lake(t), "Price name", 10)
 
 
+_FREQUENT = "SELECT 'customer' AS table_name, 'c_mktsegment' AS column_name, c_mktsegment AS value FROM customer GROUP BY 3"
+_TERMS = union_all(
+    f"SELECT table_name, column_name, unnest(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9]+')) AS term, {w}::DOUBLE AS w FROM ({src})"
+    for c, w, src in (("column_name", 2, _CAT), ("semantic_type", 3, _CAT), ("business_meaning", 2, _CAT), ("data_category", 1, _CAT), ("value", 1, _FREQUENT))
+)
+
+
+@query(
+    "catalog_ranked_search",
+    f"WITH tf AS (SELECT table_name, column_name, term, sum(w) AS tf FROM ({_TERMS}) GROUP BY ALL), le AS (SELECT table_name, column_name, sum(tf) AS len FROM tf GROUP BY ALL), "
+    f"n AS (SELECT count(*) AS n, (SELECT sum(len) FROM le) / count(*) AS mean FROM ({_CAT})), d AS (SELECT term, count(*) AS df FROM tf GROUP BY 1) "
+    "SELECT table_name, column_name, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score, count(*) AS words_found "
+    "FROM tf JOIN le USING (table_name, column_name) JOIN d USING (term), n WHERE term IN ('customer', 'name', 'building', 'identifier') GROUP BY 1, 2 ORDER BY round(score, 9) DESC, 1, 2 LIMIT 10",
+    rnd={8: "score"},
+)
+def _(t):
+    values = t.customer.select(F.lit("customer").alias("table_name"), F.lit("c_mktsegment").alias("column_name"), F.col("c_mktsegment").alias("value")).distinct()
+    return G.ranked_search(G.search_index(lake(t), values), "Customer name, BUILDING identifier", 10)
+
+
 _CC = [c for c, _, _ in CONTACT]
 _CCAT = catalog_sql([("contacts", CONTACT_SRC, CONTACT)])
 

@@ -202,3 +202,30 @@ def _(t):
 )
 def _(t):
     return M.pattern_columns(t.conversations, ["text"]).select("conv_id", "turn", "text_email", "text_phone", "text_date")
+
+
+def _runs_sql(c, *kinds):
+    for kind, name in (*kinds, (" +", " ")):
+        c = f"regexp_replace({c}, '{kind}', '{name}', 'g')"
+    return c
+
+
+def _levels_sql(src, c):
+    mask = f"regexp_replace(regexp_replace(regexp_replace({c}, '\\p{{Lu}}', 'A', 'g'), '\\p{{Ll}}|\\p{{Lt}}|\\p{{Lm}}|\\p{{Lo}}', 'a', 'g'), '\\p{{N}}', '9', 'g')"
+    levels = [
+        ("characters", "m"), ("runs", _runs_sql("m", ("A+", "A+"), ("a+", "a+"), ("9+", "9+"))),
+        ("words", _runs_sql("m", ("[Aa]+", "w+"), ("9+", "9+"))), ("kinds", _runs_sql("m", ("[Aa9]+", "x+"))),
+    ]
+    return union_all(f"SELECT '{c}' AS column_name, {i} AS l, '{name}' AS level, {e} AS pattern FROM (SELECT {mask} AS m FROM {src} s WHERE {c} IS NOT NULL)" for i, (name, e) in enumerate(levels))
+
+
+@query(
+    "value_patterns",
+    "WITH p AS (" + union_all(_levels_sql(src, c) for src, c in (("customer", "c_name"), ("customer", "c_mktsegment"))) + "), c AS (SELECT column_name, l, level, pattern, count(*) AS matches FROM p GROUP BY ALL), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY column_name, l ORDER BY matches DESC, pattern) AS rank, sum(matches) OVER (PARTITION BY column_name, l) AS n FROM c), "
+    "f AS (SELECT column_name, min(l) AS l FROM r WHERE rank = 1 AND matches >= 0.8 * n GROUP BY 1) "
+    "SELECT column_name, level, CAST(rank AS INTEGER) AS rank, pattern, matches, 100.0 * matches / n AS match_pct, rank = 1 AND r.l IS NOT DISTINCT FROM f.l AS induced FROM r LEFT JOIN f USING (column_name) WHERE rank <= 3",
+    rnd={6: "match_pct"},
+)
+def _(t):
+    return M.value_patterns(t.customer, ["c_name", "c_mktsegment"])
