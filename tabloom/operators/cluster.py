@@ -1,4 +1,4 @@
-"""Clustering: feature preparation, k-means, bisecting, density clusters, choice by silhouette, projection."""
+"""Clustering: feature preparation, k-means, bisecting, single linkage, density clusters, choice by silhouette, projection."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabloom.columns import as_list, join_on, numeric_cols, text_cols, total
 from tabloom.operators import boxes
 from tabloom.operators.graph import connected_components
+from tabloom.operators.linkage import SingleLinkage
 from tabloom.operators.ordered import POS, positioned, row_index
 from tabloom.operators.profile import cluster_profile
 from tabloom.session import cut_lineage
@@ -68,10 +69,19 @@ def kmeans(prepared: DataFrame, k: int, name: str = "cluster") -> DataFrame:
 
 
 def hierarchical(prepared: DataFrame, k: int, name: str = "cluster") -> DataFrame:
-    """Top-down bisecting clusters (bottom-up linkage needs all pairs)."""
+    """Top-down bisecting clusters; ``single_linkage`` goes bottom-up."""
     return BisectingKMeans(k=k, seed=SEED, featuresCol="features", predictionCol=name).fit(prepared).transform(prepared)
 
 
+def single_linkage(df: DataFrame, key: str, cols, k: int, name: str = "cluster") -> DataFrame:
+    """Bottom-up clusters by single linkage, cut at ``k`` and numbered by their first key; null where a column is.
+
+    For several cuts of one table, keep a ``linkage.SingleLinkage`` and ask it for labels.
+    """
+    merges = SingleLinkage(df, key, [F.col(c) for c in as_list(cols)])
+    return join_on(df, merges.labels(k).withColumnsRenamed({"_k": key, "label": name}), key, "left")
+
+
 def cluster_label_distance(df: DataFrame, cols) -> DataFrame:
     """k = min(5, rows / 10) labels and each row's distance to its own centre; needs two numeric columns."""
     numbers = numeric_cols(df, cols)
@@ -271,6 +281,10 @@ def cluster_table(df: DataFrame, key: str, cols, method: str = "kmeans", k: int
         names = [f"_v{i}" for i in range(len(as_list(cols)))]
         flat = prepared.withColumns({n: v[i] for i, n in enumerate(names)})
         return dbscan(flat, key, names, eps, min_samples).drop("features", *names)
+    if method == "single_linkage":
+        names = [f"_v{i}" for i in range(len(as_list(cols)))]
+        flat = prepared.withColumns({n: vector_to_array("features")[i] for i, n in enumerate(names)})
+        return single_linkage(flat, key, names, k).drop("features", *names)
     return (hierarchical if method == "hierarchical" else kmeans)(prepared, k).drop("features")
 
 

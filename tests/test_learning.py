@@ -8,6 +8,7 @@ from tabloom.operators import evaluate as V
 from tabloom.operators import models as ML
 from tabloom.operators import rules as R
 from tabloom.operators import suitability as U
+from tabloom.operators.linkage import SingleLinkage
 from tabloom.sources.tables import load_model, read_table, save_model, write_table
 
 
@@ -47,14 +48,34 @@ def test_dbscan_equals_brute_force(spark, d, monkeypatch):
     assert got == {i: (int(label[i]), bool(core[i])) for i in range(len(pts))}
 
 
+def brute_linkage(pts, k):
+    """Merge the two closest clusters until k are left; numbered by their first point."""
+    d2 = ((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1)
+    label = np.arange(len(pts))
+    for i, j in sorted(((i, j) for i in range(len(pts)) for j in range(i)), key=lambda e: d2[e]):
+        if len(set(label)) <= k:
+            break
+        if label[i] != label[j]:
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return {i: sorted(set(label)).index(c) for i, c in enumerate(label)}
+
+
+def test_single_linkage_equals_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pts = np.vstack([rng.normal(0, 0.5, (9, 2)), rng.normal(20, 0.5, (6, 2)), rng.uniform(5, 9, (5, 2)), np.repeat([[9.0, 9.0]], 10, 0)])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(pts)], "id long, a double, b double").coalesce(1)
+    merges = SingleLinkage(df, "id", [F.col("a"), F.col("b")], leaf=5)
+    for k in (1, 4):
+        assert {r["_k"]: r["label"] for r in merges.labels(k).collect()} == brute_linkage(pts, k)
+    assert merges.tree.count() == 20
+
+
 def test_density_clusters_of_a_wide_table(spark):
     rng = np.random.default_rng(1)
     rows = [(i, *map(float, 10 * (i % 3) + 0.1 * rng.standard_normal(4)), "ab"[i % 2]) for i in range(90)]
     df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, e string")
     got = {r["id"]: r["cluster"] for r in K.cluster_table(df, "id", ["a", "b", "c", "d"], "dbscan", eps=0.5, min_samples=4).collect()}
     assert got == {i: i % 3 for i in range(90)}
-    runs = K.auto_cluster(df, "id", ["a", "b", "c", "d"], k_values=[3], eps_values=[0.5], min_samples=[4]).collect()
-    assert {r["algorithm"] for r in runs} >= {"kmeans", "dbscan"}
 
 
 def test_neighbours_in_five_columns(spark):
@@ -160,3 +181,16 @@ def test_few_rows_cluster(spark):
     out = K.cluster_label_distance(df, ["a", "b"])
     assert out.where("ai_cluster_distance < 0").count() == 0 and out.count() == 30
     assert K.cluster_report(df, "id", ["a", "b"], "kmeans", 2).count() == 4
+
+
+def test_ranked_search_prefers_rare_words(spark):
+    rows = [("t", f"customer_{c}", "Name", "Customer field", "General") for c in ("id", "city", "zip")] + [("u", "iban", "Account", "Bank account of a customer", "Financial"), ("u", None, None, None, None)]
+    catalog = spark.createDataFrame(rows, "table_name string, column_name string, semantic_type string, business_meaning string, data_category string")
+    values = spark.createDataFrame([("t", "customer_city", "Berlin"), ("t", "customer_city", "Bank Street")], "table_name string, column_name string, value string")
+    index = G.search_index(catalog, values)
+    found = G.ranked_search(index, "Customer BANK").collect()
+    assert [r["column_name"] for r in found][:2] == ["iban", "customer_city"] and len(found) == 4
+    assert G.ranked_search(index, "nothing here").count() == 0
+    n, df, tf, length, mean = 5, 1, 1.0, index.where("column_name = 'customer_city'").first()["length"], index.first()["mean_length"]
+    want = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
+    assert round(G.ranked_search(index, "berlin").first()["score"], 9) == round(want, 9)
