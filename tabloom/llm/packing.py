@@ -132,7 +132,7 @@ def _packer(path: str, end_id: int, tokens: int, group_sequences: int, with_ids:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     def run(batches):
-        encode = encoder(path, space_led=False).encode_bytes
+        encode = encoder(path, space_led=False, special=True).encode_bytes
         end = np.array([end_id], dtype="<u4").tobytes()
         group = _Group(tokens, with_ids)
         for batch in batches:

@@ -12,7 +12,7 @@ from array import array
 
 import numpy as np
 
-#: A worker keeps at most so many pieces and so many words (about 70 MB each).
+#: A worker keeps at most so many words and so many pieces (about 70 MB each).
 MAX_KEPT = 400_000
 
 #: White space other than the plain space and the line feed.
@@ -52,20 +52,22 @@ class PieceEncoder:
     """``encode(text)`` gives the ids of a text as an unsigned 32-bit array.
 
     ``space_led``: a byte-level vocabulary, where a single space opens the match after it.  Otherwise
-    white space is dropped by the vocabulary and any space or line feed is a safe cut.
+    white space is dropped by the vocabulary and any space or line feed is a safe cut.  With ``special`` the
+    strings of special tokens in a text become these tokens, as in the library's own ``encode``; otherwise they
+    are ordinary text.  They hold no white space, so they lie within a piece.
     """
 
-    def __init__(self, path: str, space_led: bool, limit: int = MAX_KEPT):
+    def __init__(self, path: str, space_led: bool, special: bool = False, limit: int = MAX_KEPT, pieces: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._tokenizer.encode_special_tokens = not special
         self._space_led = space_led
         self._lead = " " if space_led else ""
         self._merge, self._normalizer = self._tokenizer.model.tokenize, self._tokenizer.normalizer
         self._words, self._marks = Kept(self._word_ids, limit), Kept(self._all_ids, 3)
-        self._pieces = Kept(self._piece, limit)
+        self._pieces = Kept(self._piece, pieces or limit)
 
     def _all_ids(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -86,7 +88,8 @@ class PieceEncoder:
         if feed:
             return self._piece(before) + self._marks[feed] + self._words[after] if self._letters(after) and before else self._all_ids(self._lead + piece)
         if self._letters(piece):
-            return self._words[self._lead + piece]
+            word = self._lead + piece
+            return self._words.get(word) or self._word_ids(word)  # kept as a piece
         if piece[-1:] in (".", ",") and self._letters(piece[:-1]):
             return self._words[self._lead + piece[:-1]] + self._marks[piece[-1]]
         return self._all_ids(self._lead + piece)
@@ -115,8 +118,9 @@ class PieceEncoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, space_led: bool) -> PieceEncoder:
+def encoder(path: str, space_led: bool, special: bool = False, pieces: int = MAX_KEPT) -> PieceEncoder:
     """One encoder per vocabulary and worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path, space_led)
-    return _ENCODERS[path]
+    key = path, special, pieces
+    if key not in _ENCODERS:
+        _ENCODERS[key] = PieceEncoder(path, space_led, special, pieces=pieces)
+    return _ENCODERS[key]

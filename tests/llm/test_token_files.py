@@ -15,7 +15,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORD_PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     None, "", " ", "  two  spaces ", "a\n\nb \n c", "It's we'll DON'T 'tis", "tabs\tand nbsp　wide", "été Été ﬁ Ωςσ ÀÉ", "日本語テキスト 😀 ok",
-    "<|endoftext|> plain <|startoftext|>", "The cat, the dog. The end.\nNew line, again.\n", "word " * 5000, "x" * 5000, "1234 12,5 3.14 ... !!! -- ?!", "end.\nStart of, it.\n- item",
+    "<|endoftext|> plain <|startoftext|>", "a <|endoftext|> b<|endoftext|>c.\n<|ENDOFTEXT|>\nword <|startoftext|>, <|endoftext|>.", "The cat, the dog. The end.\nNew line, again.\n", "word " * 5000, "x" * 5000, "1234 12,5 3.14 ... !!! -- ?!", "end.\nStart of, it.\n- item",
 ]
 
 
@@ -33,10 +33,12 @@ def test_words_hold_as_many_ids_as_fit():
 
 @pytest.mark.parametrize("path,space_led", [(PATH, True), (WORD_PATH, False)])
 def test_pieces_equal_whole_texts(path, space_led):
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    for limit in (3, 1000):
-        encoder = PieceEncoder(path, space_led, limit)
+    plain = Tokenizer.from_file(path)  # untouched: special strings become their tokens
+    ordinary = Tokenizer.from_file(path)
+    ordinary.encode_special_tokens = True
+    for limit, special in ((3, True), (1000, True), (1000, False)):
+        encoder = PieceEncoder(path, space_led, special, limit)
+        plain = plain if special else ordinary
         for text in TEXTS[1:] + [" ".join(TEXTS[1:])]:
             assert encoder.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text[:60])
 
@@ -47,7 +49,6 @@ def test_files_hold_all_ids_in_order(spark):
     folder = shared_folder(spark, "test-tokens")
     write_tokens(docs, folder, PATH, block_ids=64)
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     want = [(i, plain.encode(t or "", add_special_tokens=False).ids + [0]) for i, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))]
     got = sorted(read_tokens(spark, folder).collect(), key=lambda r: r.start)
     assert [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in got] == want
@@ -64,7 +65,7 @@ def test_empty_table(spark):
 
 @pytest.mark.parametrize("path,space_led", [(PATH, True), (WORD_PATH, False)])
 def test_letters_that_normalise_to_several_matches(path, space_led):
-    plain, encoder = Tokenizer.from_file(path), PieceEncoder(path, space_led)
+    plain, encoder = Tokenizer.from_file(path), PieceEncoder(path, space_led, special=True)
     for word in ("İstanbul", "क़म", "יִיִ", "xİ"):
         for text in (word, f"a {word} b", f"in {word}, {word}. {word}", f"a b\n{word}"):
             assert encoder.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text
