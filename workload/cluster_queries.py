@@ -40,18 +40,6 @@ def _(t):
     return K.hierarchical(prepared(t), 4).drop("features")
 
 
-@query(
-    "single_linkage",
-    # in one column the longest edges are the widest gaps
-    "WITH p AS (SELECT s_acctbal AS x, min(s_suppkey) AS f FROM supplier GROUP BY 1), g AS (SELECT *, x - lag(x) OVER (ORDER BY x) AS gap FROM p), "
-    "r AS (SELECT *, row_number() OVER (ORDER BY gap DESC NULLS LAST) AS w FROM g), c AS (SELECT *, count(*) FILTER (w <= 3) OVER (ORDER BY x) AS part FROM r), "
-    "l AS (SELECT part, row_number() OVER (ORDER BY min(f)) - 1 AS label FROM c GROUP BY 1) "
-    "SELECT s_suppkey, s_acctbal, CAST(label AS INTEGER) AS cluster FROM supplier JOIN c ON s_acctbal = x JOIN l USING (part)",
-)
-def _(t):
-    return K.single_linkage(t.supplier.select("s_suppkey", "s_acctbal"), "s_suppkey", ["s_acctbal"], 4)
-
-
 @query("cluster_label_distance")
 def _(t):
     return K.cluster_label_distance(t.part.select("p_partkey", *PARTS), PARTS)
