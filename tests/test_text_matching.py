@@ -1,3 +1,4 @@
+import random
 import json
 import math
 import re
@@ -167,3 +168,79 @@ def test_patterns_on_a_lattice(spark):
     assert (got["name", "runs", 1]["pattern"], got["name", "runs", 1]["matches"]) == ("A+a+ A+a+", 10)
     assert (got["name", "words", 1]["pattern"], got["name", "words", 1]["induced"]) == ("w+ w+", True)
     assert round(got["name", "words", 1]["match_pct"], 6) == 93.75 and got["name", "kinds", 2]["pattern"] == "x+"
+
+
+def test_dense_links_equal_all_pairs(spark, monkeypatch):
+    from tabloom.operators import blocks as B
+
+    monkeypatch.setattr(B, "ROWS", 7)
+    monkeypatch.setattr(B, "COLUMNS", 16)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg"]) for _ in range(rng.randint(1, 9))) for _ in range(150)] + ["", None]
+    df = spark.createDataFrame([(f"k{i:04d}", x) for i, x in enumerate(texts)], "id string, text string").repartition(5)
+    vectors = {}
+    for r in M.tfidf(df, "id", "text", max_features=6).collect():
+        vectors.setdefault(r["id"], {})[r["term"]] = r["weight"]
+    first = {}
+    for i, x in enumerate(texts):
+        first.setdefault(x or "", f"k{i:04d}")
+    reps = {f"k{i:04d}": first[x or ""] for i, x in enumerate(texts)}
+    cosine = lambda a, b: sum(w * vectors.get(b, {}).get(t, 0) for t, w in vectors.get(a, {}).items())
+    classes = sorted(first.values())
+    similar = {(a, b): s for a in classes for b in classes if a < b and (s := cosine(a, b)) > 0.8}
+    counts = {r["id"]: (r["class_id"], r["n_links"], r["n_high"]) for r in M.link_counts(df, "id", "text", max_features=6).collect()}
+    number = lambda x, least: sum(x in p and s > least for p, s in similar.items())
+    assert similar and counts == {k: (r, number(r, 0.8), number(r, 0.9)) for k, r in reps.items()}
+    # the copies of a text are similar to it unless it has no known term
+    links = [*similar, *((r, k) for k, r in reps.items() if k != r and r in vectors)]
+    want = components({p: 1 for p in links})
+    m = M._Matched(df, "id", F.col("text"), 0.8, (1, 1), (), 6)
+    assert {r["id"]: r["component"] for r in m.rows.collect() if r["matched"]} == want
+    assert {r["id"] for r in m.rows.collect() if r["later"]} == {b for _, b in links}
+    # what is written down grows with the texts and blocks
+    assert B.joining_links(m.groups.numbered()[1], 0.8).count() < len(similar)
+    sparse = {r["id"]: (r["class_id"], r["n_links"]) for r in M.link_counts(df, "id", "text").collect()}
+    pairs = M.similar_pairs(df, "id", "text").collect()
+    assert sparse == {k: (r, sum(r in (p["id_1"], p["id_2"]) for p in pairs)) for k, r in reps.items()}
+
+
+def _plans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    rows = [(1, "red fish blue fish"), (2, "red"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    terms = M.tokenize(df, "id", "text", (1, 2))
+    assert "Exchange" not in _plans(terms)
+    want = {(1, "red", 1), (1, "fish", 2), (1, "blue", 1), (1, "red fish", 1), (1, "fish blue", 1), (1, "blue fish", 1), (2, "red", 1)}
+    assert {tuple(r) for r in terms.collect()} == want
+    again = spark.createDataFrame([*rows, (2, "red red"), (None, "a1 a1"), (None, "a1")], "id int, text string")
+    assert {tuple(r) for r in M.tokenize(again, "id", "text").collect()} >= {(2, "red", 3), (None, "a1", 3), (1, "fish", 2)}
+
+
+def test_keywords_are_ranked_without_a_shuffle(spark):
+    rows = [(1, "fish bird fish bird ant fish"), (2, None), (3, "bird fish")]
+    df = spark.createDataFrame(rows, "id int, text string")
+    found = T.keywords(df, "id", "text", 2, 1)
+    assert "Exchange" not in _plans(found) and "Exchange" not in _plans(T.keyword_arrays(df, "id", "text"))
+    words = {(r["id"], r["rank"], r["term"], r["term_count"]) for r in found.collect() if r["kind"] == "keyword"}
+    assert words == {(1, 1, "fish", 3), (1, 2, "bird", 2), (3, 1, "bird", 1), (3, 2, "fish", 1)}
+    assert {(r["id"], r["term"]) for r in found.collect() if r["kind"] == "phrase"} == {(1, "fish bird"), (3, "bird fish")}
+    twice = spark.createDataFrame([*rows, (3, "fish ant")], "id int, text string")
+    assert {(r["rank"], r["term"], r["term_count"]) for r in T.keywords(twice, "id", "text", 1, 0).collect() if r["id"] == 3} == {(1, "fish", 2)}
+    assert [r["keywords"] for r in T.keyword_arrays(twice, "id", "text", 1).orderBy("id").collect()] == [["fish"], [], ["fish"], ["fish"]]
+
+
+def test_metrics_read_the_results_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    results = spark.createDataFrame([("en", 0.5), ("de", 1.0), ("en", None), (None, 0.9)], "language string, confidence double").mapInPandas(note, "language string, confidence double")
+    got = {r["metric"]: (r["number"], r["label"]) for r in T.nlp_metrics(results, "language_detection").collect()}
+    assert got["total_texts"] == (4.0, None) and got["most_common_language"] == (None, "en") and got["unique_languages"] == (3.0, None)
+    assert round(got["avg_confidence"][0], 9) == 0.8 and seen.value == 4

@@ -11,7 +11,6 @@ from tabloom.operators import rules as R
 from tabloom.operators import suitability as U
 from tabloom.operators import text as T
 from tabloom.plans import reports
-from tabloom.functions.patterns import KEYWORD_STOP_WORDS
 from workload import drift_queries as DQ
 from workload import matching_queries as MQ
 from workload import text_queries as TQ
@@ -406,5 +405,4 @@ def _(t):
     rnd={6: "duplicate_rate_pct mean_group_size"},
 )
 def _(t):
-    pairs = M.similar_pairs(t.documents, "doc_id", "text", 0.8, (1, 1), KEYWORD_STOP_WORDS, 1000)
-    return R.matching_facts(MQ.duplicates(t), pairs)
+    return R.matching_facts(MQ.duplicates(t), MQ.links(t))
