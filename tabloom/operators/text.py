@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tabloom.columns import as_list, text_cols, total
 from tabloom.functions import patterns as P
 from tabloom.functions import scalars as X
+from tabloom.session import saved
 
 _EDGE_BEFORE, _EDGE_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 # fixed values: words of at least three plain letters, names, dates and amounts of money
@@ -121,22 +122,19 @@ def summarize(df: DataFrame, text: str) -> DataFrame:
     return df.withColumns(summary_columns(text))
 
 
-def extractive_columns(text: str) -> dict[str, Column]:
-    t = F.coalesce(F.col(text), F.lit(""))
-    s = F.filter(F.transform(F.split(t, r"\."), X.strip), lambda x: F.length(x) > 10)
-    n = F.size(s)
-    dot = F.lit(". ")
-    first, last = F.try_element_at(s, F.lit(1)), F.try_element_at(s, F.lit(-1))
-    middle = F.try_element_at(s, (F.floor(n / 2) + 1).cast("int"))
-    raw = F.when(n <= 2, t).when(n <= 5, F.concat(first, dot, last)).otherwise(F.concat(first, dot, middle, dot, last))
-    clean = X.strip(raw)
-    summary = F.when(clean.endswith("."), clean).otherwise(F.concat(clean, F.lit(".")))
-    return {"summary": summary, "compression_ratio": F.when(F.length(t) > 0, F.length(summary) / F.length(t)).otherwise(F.lit(1.0))}
-
-
 def summarize_extractive(df: DataFrame, text: str) -> DataFrame:
     """First, middle and last of the sentences longer than 10 characters."""
-    return df.withColumns(extractive_columns(text))
+    t = F.coalesce(F.col(text), F.lit(""))
+    n, dot = F.size("_s"), F.lit(". ")
+    first, last = F.try_element_at("_s", F.lit(1)), F.try_element_at("_s", F.lit(-1))
+    middle = F.try_element_at("_s", (F.floor(n / 2) + 1).cast("int"))
+    raw = F.when(n <= 2, t).when(n <= 5, F.concat(first, dot, last)).otherwise(F.concat(first, dot, middle, dot, last))
+    # each step is a column of its own, so that it is made once a row
+    split = df.withColumn("_s", F.filter(F.transform(F.split(t, r"\."), X.strip), lambda x: F.length(x) > 10))
+    clean = split.withColumn("_c", X.strip(raw))
+    out = clean.withColumn("summary", F.when(F.col("_c").endswith("."), F.col("_c")).otherwise(F.concat("_c", F.lit("."))))
+    ratio = F.when(F.length(t) > 0, F.length("summary") / F.length(t)).otherwise(F.lit(1.0))
+    return out.withColumn("compression_ratio", ratio).drop("_s", "_c")
 
 
 def plain_words(text: str) -> Column:
@@ -160,46 +158,84 @@ def topic_model(df: DataFrame, text: str, k: int = 5) -> DataFrame:
     return df.withColumns({"topic": best["category"], "confidence": best["confidence"]})
 
 
-def _top_terms(terms: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, term, pos) rows -> the k most frequent terms per key, ties by first position."""
-    counts = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("term_count"), F.min("pos").alias("first_pos"))
+def _runs(rows: DataFrame, spots: Column) -> DataFrame:
+    """(all columns, _runs): the distinct terms of each row's array of (term, pos) with their number and first place."""
+    at = rows.withColumn("_s", F.sort_array(spots))
+    new = F.filter(F.transform("_s", lambda x, i: F.when((i == 0) | (x["term"] != F.get("_s", i - 1)["term"]), i)), lambda i: i.isNotNull())
+    at = at.withColumn("_at", new)
+
+    def run(i, k):
+        return F.struct((i - F.coalesce(F.get("_at", k + 1), F.size("_s"))).cast("long").alias("less"), F.get("_s", i)["pos"].alias("first_pos"), F.get("_s", i)["term"].alias("term"))
+
+    return at.withColumn("_runs", F.transform("_at", run)).select(*rows.columns, "_runs")
+
+
+def _spots(terms: Column, keep) -> Column:
+    return F.filter(F.transform(terms, lambda w, i: F.struct(w.alias("term"), i.alias("pos"))), lambda x: keep(x["term"]))
+
+
+def _row_spots(stop) -> list[Column]:
+    """The words in ``_w`` and their bigrams, without stop words, as (term, pos)."""
+    stop_array = F.array(*[F.lit(w) for w in (stop or P.KEYWORD_STOP_WORDS)])
+
+    def plain(w):
+        return ~F.array_contains(stop_array, w)
+
+    return [_spots(F.col("_w"), plain), _spots(X.ngrams(F.col("_w"), 2), lambda t: plain(F.split(t, " ")[0]) & plain(F.split(t, " ")[1]))]
+
+
+def _first_runs(k: int) -> Column:
+    """The k most frequent terms of a row, ties by first place."""
+    return F.slice(F.sort_array("_runs"), 1, k)
+
+
+def _top_terms(rows: DataFrame, key: str, k: int, single: bool) -> DataFrame:
+    """The k most frequent terms per key, ties by first position; ``single``: each key has one row."""
+    if single:
+        found = rows.select(key, F.posexplode_outer(_first_runs(k)).alias("_i", "_r")).where(F.col("_r").isNotNull())
+        return found.select(key, F.col("_r.term").alias("term"), (-F.col("_r.less")).alias("term_count"), (F.col("_i") + 1).alias("rank"))
+    terms = rows.select(key, F.inline_outer("_runs")).where(F.col("term").isNotNull())
+    counts = terms.groupBy(key, "term").agg((-F.sum("less")).alias("term_count"), F.min("first_pos").alias("first_pos"))
     order = Window.partitionBy(key).orderBy(F.desc("term_count"), "first_pos")
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("first_pos")
 
 
+def _single_keys(df: DataFrame, key: str) -> bool:
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").isEmpty()
+
+
 def keywords(df: DataFrame, key: str, text: str, k: int = 5, p: int = 3, stop=None) -> DataFrame:
-    """Top words and top bigrams of each text without stop words: (key, kind, rank, term, term_count)."""
-    stop_array = F.array(*[F.lit(w) for w in (stop or P.KEYWORD_STOP_WORDS)])
+    """Top words and top bigrams of each text without stop words: (key, kind, rank, term, term_count).
+
+    Terms are counted within their row, so no term is shuffled; only if a key repeats are its rows put together.
+    """
+    single = _single_keys(df, key)
     base = df.select(key, plain_words(text).alias("_w"))
-    words = base.select(key, F.posexplode("_w").alias("pos", "term")).where(~F.array_contains(stop_array, F.col("term")))
-    pairs = base.select(key, F.posexplode(X.ngrams(F.col("_w"), 2)).alias("pos", "term"))
-    ends = F.split("term", " ")
-    pairs = pairs.where(~F.array_contains(stop_array, ends[0]) & ~F.array_contains(stop_array, ends[1]))
-    a = _top_terms(words, key, k).withColumn("kind", F.lit("keyword"))
-    return a.unionByName(_top_terms(pairs, key, p).withColumn("kind", F.lit("phrase")))
+    parts = zip(("keyword", "phrase"), (k, p), _row_spots(stop))
+    words, pairs = (_top_terms(_runs(base, spots).select(key, "_runs"), key, n, single).withColumn("kind", F.lit(kind)) for kind, n, spots in parts)
+    return words.unionByName(pairs)
 
 
-def language_columns(text: str, default=("en", 0.8)) -> dict[str, Column]:
+def detect_language(df: DataFrame, text: str, default=("en", 0.8)) -> DataFrame:
     """Function words vote; the share of the winner is the confidence.  No vote gives ``default``."""
-    w = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+")
     codes = list(P.LANGUAGE_WORDS)
+    # words and votes are columns of their own, so that each is made once
+    split = df.withColumn("_w", F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}]+"))
 
     def count_of(known):
-        return F.size(F.filter(w, lambda x: x.isin(known)))
+        return F.size(F.filter("_w", lambda x: x.isin(known)))
 
-    votes = [count_of(P.LANGUAGE_WORDS[c]) for c in codes]
-    best = _best(codes, votes, default[0], F.lit(default[1]))["category"]
-    top, cast = F.greatest(*votes), total(votes)
+    counted = split.withColumn("_v", F.array(*[count_of(P.LANGUAGE_WORDS[c]) for c in codes]))
+    votes = [F.col("_v")[i] for i in range(len(codes))]
     names = F.create_map(*[F.lit(x) for kv in P.LANGUAGE_NAMES.items() for x in kv])
-    return {
-        "language": names[best],
-        "language_code": best,
+    best = counted.withColumn("_best", _best(codes, votes, default[0], F.lit(default[1]))["category"])
+    top, cast = F.greatest(*votes), total(votes)
+    made = {
+        "language": names[F.col("_best")],
+        "language_code": F.col("_best"),
         "confidence": F.when(cast > 0, F.try_divide(top.cast("double"), cast)).otherwise(F.lit(default[1])),
     }
-
-
-def detect_language(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumns(language_columns(text))
+    return best.withColumns(made).drop("_w", "_v", "_best")
 
 
 def text_vectors(df: DataFrame, text: str, dim: int = 384, name: str = "embedding") -> DataFrame:
@@ -214,17 +250,25 @@ def text_vectors(df: DataFrame, text: str, dim: int = 384, name: str = "embeddin
     return out.withColumn(name, vector_to_array("_v", "float32")).drop("_t", "_w", "_tf", "_v")
 
 
-def _most_common(df: DataFrame, col: str) -> tuple:
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("c"))
-    row = counts.agg(F.count(F.lit(1)).alias("k"), F.max_by(col, F.struct(F.col("c"), F.lit(0))).alias("x"), F.max("c").alias("c")).first()
-    # ties to the smallest value
+def _most_common(counts: DataFrame, col: str) -> tuple:
+    """Number of values, the most frequent one (ties to the smallest) and its count, from (col, c)."""
+    row = counts.agg(F.count(F.lit(1)).alias("k"), F.max("c").alias("c")).first()
     best = counts.where(F.col("c") == row["c"]).agg(F.min(col)).first()[0] if row["k"] else "none"
     return row["k"], best, row["c"]
 
 
+_METRIC_COLUMNS = {"classification": ("category", "categories"), "topic_modeling": ("topic", "topics"), "language_detection": ("language", "languages")}
+
+
 def nlp_metrics(results: DataFrame, task: str) -> DataFrame:
     """(metric, number, label) rows describing the results of one text task."""
-    n = results.count()
+    if task in _METRIC_COLUMNS:
+        # one pass over the results; what follows reads a row for each value
+        col, plural = _METRIC_COLUMNS[task]
+        counts = saved(results.groupBy(col).agg(F.count(F.lit(1)).alias("c"), F.sum("confidence").alias("_sum"), F.count("confidence").alias("_known")))
+        n = counts.agg(F.sum("c")).first()[0] or 0
+    else:
+        n = results.count()
     rows: list[tuple] = [("total_texts", float(n), None)]
 
     def averages(*pairs):
@@ -233,15 +277,14 @@ def nlp_metrics(results: DataFrame, task: str) -> DataFrame:
 
     if task == "sentiment":
         averages(*[(f"{s}_count", F.count_if(F.col("sentiment") == s)) for s in ("positive", "negative", "neutral")], ("avg_confidence", F.avg("confidence")))
-    elif task in ("classification", "topic_modeling", "language_detection"):
-        col, plural = {"classification": ("category", "categories"), "topic_modeling": ("topic", "topics"), "language_detection": ("language", "languages")}[task]
-        k, best, _ = _most_common(results, col)
-        rows += [(f"unique_{plural}", float(k), None), (f"most_common_{col}", None, best)]
-        averages(("avg_confidence", F.avg("confidence")))
+    elif task in _METRIC_COLUMNS:
+        k, best, _ = _most_common(counts, col)
+        mean = counts.agg(F.try_divide(F.sum("_sum"), F.sum("_known"))).first()[0]
+        rows += [(f"unique_{plural}", float(k), None), (f"most_common_{col}", None, best), ("avg_confidence", None if mean is None else float(mean), None)]
     elif task == "entity_extraction":
-        entities = results.select(F.explode("entities").alias("e")).select("e.*")
-        m = entities.count()
-        best = _most_common(entities, "type")[1]
+        counts = saved(results.select(F.explode_outer("entities.type").alias("type")).where(F.col("type").isNotNull()).groupBy("type").agg(F.count(F.lit(1)).alias("c")))
+        m = counts.agg(F.sum("c")).first()[0] or 0
+        best = _most_common(counts, "type")[1]
         rows += [("total_entities", float(m), None), ("avg_entities_per_text", m / n if n else 0.0, None), ("most_common_entity_type", None, best)]
     elif task == "embedding":
         averages(("embedding_dimension", F.max(F.size("embedding"))), ("avg_text_length", F.avg(F.length("text"))))
@@ -249,21 +292,28 @@ def nlp_metrics(results: DataFrame, task: str) -> DataFrame:
         r = F.col("compression_ratio")
         averages(("avg_compression_ratio", F.avg(r)), ("min_compression_ratio", F.min(r)), ("max_compression_ratio", F.max(r)))
     elif task == "keyword_extraction":
-        words = results.select(F.explode("keywords").alias("w"))
-        m = words.count()
-        rows += [("total_keywords", float(m), None), ("unique_keywords", float(words.distinct().count()), None), ("avg_keywords_per_text", m / n if n else 0.0, None)]
+        counts = results.select(F.explode_outer("keywords").alias("w")).where(F.col("w").isNotNull()).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+        m, unique = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+        rows += [("total_keywords", float(m), None), ("unique_keywords", float(unique), None), ("avg_keywords_per_text", m / n if n else 0.0, None)]
     return results.sparkSession.createDataFrame(rows, "metric string, number double, label string")
 
 
 def keyword_arrays(df: DataFrame, key: str, text: str, k: int = 5, p: int = 3) -> DataFrame:
-    """keywords() as two arrays per text; texts without any keep empty arrays."""
+    """keywords() as two arrays per text; texts without any, or without a key, keep empty arrays."""
+    empty = F.array().cast("array<string>")
+    if _single_keys(df, key):
+        # each key has one row, which stays where it is
+        rows = df.select(key, text)
+        for name, n, part in (("keywords", k, 0), ("phrases", p, 1)):
+            spots = _row_spots(None)[part]
+            rows = _runs(rows.withColumn("_w", plain_words(text)), spots).withColumn(name, F.transform(_first_runs(n), lambda r: r["term"])).drop("_runs", "_w")
+        return rows.select(key, *[F.when(F.col(key).isNotNull(), F.col(c)).otherwise(empty).alias(c) for c in ("keywords", "phrases")])
     found = keywords(df, key, text, k, p).groupBy(key).agg(
         *[
             F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("rank", "term")))), lambda s: s["term"]).alias(name)
             for kind, name in (("keyword", "keywords"), ("phrase", "phrases"))
         ]
     )
-    empty = F.array().cast("array<string>")
     return df.select(key).join(found, key, "left").withColumns({c: F.coalesce(c, empty) for c in ("keywords", "phrases")})
 
 
@@ -313,13 +363,18 @@ def text_suitability(df: DataFrame, order_by, n: int = 5, limit: float = 10) ->
 
 def annotate_texts(df: DataFrame, text: str, op: str = "both", categories="positive,negative,neutral") -> DataFrame:
     """Category with confidence and/or summary with length; null texts keep the defaults."""
-    known, made = F.col(text).isNotNull(), {}
+    known, out = F.col(text).isNotNull(), df
     if op in ("classification", "both"):
+        # made outside the condition on the text, where equal parts are made once
         c = custom_columns(text, categories)
-        made["text_category"] = F.when(known, c["category"]).otherwise("unprocessed")
-        made["classification_confidence"] = F.when(known, c["confidence"]).otherwise(F.lit(0.0))
+        out = out.withColumn("_c", F.struct(c["category"].alias("category"), c["confidence"].alias("confidence")))
+        out = out.withColumns({
+            "text_category": F.when(known, F.col("_c.category")).otherwise("unprocessed"),
+            "classification_confidence": F.when(known, F.col("_c.confidence")).otherwise(F.lit(0.0)),
+        }).drop("_c")
     if op in ("summarization", "both"):
-        s = extractive_columns(text)["summary"]
-        made["text_summary"] = F.when(known, s).otherwise("")
-        made["summary_length"] = F.when(known, F.length(s)).otherwise(0)
-    return df.withColumns(made)
+        made = summarize_extractive(out.withColumn("_kept", F.struct(*[F.col(f"`{c}`") for c in out.columns])).select("_kept", text), text)
+        s = F.col("summary")
+        columns = {"text_summary": F.when(known, s).otherwise(""), "summary_length": F.when(known, F.length(s)).otherwise(0)}
+        out = made.withColumns(columns).select("_kept.*", *columns)
+    return out
