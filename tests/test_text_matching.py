@@ -204,6 +204,22 @@ def test_dense_links_equal_all_pairs(spark, monkeypatch):
     assert sparse == {k: (r, sum(r in (p["id_1"], p["id_2"]) for p in pairs)) for k, r in reps.items()}
 
 
+def test_dense_texts_move_as_one_row_each(spark):
+    texts = ["red fish blue", "red fish blue blue", "red", None, "blue fish", "red fish blue"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    groups = M.TextGroups(df, "id", F.col("text"), (1, 1), (), 3)
+    nodes, rows = groups.numbered()
+    assert rows.count() == nodes.count() == 4 and dict(rows.dtypes)["t"] == "array<smallint>"
+    # the parts of a row give the weights of the vectors
+    made = {}
+    for r in rows.join(nodes, rows["rep"] == nodes["node"]).select(nodes["rep"], "t", "tf", "idf", "norm").collect():
+        made[r["rep"]] = sorted(c * i / r["norm"] for c, i in zip(r["tf"], r["idf"]))
+    want = {}
+    for r in groups.vectors.collect():
+        want.setdefault(r["rep"], []).append(r["weight"])
+    assert made == {k: sorted(v) for k, v in want.items()}
+
+
 def _plans(df):
     return df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
 
