@@ -20,6 +20,7 @@ from tabloom.operators.linkage import SingleLinkage
 from tabloom.operators.ordered import POS, positioned, row_index
 from tabloom.operators.profile import cluster_profile
 from tabloom.session import cut_lineage
+from tabloom.sources.tables import bounded_tasks
 
 SEED = 42
 # fixed values: the search grid of auto_cluster
@@ -237,7 +238,8 @@ def dbscan(df: DataFrame, key: str, cols, eps: float = 0.5, min_samples: int = 5
 def auto_cluster(df: DataFrame, key: str, cols, k_values=K_VALUES, eps_values=EPS_VALUES, min_samples=MIN_SAMPLES, density: bool = True) -> DataFrame:
     """Silhouette of every tried setting, best first: k-means, bisecting, and density runs without noise."""
     cols = as_list(cols)
-    prepared = cluster_prepare(df.select(key, *cols), cols).persist()
+    # every setting reads the same rows
+    prepared = cluster_prepare(bounded_tasks(df.select(key, *cols)), cols).persist()
     n, rows = prepared.count(), []
     for k in k_values:
         if k <= n:

@@ -26,6 +26,7 @@ from tabloom.operators.evaluate import classification_metrics, performance_band,
 from tabloom.operators.features import small_categories
 from tabloom.operators.joins import update_by_key
 from tabloom.operators.ordered import split_random
+from tabloom.sources.tables import bounded_tasks
 
 SEED = 42
 
@@ -139,8 +140,8 @@ def train(df: DataFrame, features, target: str, algorithm: str, task: str = "cla
         weight = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, n / (len(counts) * v))])
         labelled = labelled.withColumn("_weight", weight[F.col("label")])
         est = est.copy({est.weightCol: "_weight"})
-    # iterative fits read their rows many times: keep only what they need
-    rows = labelled.select("features", "label", *(["_weight"] if "_weight" in labelled.columns else [])).persist()
+    # iterative fits read their rows many times: keep only what they need, and in tasks of bounded size
+    rows = bounded_tasks(labelled.select("features", "label", *(["_weight"] if "_weight" in labelled.columns else []))).persist()
     stages = [*prep.stages, est.fit(rows)]
     rows.unpersist()
     if labels:

@@ -9,6 +9,7 @@ from tabloom.operators import models as ML
 from tabloom.operators import rules as R
 from tabloom.operators import suitability as U
 from tabloom.operators.linkage import SingleLinkage
+from tabloom.sources import tables
 from tabloom.sources.tables import load_model, read_table, save_model, write_table
 
 
@@ -194,3 +195,17 @@ def test_ranked_search_prefers_rare_words(spark):
     n, df, tf, length, mean = 5, 1, 1.0, index.where("column_name = 'customer_city'").first()["length"], index.first()["mean_length"]
     want = np.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
     assert round(G.ranked_search(index, "berlin").first()["score"], 9) == round(want, 9)
+
+
+def test_rows_that_are_read_often_come_in_bounded_tasks(spark, labelled, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 7)
+    made = []
+    for module in (ML, K):
+        monkeypatch.setattr(module, "bounded_tasks", lambda df: made.append(tables.bounded_tasks(df)) or made[-1])
+    rows = labelled.coalesce(1)
+    ML.train(rows, ["a", "b", "c"], "z", "Decision Tree", "regression")
+    points = spark.createDataFrame([(i, float(i % 5), float(i % 3)) for i in range(60)], "id int, a double, b double").coalesce(1)
+    assert K.auto_cluster(points, "id", ["a", "b"], k_values=[2], density=False).count() == 2
+    assert len(made) == 2 and all(df.rdd.getNumPartitions() == -(-df.count() // 7) > 1 for df in made)
+    few = spark.range(0, 5, 1, 1)
+    assert tables.bounded_tasks(few) is few
