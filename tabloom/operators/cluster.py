@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.columns import as_list, join_on, numeric_cols, text_cols, total
-from tabloom.operators import boxes
+from tabloom.operators import density
 from tabloom.operators.graph import connected_components
 from tabloom.operators.linkage import SingleLinkage
-from tabloom.operators.ordered import POS, positioned, row_index
+from tabloom.operators.ordered import POS, row_index
 from tabloom.operators.profile import cluster_profile
 from tabloom.session import cut_lineage
 from tabloom.sources.tables import bounded_tasks
@@ -27,7 +27,8 @@ SEED = 42
 K_VALUES = range(3, 9)
 EPS_VALUES = [0.3, 0.5, 0.7, 1.0]
 MIN_SAMPLES = [3, 5, 7]
-#: Up to so many columns the cells around one are listed; beyond, a tree finds the occupied ones.
+#: Up to so many columns the cells around one are listed; beyond, blocks of points are compared.
+#: LEAF_CELLS points share a box there.
 GRID_COLUMNS = 3
 LEAF_CELLS = 64
 
@@ -137,24 +138,8 @@ def _boxes(core: DataFrame, d: int, keys, prefix: str) -> DataFrame:
     return core.groupBy(*keys).agg(*edges)
 
 
-def _close_cells(points: DataFrame, d: int, eps: float) -> DataFrame:
-    """(id_1, id_2), both ways and each with itself: cells whose points may be within eps, by a box tree."""
-    cells = points.groupBy("cell").agg(*[f(f"x{i}").alias(f"{e}{i}") for i in range(d) for f, e in ((F.min, "lo"), (F.max, "hi"))])
-    cells = cells.withColumns({f"x{i}": (F.col(f"lo{i}") + F.col(f"hi{i}")) / 2 for i in range(d)})
-    placed = positioned(cells.withColumn("_z", boxes.curve(cells, [f"x{i}" for i in range(d)])), ["_z", "cell"])
-    placed = cut_lineage(placed.withColumn("node", F.floor(F.col(POS) / LEAF_CELLS)).select("cell", "node", *boxes.edges(d)))
-    sides = [f(c).alias(c) for i in range(d) for c, f in ((f"lo{i}", F.min), (f"hi{i}", F.max))]
-    tree = boxes.levels(placed.groupBy("node").agg(*sides), d)
-    near = boxes.gap(d) <= eps * eps
-    leaves = boxes.close_nodes(tree, near).select(F.col("a_node").alias("up_a"), F.col("b_node").alias("up_b"))
-    pairs = leaves.join(boxes.prefixed(placed, "a_"), F.col("up_a") == F.col("a_node")).join(boxes.prefixed(placed, "b_"), F.col("up_b") == F.col("b_node"))
-    once = (F.col("up_a") < F.col("up_b")) | (F.col("a_cell") <= F.col("b_cell"))
-    found = cut_lineage(pairs.where(once & near).select(F.col("a_cell").alias("id_1"), F.col("b_cell").alias("id_2")))
-    return found.union(found.where("id_1 <> id_2").select(F.col("id_2").alias("id_1"), F.col("id_1").alias("id_2")))
-
-
-def _cell_edges(core: DataFrame, d: int, side: float, eps: float, near: DataFrame | None = None) -> DataFrame:
-    """Pairs of cells holding core points within eps of each other; ``near`` lists the cells to look at.
+def _cell_edges(core: DataFrame, d: int, side: float, eps: float) -> DataFrame:
+    """Pairs of cells holding core points within eps of each other.
 
     Bounding boxes decide most pairs of cells, boxes of quarter cells most of the rest; points are
     compared only where a pair of quarter cells is still open.
@@ -164,10 +149,7 @@ def _cell_edges(core: DataFrame, d: int, side: float, eps: float, near: DataFram
     quarter = core.withColumns({f"q{i}": F.floor(F.col(f"x{i}") / F.lit(side / 4)).cast("bigint") for i in range(d)}).withColumn("q", F.concat_ws("_", *[f"q{i}" for i in range(d)]))
     a = _boxes(core, d, [*grid, "cell"], "a").withColumnRenamed("cell", "id_1")
     b = _boxes(core, d, [*grid, "cell"], "b").withColumnRenamed("cell", "id_2").withColumnsRenamed({g: f"n{i}" for i, g in enumerate(grid)})
-    if near is None:
-        pairs = _near_cells(a, d, _offsets(d, reach, half=True)).join(b, [f"n{i}" for i in range(d)])
-    else:
-        pairs = near.where("id_1 < id_2").join(a, "id_1").join(b, "id_2")
+    pairs = _near_cells(a, d, _offsets(d, reach, half=True)).join(b, [f"n{i}" for i in range(d)])
     least, most = _box_distances(d, "a", "b")
     pairs = cut_lineage(pairs.withColumns({"_least": least, "_most": most}).where(F.col("_least") <= limit).select("id_1", "id_2", "_most"))
     sure = pairs.where(F.col("_most") <= limit).select("id_1", "id_2")
@@ -189,50 +171,64 @@ def _cell_edges(core: DataFrame, d: int, side: float, eps: float, near: DataFram
 def dbscan(df: DataFrame, key: str, cols, eps: float = 0.5, min_samples: int = 5, name: str = "cluster") -> DataFrame:
     """Density clusters: ``name`` (-1 is noise) and ``is_core``.
 
-    Equal points are collapsed with a weight.  The grid side is eps / sqrt(dimensions), so points of a
-    cell are within eps: a cell with ``min_samples`` points is all core without any comparison, and a
-    crowded cell meets only the few points of sparse neighbour cells.  Up to three columns neighbour cells
-    are found by their offsets on the grid, beyond that by a tree over the boxes of the occupied cells.
+    Equal points are collapsed with a weight.  Up to three columns a grid has the side eps / sqrt(dimensions), so
+    points of a cell are within eps: a cell with ``min_samples`` points is all core without any comparison, and a
+    crowded cell meets only the few points of sparse neighbour cells.  Beyond that, where nearly every point has a cell
+    of its own, ``density`` compares blocks of points along a curve.
     Clusters are numbered by their first core row; a border row takes the lowest cluster that reaches it.
     """
     cols = as_list(cols)
-    d = len(cols)
-    side, limit = eps / math.sqrt(d) * (1 - 1e-9), eps * eps
-    xs, grid = [f"x{i}" for i in range(d)], [f"g{i}" for i in range(d)]
-    reach = math.ceil(math.sqrt(d) * (1 + 1e-9))
+    xs = [f"x{i}" for i in range(len(cols))]
     placed = df.select(F.col(key).alias("_k"), *[F.col(c).cast("double").alias(x) for c, x in zip(cols, xs)]).na.drop()
     points = placed.groupBy(*xs).agg(F.count(F.lit(1)).alias("w"), F.min("_k").alias("first"))
+    labels = (_grid_labels if len(cols) <= GRID_COLUMNS else _block_labels)(points, len(cols), eps, min_samples)
+    rows = placed.join(labels, xs, "left").select(F.col("_k").alias(key), F.coalesce("_label", F.lit(-1)).alias(name), F.coalesce("is_core", F.lit(False)).alias("is_core"))
+    return join_on(df, rows, key, "left")
+
+
+def _numbered(core: DataFrame, component: str) -> DataFrame:
+    """(component, _label): components by their first core row."""
+    firsts = core.groupBy(component).agg(F.min("first").alias("first"))
+    return row_index(firsts, "first", name="_label").select(component, F.col("_label").cast("int").alias("_label"))
+
+
+def _block_labels(points: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
+    """(x0, x1, ..., _label, is_core) of the points in a cluster, by blocks of points."""
+    xs = [f"x{i}" for i in range(d)]
+    space = density.Points(points, d, eps, LEAF_CELLS)
+    dense = space.core(min_samples)
+    core = space.components(space.rows.join(dense, POS))
+    core = cut_lineage(core.join(_numbered(core, "comp"), "comp"))
+    others = space.rows.join(dense, POS, "left_anti")
+    border = others.join(space.border(others, core.withColumnRenamed("_label", "label")), POS)
+    return core.select(*xs, "_label", F.lit(True).alias("is_core")).union(border.select(*xs, "label", F.lit(False)))
+
+
+def _grid_labels(points: DataFrame, d: int, eps: float, min_samples: int) -> DataFrame:
+    """(x0, x1, ..., _label, is_core) of the points in a cluster, by a grid."""
+    side, limit = eps / math.sqrt(d) * (1 - 1e-9), eps * eps
+    xs, grid, ids = [f"x{i}" for i in range(d)], [f"g{i}" for i in range(d)], [f"n{i}" for i in range(d)]
+    offsets = _offsets(d, math.ceil(math.sqrt(d) * (1 + 1e-9)))
     points = points.withColumns({g: F.floor(F.col(x) / F.lit(side)).cast("bigint") for g, x in zip(grid, xs)})
     points = points.withColumn("cell", F.concat_ws("_", *grid))
     weights = points.groupBy("cell").agg(F.sum("w").alias("cell_w"))
     points = cut_lineage(points.join(weights, "cell"))
-    ids = [f"n{i}" for i in range(d)] if d <= GRID_COLUMNS else ["id_2"]
-    cell_of = [F.col(g).alias(n) for g, n in zip(grid, ids)] if d <= GRID_COLUMNS else [F.col("cell").alias("id_2")]
-    cells = None if d <= GRID_COLUMNS else _close_cells(points, d, eps)
-
-    def beside(rows: DataFrame) -> DataFrame:
-        """Each row with the cells that may hold points within eps."""
-        return _near_cells(rows, d, _offsets(d, reach)) if cells is None else rows.join(cells, rows["cell"] == cells["id_1"])
-
+    cell_of = [F.col(g).alias(n) for g, n in zip(grid, ids)]
     others = points.select(*cell_of, *[F.col(x).alias(f"o{i}") for i, x in enumerate(xs)], F.col("w").alias("ow"))
     near = total([(F.col(x) - F.col(f"o{i}")) * (F.col(x) - F.col(f"o{i}")) for i, x in enumerate(xs)])
     sparse = points.where(F.col("cell_w") < min_samples)
-    reached = beside(sparse).join(others, ids).where(near <= limit)
+    reached = _near_cells(sparse, d, offsets).join(others, ids).where(near <= limit)
     counted = reached.groupBy(*xs).agg(F.sum("ow").alias("_near"))
     marked = points.join(counted, xs, "left").withColumn("is_core", (F.col("cell_w") >= min_samples) | (F.coalesce("_near", F.lit(0)) >= min_samples)).drop("_near")
     marked = cut_lineage(marked)
     core = marked.where("is_core")
-    parts = connected_components(_cell_edges(core, d, side, eps, cells))
+    parts = connected_components(_cell_edges(core, d, side, eps))
     core = core.join(parts.withColumnRenamed("node", "cell"), "cell", "left").withColumn("component", F.coalesce("component", "cell"))
-    firsts = core.groupBy("component").agg(F.min("first").alias("first"))
-    numbers = row_index(firsts, "first", name="_label").drop("first")
-    core = cut_lineage(core.join(numbers, "component").select(*xs, *grid, "cell", F.col("_label").cast("int").alias("_label")))
+    core = cut_lineage(core.join(_numbered(core, "component"), "component").select(*xs, *grid, "cell", "_label"))
     centres = core.select(*cell_of, *[F.col(x).alias(f"o{i}") for i, x in enumerate(xs)], "_label")
-    border = beside(marked.where("NOT is_core")).join(centres, ids).where(near <= limit)
+    border = _near_cells(marked.where("NOT is_core"), d, offsets).join(centres, ids).where(near <= limit)
     border = border.groupBy(*xs).agg(F.min("_label").alias("_label"))
-    labels = core.select(*xs, "_label", F.lit(True).alias("is_core")).union(border.select(*xs, "_label", F.lit(False)))
-    rows = placed.join(labels, xs, "left").select(F.col("_k").alias(key), F.coalesce("_label", F.lit(-1)).alias(name), F.coalesce("is_core", F.lit(False)).alias("is_core"))
-    return join_on(df, rows, key, "left")
+    return core.select(*xs, "_label", F.lit(True).alias("is_core")).union(border.select(*xs, "_label", F.lit(False)))
 
 
 def auto_cluster(df: DataFrame, key: str, cols, k_values=K_VALUES, eps_values=EPS_VALUES, min_samples=MIN_SAMPLES, density: bool = True) -> DataFrame:

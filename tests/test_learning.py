@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabloom.operators import catalog as G
 from tabloom.operators import cluster as K
+from tabloom.operators import density
 from tabloom.operators import evaluate as V
 from tabloom.operators import models as ML
 from tabloom.operators import rules as R
@@ -209,3 +210,37 @@ def test_rows_that_are_read_often_come_in_bounded_tasks(spark, labelled, monkeyp
     assert len(made) == 2 and all(df.rdd.getNumPartitions() == -(-df.count() // 7) > 1 for df in made)
     few = spark.range(0, 5, 1, 1)
     assert tables.bounded_tasks(few) is few
+
+
+def test_density_blocks_compare_only_open_points(spark, monkeypatch):
+    """Every round, many blocks, and no step that asks for all points."""
+    monkeypatch.setattr(K, "LEAF_CELLS", 4)
+    monkeypatch.setattr(density, "BLOCK_LEAVES", 8)
+    monkeypatch.setattr(density, "ASKED_LEAVES", 6)
+    monkeypatch.setattr(density, "LINKING", 20)
+    rng = np.random.default_rng(12)
+    # two long chains, a blob, loose points, equal points, an infinite one and one with a gap
+    chain = np.cumsum(rng.uniform(0.1, 0.3, (80, 4)), axis=0)
+    pts = np.vstack([chain, chain + 3.0, rng.normal(-3, 0.3, (150, 4)), rng.uniform(-5, 25, (30, 4)), np.full((5, 4), 40.0)])
+    label, core = brute_dbscan(pts, 0.8, 4)
+    assert len(set(label)) > 3 and not core.all()
+    rows = [(i, *map(float, p)) for i, p in enumerate(pts)] + [(900, float("inf"), 0.0, 0.0, 0.0), (901, None, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double")
+    met = []
+    whole = density.Points._meet
+    monkeypatch.setattr(density.Points, "_meet", lambda self, asked, *rest: met.append(asked.count()) or whole(self, asked, *rest))
+    got = {r["id"]: (r["cluster"], r["is_core"]) for r in K.dbscan(df, "id", list("abcd"), 0.8, 4).collect()}
+    assert got == {i: (int(label[i]), bool(core[i])) for i in range(len(pts))} | {900: (-1, False), 901: (None, None)}
+    assert len(met) == 4 and max(met) < len(pts)
+
+
+def test_density_steps_leave_no_pairs(spark):
+    """A dense cloud: all but a few points are decided in their own block."""
+    rng = np.random.default_rng(13)
+    pts = np.unique(rng.normal(0, 0.1, (6000, 6)), axis=0)
+    frame = spark.createDataFrame([(*map(float, p), 1) for p in pts], ", ".join(f"x{i} double" for i in range(6)) + ", w long")
+    space = density.Points(frame, 6, 0.2, 16)
+    first = space.rows.select("block", "_pos", "w", *space.xs).groupBy("block").applyInArrow(density._crowded(6, space.limit, 4, 16), "_pos long, enough boolean")
+    assert space.rows.select("block").distinct().count() > 4
+    assert first.where("NOT enough").count() < len(pts) / 20
+    assert space.components(space.rows.join(space.core(4), "_pos")).select("comp").distinct().count() == 1
