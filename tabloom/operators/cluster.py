@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, Imputer, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, CountVectorizerModel, ElementwiseProduct, Imputer, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,22 @@ GRID_COLUMNS = 3
 LEAF_CELLS = 64
 
 
+def _frequent_terms(df: DataFrame, words: str, terms: int) -> tuple[list[str], list[float]]:
+    """The most frequent words and log((rows + 1) / (rows with the word + 1)), as CountVectorizer and IDF have them.
+
+    Both counts come from one reading of the texts, combined in the tasks; only the chosen words reach the driver.
+    """
+    # each word of a row, then each different one; the null beside those counts the rows
+    different = F.concat(F.array_distinct(words), F.array(F.lit(None).cast("string")))
+    twice = df.select(F.posexplode(F.array(words, different)).alias("_second", "_part"))
+    each = twice.select("_second", F.explode("_part").alias("_word"))
+    counts = each.groupBy("_word").agg(F.count_if(F.col("_second") == 0).alias("n"), F.sum("_second").alias("in_rows"))
+    rows = counts.orderBy(F.col("_word").isNotNull(), F.desc("n"), "_word").limit(terms + 1).collect()
+    if len(rows) < 2:
+        raise ValueError("the texts hold no words")
+    return [r["_word"] for r in rows[1:]], [math.log((rows[0]["in_rows"] + 1) / (r["in_rows"] + 1)) for r in rows[1:]]
+
+
 def cluster_prepare(df: DataFrame, cols, text: str = "encode", terms: int = 100) -> DataFrame:
     """Add ``features``: medians for gaps, scaled numbers, and label codes or TF-IDF of the texts."""
     cols = as_list(cols)
@@ -54,11 +71,12 @@ def cluster_prepare(df: DataFrame, cols, text: str = "encode", terms: int = 100)
         stages += [VectorAssembler(inputCols=scaled, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True)]
         parts.append("_scaled")
     if texts and text != "encode":
+        words = [RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2), StopWordsRemover(inputCol="_words", outputCol="_kept")]
+        kept, weights = _frequent_terms(PipelineModel(stages=[stages[0], *words]).transform(df), "_kept", terms)
         stages += [
-            RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
-            StopWordsRemover(inputCol="_words", outputCol="_kept"),
-            CountVectorizer(inputCol="_kept", outputCol="_tf", vocabSize=terms),
-            IDF(inputCol="_tf", outputCol="_idf"),
+            *words,
+            CountVectorizerModel.from_vocabulary(kept, inputCol="_kept", outputCol="_tf"),
+            ElementwiseProduct(inputCol="_tf", outputCol="_idf", scalingVec=Vectors.dense(weights)),
             Normalizer(inputCol="_idf", outputCol="_tfidf"),
         ]
         parts.append("_tfidf")

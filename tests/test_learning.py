@@ -244,3 +244,35 @@ def test_density_steps_leave_no_pairs(spark):
     assert space.rows.select("block").distinct().count() > 4
     assert first.where("NOT enough").count() < len(pts) / 20
     assert space.components(space.rows.join(space.core(4), "_pos")).select("comp").distinct().count() == 1
+
+
+def test_terms_of_texts_equal_spark_ml_in_one_reading(spark):
+    from pyspark.ml.feature import IDF, CountVectorizer
+    from pyspark.ml.functions import vector_to_array
+
+    # ties (Spark's order of equal counts follows the partitions, so positions are compared by word), repeats in a text, stop words, an empty and a null text
+    texts = ["Apple apple pear the fig", "pear Plum_2 apple", "fig kiwi lime", "", None, "été Été the of x", "lime kiwi melon"]
+    df = spark.createDataFrame([(i, t, float(i)) for i, t in enumerate(texts)], "id int, t string, n double")
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    once = df.mapInArrow(counted, df.schema)
+    words = K.RegexTokenizer(inputCol="t", outputCol="w", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2).transform(df.na.fill("", ["t"]))
+    words = K.StopWordsRemover(inputCol="w", outputCol="k").transform(words)
+    model = CountVectorizer(inputCol="k", outputCol="tf", vocabSize=6).fit(words)
+    idf = IDF(inputCol="tf", outputCol="i").fit(model.transform(words))
+    kept, weights = K._frequent_terms(words, "k", 6)
+    assert kept == ["apple", "fig", "kiwi", "lime", "pear", "été"] == sorted(model.vocabulary)
+    place = [model.vocabulary.index(w) for w in kept]
+    assert np.allclose(weights, idf.idf.toArray()[place], rtol=1e-14)
+    want = K.Normalizer(inputCol="i", outputCol="u").transform(idf.transform(model.transform(words))).select("id", vector_to_array("u").alias("u")).collect()
+    got = K.cluster_prepare(once, ["t"], text="tfidf", terms=6)
+    assert reads.value == len(texts)
+    got = {r["id"]: r["f"] for r in got.select("id", vector_to_array("features").alias("f")).collect()}
+    assert len(got) == len(texts) and all(np.allclose(got[r["id"]], np.array(r["u"])[place], rtol=1e-14) for r in want)
+    with pytest.raises(Exception):
+        K.cluster_prepare(df.where("id = 3"), ["t"], text="tfidf")
