@@ -45,6 +45,31 @@ def test_words_merged_together_equal_words_alone(library):
     assert together == [own.merge([w])[0] for w in words]
 
 
+def test_many_decoded_at_once_equal_each_alone():
+    own = ByteBPE(RANKS, PATTERN)
+    ids = own.encode(texts())
+    assert own.decode_all(ids) == [own.decode(i) for i in ids] == [t.encode() for t in texts()]
+    assert own.decimals(ids) == [" ".join(map(str, np.frombuffer(i, "<u4").tolist())).encode() for i in ids]
+    assert own.decode_all([]) == own.decimals([]) == [] and own.decode_all([b"", b""]) == [b"", b""]
+
+
+def test_a_word_is_kept_once(library):
+    own = ByteBPE(RANKS, PATTERN)
+    for text in ("some zyxo, zyxo quib", "the quib. zyxo quibo,", "a quibo zyxo. quib"):
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode_ordinary(text)
+    assert {"zyxo", "quib", "quibo"} <= set(own._pieces) and not {" zyxo", " quib", " quibo"} & set(own._words)
+
+
+def test_queue_filled_at_once_gives_lowest_rank_first():
+    queue, rnd = RankQueue(50256), random.Random(2)
+    pushed = [(rnd.randrange(500), at) for at in range(3000)]
+    queue.fill(np.array([r for r, _ in pushed]), np.array([at for _, at in pushed]))
+    out = []
+    while (first := queue.take_first()) is not None:
+        out += [(first[0], at) for at in first[1]]
+    assert out == sorted(pushed)
+
+
 def test_queue_gives_lowest_rank_first():
     queue, rnd = RankQueue(50256), random.Random(1)
     pushed = [(rnd.randrange(50256), rnd.randrange(1000)) for _ in range(3000)]
