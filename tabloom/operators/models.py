@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -14,7 +16,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Bucketizer, Imputer, IndexToString, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -71,6 +73,8 @@ SOLUTIONS = {
     "lead_scoring": ("Logistic Regression", None, "classification", False),
 }
 COMPLEXITY_TREES = {"simple": 50, "advanced": 200}
+#: Values of a number per tree feature, as in Spark's trees by default; up to so many distinct values are counted, more are sketched.
+BINS, COUNTED_VALUES = 32, 10_000
 
 
 def algorithms(task: str) -> list[str]:
@@ -121,6 +125,86 @@ def _estimator(task: str, algorithm: str, classes: int, width: int):
     return est
 
 
+def cut_points(df: DataFrame, columns: list[str], bins: int = BINS) -> dict[str, list[float]]:
+    """Where each column is cut for trees: between all values, or, beyond ``bins`` values, into about equal shares of the rows.
+
+    The rule is that of Spark's trees, applied to all rows instead of a sample.
+    """
+    if not columns:
+        return {}
+    held = [c.replace("`", "``") for c in columns]
+    distinct = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(f"n{i}") for i, c in enumerate(held)]).first()
+    few = [c for i, c in enumerate(held) if distinct[f"n{i}"] <= COUNTED_VALUES]
+    many = [c for c in held if c not in few]
+    cuts = {c: _cuts(df.groupBy(F.col(f"`{c}`").alias("v")).agg(F.count(F.lit(1)).alias("n")).where("v is not null and not isnan(v)").collect(), bins) for c in few}
+    if many:
+        sketched = df.approxQuantile([c.replace("``", "`") for c in many], [i / bins for i in range(1, bins)], 1e-4)
+        cuts |= {c: sorted({float(x) for x in found}) for c, found in zip(many, sketched)}
+    return {c: cuts[h] for c, h in zip(columns, held)}
+
+
+def _cuts(counted, bins: int) -> list[float]:
+    values = sorted((r["v"], r["n"]) for r in counted)
+    middle = [(a + b) / 2 for (a, _), (b, _) in zip(values, values[1:])]
+    if len(middle) < bins:
+        return middle
+    stride = sum(n for _, n in values) / bins
+    cuts, seen, target = [], values[0][1], stride
+    for cut, (_, n) in zip(middle, values[1:]):
+        if abs(seen - target) < abs(seen + n - target):
+            cuts.append(cut)
+            target += stride
+        seen += n
+    return cuts
+
+
+def _binned(df: DataFrame, prep: PipelineModel, labelled: DataFrame) -> tuple[list, DataFrame]:
+    """Stages that turn prepared rows into ``bins``, and the rows with it.
+
+    ``bins`` has the positions of ``features``; a number is the place of its bin, so it takes at most BINS values.
+    """
+    inputs = next(s for s in prep.stages if isinstance(s, VectorAssembler)).getInputCols()
+    cuts = {c: found for c, found in cut_points(labelled, [c for c in inputs if c.endswith("__fill")]).items() if found}
+    # a tree goes left at a cut itself, a bucket begins there
+    edges = [[-math.inf, *[math.nextafter(x, math.inf) for x in found], math.inf] for found in cuts.values()]
+    stages = []
+    if cuts:
+        stages.append(Bucketizer(inputCols=list(cuts), outputCols=[f"{c}__bucket" for c in cuts], splitsArray=edges, handleInvalid="keep"))
+        # a plain number again: buckets are marked as categories, which trees don't keep in order
+        places = [f"least(`{c}__bucket`, {len(found)}D) AS `{c}__bin`" for c, found in cuts.items()]
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(places)} FROM __THIS__"))
+    stages.append(VectorAssembler(inputCols=[f"{c}__bin" if c in cuts else c for c in inputs], outputCol="bins", handleInvalid="keep"))
+    stages = Pipeline(stages=stages).fit(labelled).stages
+    return stages, PipelineModel(stages=stages).transform(labelled)
+
+
+def _weighted_bins(binned: DataFrame, task: str, weight: str | None = None) -> DataFrame:
+    """(bins, label, _weight): rows of equal bins as one, whose label is their mean in a regression.
+
+    Trees see nothing of a number but its bin, and the gain of a split by squared error depends on labels by their
+    sums alone, so the trees are those of all rows.  The result is bounded by the bins, whatever the number of rows.
+    """
+    w = F.col(weight) if weight else F.lit(1.0)
+    if task == "regression":
+        label = F.coalesce("label", F.lit(math.nan))  # a label that is no number still stops the fit
+        return binned.groupBy("bins").agg((F.sum(label * w) / F.sum(w)).alias("label"), F.sum(w).alias("_weight"))
+    return binned.groupBy("bins", "label").agg(F.sum(w).alias("_weight"))
+
+
+def _on_bins(est, rows: DataFrame):
+    """The estimator for weighted bins, and these in rows enough.
+
+    Trees look for cuts in a sample of maxBins squared rows, which shall hold all bins, and want as many rows as a
+    column has categories, so that few rows are dealt out as equal parts.
+    """
+    n = rows.count()
+    if n < BINS:
+        rows = rows.withColumn("_weight", F.col("_weight") / BINS).withColumn("_part", F.explode(F.sequence(F.lit(1), F.lit(BINS)))).drop("_part")
+    trees = est.getClassifier() if isinstance(est, OneVsRest) else est
+    trees.setMaxBins(max(BINS, math.isqrt(n) + 1))
+    return est.copy({est.featuresCol: "bins", est.weightCol: "_weight"}), rows
+
+
 def _width(prepared: DataFrame) -> int:
     row = prepared.select("features").first()
     return row["features"].size if row else 0
@@ -141,9 +225,18 @@ def train(df: DataFrame, features, target: str, algorithm: str, task: str = "cla
         labelled = labelled.withColumn("_weight", weight[F.col("label")])
         est = est.copy({est.weightCol: "_weight"})
     # iterative fits read their rows many times: keep only what they need, and in tasks of bounded size
-    rows = bounded_tasks(labelled.select("features", "label", *(["_weight"] if "_weight" in labelled.columns else []))).persist()
-    stages = [*prep.stages, est.fit(rows)]
+    weights = ["_weight"] if "_weight" in labelled.columns else []
+    stages, kept = [*prep.stages], labelled.select("features", "label", *weights)
+    if algorithm == "Gradient Boosting":
+        made, binned = _binned(clean, prep, labelled)
+        stages += made
+        cells = _weighted_bins(binned, task, *weights).persist()
+        est, kept = _on_bins(est, cells)
+    rows = bounded_tasks(kept).persist()
+    stages.append(est.fit(rows))
     rows.unpersist()
+    if algorithm == "Gradient Boosting":
+        cells.unpersist()
     if labels:
         stages.append(IndexToString(inputCol="prediction", outputCol="predicted", labels=labels))
     return PipelineModel(stages=stages)

@@ -276,3 +276,44 @@ def test_terms_of_texts_equal_spark_ml_in_one_reading(spark):
     assert len(got) == len(texts) and all(np.allclose(got[r["id"]], np.array(r["u"])[place], rtol=1e-14) for r in want)
     with pytest.raises(Exception):
         K.cluster_prepare(df.where("id = 3"), ["t"], text="tfidf")
+
+
+def boosting_rows(spark, n):
+    rng = np.random.default_rng(7)
+    a, b = rng.integers(0, 50, n), rng.integers(0, 5, n)
+    c = rng.normal(size=n)
+    rows = [(int(i), float(x) if i % 97 else None, float(y), float(z), "uvw"[int(k)], float(x * y + 3 * z + k)) for i, (x, y, z, k) in enumerate(zip(a, b, c, rng.integers(0, 3, n)))]
+    return spark.createDataFrame(rows, "id long, a double, b double, c double, t string, y double").repartition(3)
+
+
+def test_cut_points_are_those_of_all_rows(spark):
+    rows = spark.createDataFrame([(float(v), float(v % 3)) for v in range(64) for _ in range(1 + v % 2)], "v double, w double")
+    cuts = ML.cut_points(rows, ["v", "w"])
+    assert cuts["w"] == [0.5, 1.5] and len(cuts["v"]) == 31
+    many = spark.range(30_000).select((F.col("id") / 7.0).alias("v"))
+    found = ML.cut_points(many, ["v"])["v"]
+    assert len(found) == 31 and all(abs(x - 30_000 / 7 * (i + 1) / 32) < 5 for i, x in enumerate(found))
+
+
+def test_boosting_on_bins_equals_boosting_on_rows(spark):
+    df = boosting_rows(spark, 1500)
+    feats = ["a", "b", "t"]
+    for task, target in (("regression", "y"), ("classification", "big")):
+        rows = df.withColumn("big", F.when(F.col("y") > 60, "yes").otherwise("no"))
+        prep = ML.prepare_features(rows, feats)
+        labelled, labels = ML._with_label(prep.transform(rows), target, task)
+        plain = ML._estimator(task, "Gradient Boosting", len(labels or []), 0).fit(labelled.select("features", "label"))
+        want = {r.id: r.prediction for r in plain.transform(labelled).select("id", "prediction").collect()}
+        got = {r.id: r.prediction for r in ML.train(rows, feats, target, "Gradient Boosting", task).transform(rows).select("id", "prediction").collect()}
+        assert set(got) == set(want) and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_boosting_rows_are_bounded_by_bins(spark):
+    df = boosting_rows(spark, 20_000)
+    prep = ML.prepare_features(df, ["b", "c"])
+    labelled, _ = ML._with_label(prep.transform(df), "y", "regression")
+    _, binned = ML._binned(df, prep, labelled)
+    cells = ML._weighted_bins(binned, "regression").collect()
+    assert len(cells) <= 5 * 32 and sum(r["_weight"] for r in cells) == 20_000
+    model = ML.train(df.limit(40).withColumn("one", F.lit(1.0)).withColumn("u", F.lit("x")), ["one", "u"], "y", "Gradient Boosting", "regression")
+    assert model.transform(df.limit(5).withColumn("one", F.lit(1.0)).withColumn("u", F.lit("x"))).count() == 5
