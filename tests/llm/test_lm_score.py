@@ -173,3 +173,22 @@ def test_rounds_cover_all_blocks_of_all_texts(spark):
     large = [r.pick for part in range(lm_score.ROUNDS) for r in lm_score.of_round(table, part, lm_score.TRAIN_SHARE).collect()]
     assert sorted(large) == sorted(b.pick for b in blocks)
     assert all(lm_score.of_round(table, part, 1.0).count() == len(blocks) for part in (0, 3))
+
+
+def test_blocks_of_two_bytes_an_id_train_the_same():
+    from tabloom.llm import lm_score
+
+    assert lm_score.id_type(50257) == "<u2" and lm_score.id_type(65535) == "<u2" and lm_score.id_type(65536) == "<u4"
+    batch = lm_score.pa.RecordBatch.from_arrays([lm_score.pa.array(["some words to learn from " * 40, None, "xyzzy"]), lm_score.pa.array([5, 6, 7])], names=["text", "pick"])
+    wide, narrow = (next(lm_score._blocks(PATH, 50257, 50256, kind)([batch])) for kind in ("<u4", "<u2"))
+    assert wide.column(0) == narrow.column(0) and narrow.column(1).nbytes < wide.column(1).nbytes * 0.6
+    for a, b in zip(wide.column(1).to_pylist(), narrow.column(1).to_pylist()):
+        assert np.frombuffer(a, "<u4").tolist() == np.frombuffer(b, "<u2").tolist()
+    rng = np.random.default_rng(1)
+    classes, p = small_classes(rng, 50257), attention.new_parameters(side=attention.tail_side(50257))
+
+    class Shared:
+        value = lm_score._small(classes)
+
+    made = [[b.column(1).to_pylist() for b in lm_score._trainer(Shared, p, 0, kind)([rows])] for kind, rows in (("<u4", wide), ("<u2", narrow))]
+    assert made[0] == made[1]
