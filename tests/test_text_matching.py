@@ -260,3 +260,79 @@ def test_metrics_read_the_results_once(spark):
     got = {r["metric"]: (r["number"], r["label"]) for r in T.nlp_metrics(results, "language_detection").collect()}
     assert got["total_texts"] == (4.0, None) and got["most_common_language"] == (None, "en") and got["unique_languages"] == (3.0, None)
     assert round(got["avg_confidence"][0], 9) == 0.8 and seen.value == 4
+
+
+@pytest.mark.parametrize("name", ["similar_pairs", "similar_pairs_all_terms", "match_confidence"])
+def test_similarity_queries_list_every_pair(spark, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 12))) for _ in range(60)]
+    texts += [f"{texts[0]} extra{i}" for i in range(5)] + [texts[1], texts[1], "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    res = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in res.description]
+    want = sorted(tuple(r) for r in res.fetchall())
+    assert {"id_1", "id_2", "similarity", "copies_1", "copies_2"} <= set(names) == set(got.columns)
+    assert want and sorted(tuple(r) for r in got.select(*names).collect()) == want
+
+
+@pytest.mark.parametrize("folded", [False, True])
+def test_tiles_of_blocks_find_all_links(monkeypatch, folded):
+    import numpy as np
+
+    from tabloom.operators import blocks as B
+
+    monkeypatch.setattr(B, "ROWS", 16)
+    monkeypatch.setattr(B, "COLUMNS", 24)
+    rng = np.random.default_rng(7)
+    # four kinds of texts over terms of their own, and some terms of all
+    vectors = np.zeros((180, 60))
+    for row in vectors:
+        kind = rng.integers(4)
+        row[rng.choice(np.r_[kind * 12 : kind * 12 + 12, 48:60], rng.integers(2, 8), False)] = rng.integers(1, 4)
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    width = 25 if folded else 60
+    column = np.arange(60) % width
+
+    def block(at):
+        sizes, terms, weights = [], [], []
+        for k in at:
+            own = np.flatnonzero(vectors[k]).tolist()
+            sizes.append(len(own))
+            terms += own
+            weights += list(vectors[k][own])
+        terms = np.array(terms)
+        return B._Block(at, np.array(sizes), column[terms].astype("i2"), np.array(weights), width, groups, terms if folded else None)
+
+    groups = np.zeros(width, int)
+    every = block(np.arange(180))
+    groups = B._Kinds(every.dense(np.arange(180)), width).groups
+    dealt = rng.permutation(180)
+    blocks = [block(dealt[:100]), block(dealt[100:])]
+    cosine = vectors @ vectors.T
+    want = {(i, j): cosine[i, j] for i in range(180) for j in range(i + 1, 180) if cosine[i, j] > 0.8}
+    links, found, counted = {True: set(), False: set()}, {}, np.zeros(180, int)
+    for left, right in ((0, 0), (0, 1), (1, 1)):
+        a, b = blocks[left], blocks[right]
+        for x, y, over in B._tiles(a, b, 0.8):
+            i, j = np.nonzero(over)
+            for p, q, s in zip(a.rep[x[i]], b.rep[y[j]], B._products(a, b, x[i], y[j])):
+                assert (min(p, q), max(p, q)) not in found
+                found[min(p, q), max(p, q)] = s
+        for earlier, to in links.items():
+            for batch in B._joining(earlier)(a, b, (0.8,)):
+                to |= set(zip(*[c.to_pylist() for c in batch.columns]))
+        for batch in B._counts(a, b, (0.8,)):
+            np.add.at(counted, batch.column(0).to_numpy(), batch.column(1).to_numpy())
+    assert want and set(found) == set(want) and all(abs(found[p] - s) < 1e-12 for p, s in want.items())
+    assert counted.tolist() == [sum(k in p for p in want) for k in range(180)]
+    for earlier, to in links.items():
+        assert to <= set(want) and components(dict.fromkeys(to)) == components(want)
+    assert {j for _, j in links[True]} == {j for _, j in want}

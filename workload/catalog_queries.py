@@ -405,4 +405,4 @@ def _(t):
     rnd={6: "duplicate_rate_pct mean_group_size"},
 )
 def _(t):
-    return R.matching_facts(MQ.duplicates(t), MQ.links(t))
+    return R.matching_facts(*MQ.duplicates_and_links(t))
