@@ -317,3 +317,21 @@ def test_boosting_rows_are_bounded_by_bins(spark):
     assert len(cells) <= 5 * 32 and sum(r["_weight"] for r in cells) == 20_000
     model = ML.train(df.limit(40).withColumn("one", F.lit(1.0)).withColumn("u", F.lit("x")), ["one", "u"], "y", "Gradient Boosting", "regression")
     assert model.transform(df.limit(5).withColumn("one", F.lit(1.0)).withColumn("u", F.lit("x"))).count() == 5
+
+
+def test_auto_cluster_query_searches_the_whole_grid(spark, monkeypatch, tmp_path):
+    import __spark_entry__ as entry
+
+    tried = []
+
+    def clusters(name):
+        return lambda df, k: tried.append((name, k)) or df.withColumn("cluster", F.pmod("p_partkey", F.lit(k)))
+
+    monkeypatch.setattr(K, "kmeans", clusters("kmeans"))
+    monkeypatch.setattr(K, "hierarchical", clusters("hierarchical"))
+    monkeypatch.setattr(K, "dbscan", lambda df, key, cols, eps, m: tried.append((eps, m)) or df.withColumn("cluster", F.pmod(F.col(key), F.lit(2))))
+    monkeypatch.setattr(K, "silhouette", lambda labelled: 0.5)
+    spark.createDataFrame([(i, i % 7, float(i)) for i in range(20)], "p_partkey int, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert entry.queries()["auto_cluster"](spark, str(tmp_path)).count() == 24
+    # clustering_backend.py of the reference: k from 3 to 8, four distances, three sizes
+    assert set(tried) == {(a, k) for a in ("kmeans", "hierarchical") for k in range(3, 9)} | {(e, m) for e in (0.3, 0.5, 0.7, 1.0) for m in (3, 5, 7)}

@@ -98,7 +98,7 @@ def _(t):
 
 @query("auto_cluster")
 def _(t):
-    return K.auto_cluster(t.part.select("p_partkey", *PARTS), "p_partkey", PARTS, k_values=range(3, 6), eps_values=[0.5, 1.0], min_samples=[3])
+    return K.auto_cluster(t.part.select("p_partkey", *PARTS), "p_partkey", PARTS)
 
 
 @query("rules_clustering")
