@@ -85,3 +85,11 @@ def test_null_ids_repeats_and_empty(spark):
     assert kept == sorted([(0, "some words here"), (0, "quite another set of words"), (7, "a text of seven"), (7, "not the same at all, is it")])
     assert components(docs.limit(0)).count() == 0 and keep_one(docs.limit(0)).count() == 0
     assert components(docs.select(F.lit(1).alias("doc_id"), "text")).count() == 6
+
+
+def test_index_entries_are_not_broadcast(spark, tmp_path):
+    # few fingerprints have many entries, whose number the size estimate of a table does not show
+    spark.range(500).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/distinct")
+    found = links(spark.read.parquet(f"{tmp_path}/distinct"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 0
